@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylake.llm import decontaminate, licenses, packing, repeats, secrets, simhash
-from rallylake.llm.common import table
+from rallylake.llm import decontaminate, licenses, packing, repeats, secrets, simhash, topk, warc
+from rallylake.llm.common import scratch_path, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -21,6 +25,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("notices")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_hit", F.size("item_names").cast("long").alias("n_items"), F.sha2(F.array_join("item_names", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_repeats, op4_license_scan, op6_simhash, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_repeats, op4_license_scan, op5_topk, op6_simhash, op9_packing, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
