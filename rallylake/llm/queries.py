@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylake.llm import decontaminate, licenses, packing, repeats, secrets, simhash, topk, warc
-from rallylake.llm.common import scratch_path, table
+from rallylake.llm import decontaminate, licenses, packing, quality, repeats, rollup, secrets, simhash, topk, warc
+from rallylake.llm.common import materialize, scratch_path, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents inserted; those labelled of low quality revised to their
+    text without repeated lines; those labelled toxic deleted. The second batch comes twice."""
+    counts = materialize(rollup.count_tokens(table(spark, sf_dir, "documents")), "counts")
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    labelled = materialize(counts.join(labels, "doc_id"), "labelled-counts")
+    kept = rollup.Rollup(spark, scratch_path(spark, "rollup"))
+    kept.commit("1-load", rollup.inserts(counts))
+    for _ in range(2):
+        kept.commit("2-revise", rollup.revisions(labelled.where("quality = 0")))
+    now = F.when(F.col("quality") == 0, F.col("revised_tokens")).otherwise(F.col("tokens"))
+    kept.commit("3-delete", rollup.deletes(labelled.where("toxic = 1").withColumn("tokens", now)))
+    return kept.totals()
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,5 +62,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_hit", F.size("item_names").cast("long").alias("n_items"), F.sha2(F.array_join("item_names", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_repeats, op4_license_scan, op5_topk, op6_simhash, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_repeats, op4_license_scan, op5_topk, op6_simhash, op7_token_rollup, op8_quality, op9_packing, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

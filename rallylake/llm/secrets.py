@@ -247,3 +247,34 @@ def secret_scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_inferred long, max_score double"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(make), schema)
+
+
+def redact(docs: DataFrame, model: Model | None = None, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span (base and inferred, overlapping ones as one) replaced by ``mask``.
+
+    All rows and columns stay; null texts stay null and texts without spans stay as they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit())
+    at = docs.columns.index(text_col)
+
+    def make():
+        ready = shared.value
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(at).to_pylist()
+            for k, text in enumerate(texts):
+                spans = scan(text.encode(), ready)[1] if text else []
+                if spans:
+                    out, begin = [], 0
+                    for a, _, b in spans:
+                        if a >= begin:
+                            out += [text[begin:a], mask]
+                        begin = max(begin, b)
+                    texts[k] = "".join([*out, text[begin:]])
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return f
+
+    return docs.mapInArrow(per_batch(make), docs.schema)
