@@ -123,11 +123,12 @@ def _anchor_rows(length: int, gram: int):
 
 class RunLengthIndex:
     """Index of distinct short strings; ``longest[p]`` is the longest match of the suffix at p of the
-    joined text with any other suffix, not crossing the strings' ends."""
+    joined text with any other suffix, not crossing the strings' ends. Samples of matches shorter than
+    ``least`` are left out, so shorter matches may show as less."""
 
     STEP = 7
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], least: int = 0):
         sizes = np.array([len(x) for x in strings])
         self.begins = np.cumsum(sizes + 1) - sizes - 1
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
@@ -144,8 +145,12 @@ class RunLengthIndex:
         self.runs = len(heads)
         here = np.arange(n)
         self.longest = np.zeros(n, np.int64)
+        sieve = [rank for step, rank in ranks if step <= least][-1:]
         for at, other in ((heads[1:], heads[1:] - 1), (tails[:-1], tails[:-1] + 1)):
             # samples at run ends; between them a match is one shorter at each step
+            for rank in sieve:
+                fine = rank[order[at]] == rank[order[other]]
+                at, other = at[fine], other[fine]
             value = np.full(n, -1, np.int64)
             value[order[at]] = self._common(order[at], order[other], text, ranks) + order[at]
             np.maximum(self.longest, np.maximum.accumulate(value) - here, out=self.longest)
@@ -161,7 +166,7 @@ class RunLengthIndex:
         # a prefix that meets its string's end is like no other
         short = here + self.STEP > end
         step, ranks = self.STEP, []
-        first = np.argsort(key, kind="stable")
+        first = np.argsort(key)
         new = np.concatenate([[True], (key[first][1:] != key[first][:-1]) | short[first][1:] | short[first][:-1]])
         rank = np.empty(n, np.int64)
         rank[first] = np.cumsum(new) - 1
@@ -172,7 +177,7 @@ class RunLengthIndex:
                 return order, ranks
             inside = here + step < end
             key = (rank + 1) * np.int64(n + 1) + np.where(inside, rank[np.minimum(here + step, n - 1)] + 1, 0)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             short = (here + 2 * step > end)[order]
             ordered = key[order]
             new = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | short[1:] | short[:-1]])
@@ -206,7 +211,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def marked(contexts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each context the spans covered by strings of ``length`` bytes that stand elsewhere too."""
-    index = RunLengthIndex(contexts)
+    index = RunLengthIndex(contexts, length)
     hit = np.flatnonzero(index.longest >= length)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     if len(hit):
@@ -289,12 +294,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("key"))
     found = keyed.where(F.octet_length("text") >= length).select("did", "key", "text").mapInArrow(_anchor_rows(length, gram), "did long, key long, h long, c long, p long")
     found = materialize(found, "anchors")
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    # written first: both sides of the join are then plain exchanges, which Spark splits if a key is hot
+    twice = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated-hashes")
     again = materialize(found.join(twice, "h"), "repeated-anchors")
     distinct = materialize(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "p")).alias("one")), "contexts")
     span = lambda: (F.shiftleft(F.shiftright("p", 10), 31) + F.shiftright("p", 10) + F.col("p").bitwiseAND(F.lit(1023)) + F.lit(length - 1)).alias("span")
     whole = again.join(distinct.where("n > 1").select("h", "c"), ["h", "c"]).select("did", "key", span())
-    many = distinct.groupBy("h").agg(F.count("*").alias("d")).where("d > 1")
+    many = materialize(distinct.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "groups")
     need = distinct.join(many, "h").select("one.did", "one.key", F.struct("h", "d", "c", "n", "one.p").alias("x")).groupBy("did", "key").agg(F.collect_list("x").alias("need"))
     contexts = keyed.join(need, ["did", "key"]).select("did", "key", "text", "need", "doc_id").mapInArrow(per_batch(_contexts(length)), "h long, d long, c long, did long, key long, lo long, once boolean, context binary")
     blocks = F.ceil(F.col("d") / BLOCK).cast("long")
