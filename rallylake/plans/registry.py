@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from rallylake.plans import metering
-
-QUERIES = metering.QUERIES
-ORACLES = metering.ORACLES
+from rallylake.plans import jobs, metering, movement, relational, scalars, streams  # noqa: F401  the modules register their queries
+from rallylake.plans.base import ORACLES, QUERIES  # noqa: F401
