@@ -238,7 +238,8 @@ def _index_rows(length: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= INDEX and row[:2] != held[-1][:2]:
+                # two pairs of blocks of one group may hold the same context, so they never share an index
+                if held and row[:2] != held[-1][:2] and (size >= INDEX or row[0] == held[-1][0]):
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
