@@ -30,9 +30,9 @@ LENGTH = 200
 GRAM = 40
 #: Bytes whose windows are hashed at once, and bytes of contexts that one index takes at once.
 SLICE = 1 << 20
-INDEX = 3 << 20
+INDEX = 1 << 20
 #: Contexts of one anchor that meet in one index before they are dealt to pairs of blocks.
-BLOCK = 8192
+BLOCK = 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -131,63 +131,59 @@ class RunLengthIndex:
     def __init__(self, strings: list[bytes], least: int = 0):
         sizes = np.array([len(x) for x in strings])
         self.begins = np.cumsum(sizes + 1) - sizes - 1
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
         ends = self.begins + sizes
         text[ends] = 0
         n = len(text)
-        end = np.repeat(ends, sizes + 1)
-        order, ranks = self._suffix_order(text, end, n)
+        here, end = np.arange(n, dtype=np.int32), np.repeat(ends, sizes + 1).astype(np.int32)
+        order, ranks = self._suffix_order(text, here, end)
         # Burrows-Wheeler transform; a string's first suffix is preceded by a mark of its own
-        before = text[order - 1]
+        before = text[order - 1].astype(np.int32)
         before[before == 0] = -1 - order[before == 0]
         cut = np.concatenate([[True], before[1:] != before[:-1], [True]])
         heads, tails = np.flatnonzero(cut[:-1]), np.flatnonzero(cut[1:])
+        del before, cut
         self.runs = len(heads)
-        here = np.arange(n)
-        self.longest = np.zeros(n, np.int64)
+        self.longest = np.zeros(n, np.int32)
         sieve = [rank for step, rank in ranks if step <= least][-1:]
         for at, other in ((heads[1:], heads[1:] - 1), (tails[:-1], tails[:-1] + 1)):
             # samples at run ends; between them a match is one shorter at each step
             for rank in sieve:
                 fine = rank[order[at]] == rank[order[other]]
                 at, other = at[fine], other[fine]
-            value = np.full(n, -1, np.int64)
+            value = np.full(n, -1, np.int32)
             value[order[at]] = self._common(order[at], order[other], text, ranks) + order[at]
             np.maximum(self.longest, np.maximum.accumulate(value) - here, out=self.longest)
         self.longest = np.minimum(self.longest, end - here)
 
-    def _suffix_order(self, text: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    def _suffix_order(self, text: np.ndarray, here: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """Suffix array by doubling, and the ranks by prefixes of 7, 14, 28 ... symbols."""
-        pad = np.concatenate([text, np.zeros(self.STEP, np.int64)])
-        here = np.arange(n)
+        n = len(text)
+        pad = np.concatenate([text, np.zeros(self.STEP, np.int16)])
         key = np.zeros(n, np.int64)
         for k in range(self.STEP):
-            key = key << 9 | np.where(here + k < end, pad[k : n + k], 0)
-        # a prefix that meets its string's end is like no other
-        short = here + self.STEP > end
+            key <<= 9
+            key |= np.where(here + k < end, pad[k : n + k], 0)
         step, ranks = self.STEP, []
-        first = np.argsort(key)
-        new = np.concatenate([[True], (key[first][1:] != key[first][:-1]) | short[first][1:] | short[first][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[first] = np.cumsum(new) - 1
-        order = first
         while True:
-            ranks.append((step, rank.astype(np.int32)))
-            if rank[order[-1]] == n - 1:
+            order = np.argsort(key).astype(np.int32)
+            key = key[order]
+            # a prefix that meets its string's end is like no other
+            short = (here + step > end)[order]
+            new = np.ones(n, bool)
+            new[1:] = (key[1:] != key[:-1]) | short[1:] | short[:-1]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+            ranks.append((step, rank))
+            if new.all():
                 return order, ranks
-            inside = here + step < end
-            key = (rank + 1) * np.int64(n + 1) + np.where(inside, rank[np.minimum(here + step, n - 1)] + 1, 0)
-            order = np.argsort(key)
-            short = (here + 2 * step > end)[order]
-            ordered = key[order]
-            new = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | short[1:] | short[:-1]])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
+            key = (rank + np.int64(1)) * (n + 1)
+            key += np.where(here + step < end, rank[np.minimum(here + step, n - 1)] + 1, 0)
             step *= 2
 
     def _common(self, p: np.ndarray, q: np.ndarray, text: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Lengths of the common prefixes of the suffixes at p and at q."""
-        n, out = len(text), np.zeros(len(p), np.int64)
+        n, out = len(text), np.zeros(len(p), np.int32)
         for step, rank in reversed(ranks):
             out += step * (rank[np.minimum(p + out, n - 1)] == rank[np.minimum(q + out, n - 1)])
         live = np.ones(len(p), bool)

@@ -9,6 +9,7 @@ worker and starts anew when it is full.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,8 @@ from tokenizers import Tokenizer
 CACHE = 600_000
 #: A character with ids of its own that separates the chunks encoded in one call.
 MARK = "\x01"
+#: A chunk that ends in a letter and then ASCII punctuation (no apostrophe): tokens never join these two.
+TAILED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 class ChunkEncoder:
@@ -33,7 +36,7 @@ class ChunkEncoder:
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         if any(MARK.encode() in x for x in chunks):
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(x.decode() for x in chunks), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(x.decode() for x in chunks)], add_special_tokens=False)[0].ids, "<u4")
         ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
         if len(ends) != len(chunks):
             raise ValueError("the tokenizer joined chunks across white space")
@@ -43,14 +46,22 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids (uint32) of each UTF-8 text, without special tokens."""
         chunks = [x.lower().split() for x in texts]
-        fresh = list(set().union(*chunks).difference(self.known))
-        if len(self.known) + len(fresh) > self.size:
-            self.known, fresh = {}, list(set().union(*chunks))
-        for at in range(0, len(fresh), 512):
-            part = fresh[at : at + 512]
+        rows = [list(map(self.known.get, c)) for c in chunks]
+        lacking = [k for k, r in enumerate(rows) if None in r]
+        fresh = {w for k in lacking for w, x in zip(chunks[k], rows[k], strict=True) if x is None}
+        if len(self.known) + 2 * len(fresh) > self.size:
+            self.known, fresh = {}, fresh.union(*(chunks[k] for k in lacking))
+        # a word with its full stop or comma has the ids of the word and those of the mark
+        tails = {x: m.groups() for x in fresh if (m := TAILED.fullmatch(x))}
+        new = list(fresh.difference(tails).union(*tails.values()).difference(self.known))
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
             self.known.update(zip(part, self._encode(part), strict=True))
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, x)), "<u4") for x in chunks]
+        self.known.update({x: known(word) + known(mark) for x, (word, mark) in tails.items()})
+        for k in lacking:
+            rows[k] = map(known, chunks[k])
+        return [np.frombuffer(b"".join(r), "<u4") for r in rows]
 
 
 @lru_cache(maxsize=4)

@@ -561,3 +561,16 @@ def test_decontamination_odd_tables(spark, odd):
     assert decontaminate.decontaminate(documents(spark, []), bench).count() == 0
     # sha of no names is that of the empty string
     assert decontaminate.digest([]) == SHA_EMPTY
+
+
+def test_cached_ids_are_those_of_the_tokenizer():
+    from rallylake.llm.tokens import ChunkEncoder
+
+    rng = random.Random(8)
+    pieces = ["it's", "IT'S.", "don't!!", "a.b", "x=", "̸", "≠", "é", "é.", "É,", "ß!", "Σ", "ΑΣ.", " ", "\xa0", "\x1c", "\x01", "<|endoftext|>", "12.5%", "''", "'", "'.", "a'", "a'.", "…!", "!…", "‍", "日本語", "日本語.", "ﬁ", "K", "İ.", "🏸.", "\x00."]
+    texts = ["".join(rng.choice([*pieces, " ", "\n", "\t ", "\x0b", "w", "Word,"]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    encoder = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), cache=900)
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        want = [x.ids for x in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in part])] == want
