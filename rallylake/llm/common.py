@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,16 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts (a string column) have about ``limit`` bytes together."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit)) + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
     """A ``mapInArrow`` function that applies ``make()`` (called once a task) to slices of up to
     512 rows, so that Python objects exist for one slice at a time."""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import utf8
+from rallylake.llm.common import portions
 from rallylake.llm.tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
@@ -140,17 +140,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, block, linear, quadratic)
-        encode = encoder(path).encode
+        encode, end = encoder(path).encode, np.array([end_id], "<u4")
 
         def rows():
             cols = zip(*packer.take(), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(utf8(part.column(1))), strict=True):
-                    packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
+            for part in portions(batch, 1):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
+                    packer.add(doc_id, np.append(ids, end).astype("<u4", copy=False))
                 if packer.rows:
                     yield rows()
         packer.finish()

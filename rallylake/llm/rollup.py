@@ -37,16 +37,16 @@ def count_tokens(docs: DataFrame, path: str | None = None, revise=without_repeat
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def make():
-        encode = encoder(path).encode
+        lengths = encoder(path).lengths
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = utf8(batch.column(3))
-            ids, split = [len(x) for x in encode(texts)], [len(x.split()) for x in texts]
+            ids, split = lengths(batch.column(3)).tolist(), [len(x.split()) for x in texts]
             new = [revise(x) for x in texts]
             changed = [k for k, x in enumerate(texts) if new[k] is not x]
             ids2, split2 = list(ids), list(split)
-            for k, x in zip(changed, encode([new[k] for k in changed]), strict=True):
-                ids2[k], split2[k] = len(x), len(new[k].split())
+            for k, n in zip(changed, lengths(pa.array([new[k] for k in changed], pa.string())).tolist(), strict=True):
+                ids2[k], split2[k] = n, len(new[k].split())
             cols = [pa.concat_arrays([c, c]) for c in batch.columns[:3]]
             counts = [[name] * len(texts) + ["whitespace"] * len(texts), ids + split, ids2 + split2]
             return pa.RecordBatch.from_arrays([*cols, pa.array(counts[0], pa.string()), *(pa.array(c, pa.int64()) for c in counts[1:])], names=["doc_id", "source", "lang", "tokenizer", "tokens", "revised_tokens"])

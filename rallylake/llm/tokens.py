@@ -1,9 +1,9 @@
 """Token ids by a public tokenizer, with a cache of white-space separated chunks.
 
 The tokenizer (word BPE: lower case, white space dropped) never joins across ASCII white space, so
-the ids of a text are those of its chunks. Each distinct chunk is encoded once by the library and its
-ids are kept as bytes; a text is then one join of cached bytes. The cache lives as long as the Python
-worker and starts anew when it is full.
+the ids of a text are those of its chunks. Arrow splits a batch and numbers its distinct chunks; each
+of these is encoded by the library once, and the ids of the texts are gathered from the kept ones. The
+cache lives as long as the Python worker and starts anew when it is full.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Chunks that a Python worker keeps at most.
-CACHE = 600_000
+#: Chunks that a Python worker keeps at most, beside those of the batch at hand.
+CACHE = 1_000_000
+#: Chunks whose ids are gathered at once.
+BLOCK = 1 << 20
 #: A character with ids of its own that separates the chunks encoded in one call.
 MARK = "\x01"
 #: A chunk that ends in a letter and then ASCII punctuation (no apostrophe): tokens never join these two.
-TAILED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S)
+TAILED = re.compile(r"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 class ChunkEncoder:
@@ -29,39 +33,78 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = cache
-        self.known: dict[bytes, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         assert len(self.mark) == 1
+        self._clear()
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        if any(MARK.encode() in x for x in chunks):
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(x.decode() for x in chunks)], add_special_tokens=False)[0].ids, "<u4")
+    def _clear(self) -> None:
+        """Known chunks by number; the empty one has no ids."""
+        self.known: dict[str, int] = {"": 0}
+        self.raw: list[bytes] = [b""]
+        self.ids, self.starts, self.lengths_of = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _library(self, chunks: list[str]) -> list[bytes]:
+        if any(MARK in x for x in chunks):
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
         ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
         if len(ends) != len(chunks):
             raise ValueError("the tokenizer joined chunks across white space")
         raw, begins = ids.tobytes(), [0, *(x + 1 for x in ends[:-1])]
         return [raw[4 * a : 4 * b] for a, b in zip(begins, ends, strict=True)]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids (uint32) of each UTF-8 text, without special tokens."""
-        chunks = [x.lower().split() for x in texts]
-        rows = [list(map(self.known.get, c)) for c in chunks]
-        lacking = [k for k, r in enumerate(rows) if None in r]
-        fresh = {w for k in lacking for w, x in zip(chunks[k], rows[k], strict=True) if x is None}
-        if len(self.known) + 2 * len(fresh) > self.size:
-            self.known, fresh = {}, fresh.union(*(chunks[k] for k in lacking))
+    def _learn(self, fresh: list[str]) -> None:
         # a word with its full stop or comma has the ids of the word and those of the mark
         tails = {x: m.groups() for x in fresh if (m := TAILED.fullmatch(x))}
-        new = list(fresh.difference(tails).union(*tails.values()).difference(self.known))
+        new = list(set(fresh).difference(tails).union(*tails.values()).difference(self.known))
+        made = []
         for at in range(0, len(new), 512):
-            part = new[at : at + 512]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        known = self.known.__getitem__
-        self.known.update({x: known(word) + known(mark) for x, (word, mark) in tails.items()})
-        for k in lacking:
-            rows[k] = map(known, chunks[k])
-        return [np.frombuffer(b"".join(r), "<u4") for r in rows]
+            made += self._library(new[at : at + 512])
+        self.known.update(zip(new, range(len(self.raw), len(self.raw) + len(new)), strict=True))
+        self.raw += made
+        raw, known = self.raw, self.known
+        joined = [raw[known[word]] + raw[known[mark]] for word, mark in tails.values()]
+        self.known.update(zip(tails, range(len(raw), len(raw) + len(tails)), strict=True))
+        self.raw += joined
+        made += joined
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths_of = np.concatenate([self.lengths_of, lengths])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the chunks of all texts, one after another, and where each text's chunks begin and end."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = list(map(self.known.get, names))
+        fresh = [x for x, k in zip(names, numbers, strict=True) if k is None] if None in numbers else []
+        if fresh:
+            if len(self.known) + 2 * len(fresh) > self.size and len(self.known) > 1:
+                self._clear()
+                fresh = [x for x in names if x]
+            self._learn(fresh)
+            numbers = list(map(self.known.__getitem__, names))
+        numbers = np.array(numbers, np.int64)
+        offsets = split.offsets.to_numpy()
+        return numbers[coded.indices.to_numpy()], offsets - offsets[0]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text of a string column has."""
+        chunks, offsets = self._chunks(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.lengths_of[chunks])])[offsets])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids (uint32) of each text of a string column, without special tokens; null is empty."""
+        chunks, offsets = self._chunks(texts)
+        ends = np.concatenate([[0], np.cumsum(self.lengths_of[chunks])])
+        ids = np.empty(ends[-1], "<u4")
+        for at in range(0, len(chunks), BLOCK):
+            part = chunks[at : at + BLOCK]
+            begin, end = ends[at], ends[at + len(part)]
+            shift = self.starts[part] - (ends[at : at + len(part)] - begin)
+            ids[begin:end] = self.ids[np.repeat(shift, self.lengths_of[part]) + np.arange(end - begin)]
+        return np.split(ids, ends[offsets[1:-1]]) if len(texts) else []
 
 
 @lru_cache(maxsize=4)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -573,4 +574,7 @@ def test_cached_ids_are_those_of_the_tokenizer():
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         want = [x.ids for x in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
-        assert [x.tolist() for x in encoder.encode([t.encode() for t in part])] == want
+        column = pa.array([None, *part, ""], pa.string())
+        assert [x.tolist() for x in encoder.encode(column)] == [[], *want, []]
+        assert encoder.lengths(column[1:]).tolist() == [*map(len, want), 0]
+    assert encoder.encode(pa.array([], pa.string())) == []
