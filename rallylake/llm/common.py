@@ -65,7 +65,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose texts (a string column) have about ``limit`` bytes together."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
     at = 0
@@ -84,10 +84,22 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield f(batch.slice(at, 512))
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of about 8 MB, whatever the length of the texts.
+
+    A size that the session has been given other than Spark's default is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(key, "8m")
+    return df.mapInArrow(run, schema)
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and edges (a, b): the smallest node of each node's component."""
     label = np.arange(n)
@@ -124,7 +136,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     schema = "a long, b long"
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = materialize(edges.mapInArrow(_contract, schema).distinct(), "links")
+    now = materialize(edges.transform(arrow_map, _contract, schema).distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         # large-star: every larger neighbour of u is linked to the least of u and its neighbours

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import per_batch, utf8
+from rallylake.llm.common import arrow_map, per_batch, utf8
 
 WINDOW = 13
 #: Separators become spaces, A-Z become a-z; digits, letters and bytes of other characters stay.
@@ -94,7 +94,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in part.collect()])
-        now = now.mapInArrow(per_batch(_search(shared, window)), now.schema)
+        now = now.transform(arrow_map, per_batch(_search(shared, window)), now.schema)
     hit = F.col("_hits")
     return now.select(
         *kept,

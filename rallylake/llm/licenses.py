@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import per_batch, utf8
+from rallylake.llm.common import arrow_map, per_batch, utf8
 
 # Phrases and labels of the base count.
 PHRASES = {
@@ -144,4 +144,4 @@ def license_scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text_
 
         return f
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(make), f"doc_id long, {RESULT}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, per_batch(make), f"doc_id long, {RESULT}")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallylake.llm.common import materialize, per_batch, utf8
+from rallylake.llm.common import arrow_map, materialize, per_batch, utf8
 
 # An everyday list of insults; other words are learned from the labels.
 INSULTS = frozenset(b"clown disgusting dumb fool idiot idiotic imbecile jerk loser moron moronic pathetic scum stupid trash worthless".split())
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_rows: int = 30_000
     if labels is not None:
         gold = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("junk_label"), F.max("toxic").cast("int").alias("toxic_label"))
     marks = [F.coalesce(F.when(F.col(f"{h}_label").isin(0, 1), F.col(f"{h}_label")), F.lit(-1)).alias(f"{h}_label") for h in HEADS]
-    voted = materialize(docs.mapInArrow(per_batch(_voted), "doc_id long, junk long, toxic long").join(gold, "doc_id", "left").select("doc_id", *HEADS, *marks), "votes")
+    voted = materialize(docs.transform(arrow_map, per_batch(_voted), "doc_id long, junk long, toxic long").join(gold, "doc_id", "left").select("doc_id", *HEADS, *marks), "votes")
     models, both = {}, {}
     for head, names in HEADS.items():
         found = voted.groupBy(head, f"{head}_label").count().collect()
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_rows: int = 30_000
         sample = sample.where("junk_label >= 0 or toxic_label >= 0")
     sample = materialize(sample.dropDuplicates(["text"]), "sample")
     shared = spark.sparkContext.broadcast((models, both))
-    counts = sample.mapInArrow(_feature_counts(shared), "head string, feature long, bad double, good double").groupBy("head", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.transform(arrow_map, _feature_counts(shared), "head string, feature long, bad double, good double").groupBy("head", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts.where("bad > 2 or feature < 0"), "features")
     weights = {}
     for head in HEADS:
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_rows: int = 30_000
         bad, good = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
         useful = (F.col("bad") >= max(2.5, least_share * total["bad"])) & (bad >= least_ratio * good)
         chosen = np.sort(own.where("feature >= 0").where(useful).select("feature").toPandas()["feature"].to_numpy())
-        data = sample.mapInArrow(_chosen_features(shared, head, spark.sparkContext.broadcast(chosen)), "target double, features array<long>").toPandas()
+        data = sample.transform(arrow_map, _chosen_features(shared, head, spark.sparkContext.broadcast(chosen)), "target double, features array<long>").toPandas()
         weights[head] = train([np.asarray(x, np.int64) for x in data["features"]], data["target"].to_numpy())
     return Scorer(models, weights)
 
@@ -293,4 +293,4 @@ def classify(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, sure: floa
     schema = T.StructType(list(plain.schema.fields))
     for x in SCORES.split(", "):
         schema = schema.add(*x.split())
-    return plain.mapInArrow(per_batch(make), schema)
+    return plain.transform(arrow_map, per_batch(make), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import materialize, per_batch, utf8
+from rallylake.llm.common import arrow_map, materialize, per_batch, utf8
 
 LENGTH = 200
 GRAM = 40
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         raise ValueError("length must exceed gram by fewer than 1,000")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("key"))
-    found = keyed.where(F.octet_length("text") >= length).select("did", "key", "text").mapInArrow(_anchor_rows(length, gram), "did long, key long, h long, c long, p long")
+    found = keyed.where(F.octet_length("text") >= length).select("did", "key", "text").transform(arrow_map, _anchor_rows(length, gram), "did long, key long, h long, c long, p long")
     found = materialize(found, "anchors")
     # written first: both sides of the join are then plain exchanges, which Spark splits if a key is hot
     twice = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated-hashes")
@@ -299,12 +299,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     whole = again.join(distinct.where("n > 1").select("h", "c"), ["h", "c"]).select("did", "key", span())
     many = materialize(distinct.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "groups")
     need = distinct.join(many, "h").select("one.did", "one.key", F.struct("h", "d", "c", "n", "one.p").alias("x")).groupBy("did", "key").agg(F.collect_list("x").alias("need"))
-    contexts = keyed.join(need, ["did", "key"]).select("did", "key", "text", "need", "doc_id").mapInArrow(per_batch(_contexts(length)), "h long, d long, c long, did long, key long, lo long, once boolean, context binary")
+    contexts = keyed.join(need, ["did", "key"]).select("did", "key", "text", "need", "doc_id").transform(arrow_map, per_batch(_contexts(length)), "h long, d long, c long, did long, key long, lo long, once boolean, context binary")
     blocks = F.ceil(F.col("d") / BLOCK).cast("long")
     own = F.pmod("c", blocks)
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))).alias("pair")
     dealt = contexts.select("h", pair, "did", "key", "lo", "once", "context").repartition("h", "pair").sortWithinPartitions("h", "pair")
-    edges = dealt.mapInArrow(_index_rows(length), "did long, key long, span long")
+    edges = dealt.transform(arrow_map, _index_rows(length), "did long, key long, span long")
     marks = whole.union(edges).groupBy("did", "key").agg(F.collect_set("span").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return keyed.join(marks, ["did", "key"], "left").select("did", "key", "text", "marks", "doc_id").mapInArrow(per_batch(lambda: _removed), out)
+    return keyed.join(marks, ["did", "key"], "left").select("did", "key", "text", "marks", "doc_id").transform(arrow_map, per_batch(lambda: _removed), out)

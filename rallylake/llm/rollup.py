@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import per_batch, utf8
+from rallylake.llm.common import arrow_map, per_batch, utf8
 from rallylake.llm.tokens import encoder
 
 KEY = ("source", "lang", "tokenizer")
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, revise=without_repeat
 
         return f
 
-    return docs.mapInArrow(per_batch(make), "doc_id long, source string, lang string, tokenizer string, tokens long, revised_tokens long")
+    return docs.transform(arrow_map, per_batch(make), "doc_id long, source string, lang string, tokenizer string, tokens long, revised_tokens long")
 
 
 def inserts(counts: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import per_batch, utf8
+from rallylake.llm.common import arrow_map, per_batch, utf8
 
 # The base patterns, kinds in their listed order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -246,7 +246,7 @@ def secret_scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_
         return f
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_inferred long, max_score double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(make), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, per_batch(make), schema)
 
 
 def redact(docs: DataFrame, model: Model | None = None, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
@@ -277,4 +277,4 @@ def redact(docs: DataFrame, model: Model | None = None, mask: str = "[SECRET]",
 
         return f
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    return docs.transform(arrow_map, per_batch(make), docs.schema)

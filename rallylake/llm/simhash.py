@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import components, materialize, per_batch, roots, utf8
+from rallylake.llm.common import arrow_map, components, materialize, per_batch, roots, utf8
 
 RADIUS = 3
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
         return f
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(make), "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, per_batch(make), "doc_id long, fp long")
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def links(nodes: DataFrame, hot: int = 4096) -> DataFrame:
                 again = rows.join(full, ["t", "key"], "left_semi").select("fp", "node", "t")
                 rows = rows.join(full, ["t", "key"], "left_anti")
         rows = rows.repartition("t", "key").sortWithinPartitions("t", "key")
-        found = rows.select("t", "key", "fp", "node").mapInArrow(_bucket_links, "a long, b long")
+        found = rows.select("t", "key", "fp", "node").transform(arrow_map, _bucket_links, "a long, b long")
         out = found if out is None else out.union(found)
         if again is None:
             return out
@@ -169,6 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col:
     """
     fps = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null"), hot))
+    # written, so that a task never runs two Python workers at once, whose memory adds up
+    found = components(materialize(links(nodes.where("node is not null"), hot), "bucket-links"))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import materialize
+from rallylake.llm.common import arrow_map, materialize
 
 #: Segments by resolution, coarse to fine.
 LEVELS = (4, 8, 16)
@@ -136,7 +136,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ever
         if not len(part):
             continue
         shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), np.stack(part["x"].to_numpy())))
-        found = rows.mapInArrow(_search(shared, k), schema)
+        found = rows.transform(arrow_map, _search(shared, k), schema)
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import materialize
+from rallylake.llm.common import arrow_map, materialize
 
 VERSION, FIRST = "WARC/1.1\r\n", "WARC-Type: "
 END = "\r\n\r\n"
@@ -128,7 +128,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def running_digests(chunks: DataFrame) -> DataFrame:
     """Per chunk of segmented records: bytes and SHA-1 (base32) of the record up to and with it."""
     dealt = chunks.where("segmented").select("record_id", "chunk_no", "record_type", "refers_to", "chunk")
-    return dealt.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(_running, RUNNING)
+    return dealt.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").transform(arrow_map, _running, RUNNING)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
