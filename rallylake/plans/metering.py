@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rallylake.operators import metering
 from rallylake.plans.base import query
 from rallylake.sources.tables import load
 
@@ -74,11 +75,24 @@ def usage_pct(spark, d):
 @query(f"SELECT r.o_custkey, r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.running, r.running - b.included > 600 AS rejected FROM ({RUNNING_SQL}) r JOIN ({BALANCES_SQL}) b ON r.o_custkey = b.c_custkey")
 def quota_gate(spark, d):
     """Flags by the cumulative sum: rows after a rejected one still count it. The bound of 600 minutes of
-    overage stands for 6000 so that the test tables reach it; see operators.metering for the exact fold."""
+    overage stands for 6000 so that the test tables reach it; see quota_fold for the exact one."""
     plan = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), included().alias("included"))
     return running(spark, d).join(plan, "o_custkey").withColumn("rejected", F.col("running") - F.col("included") > 600).drop("included")
 
 
+@query(f"""WITH RECURSIVE r AS (SELECT l.*, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 300 WHEN 'MACHINERY' THEN 3000 ELSE 10 END AS BIGINT) AS included,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY {', '.join(ORDER)}) AS rn FROM ({MINUTES_SQL}) l JOIN customer ON c_custkey = o_custkey),
+    f(k, n, used, accepted) AS (
+        SELECT DISTINCT o_custkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM r
+        UNION ALL SELECT k, rn, CASE WHEN used + m - included <= 600 THEN used + m ELSE used END, used + m - included <= 600 FROM f JOIN r ON o_custkey = k AND rn = n + 1)
+    SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, accepted, used FROM f JOIN r ON o_custkey = k AND rn = n""")
+def quota_fold(spark, d):
+    """The metering transaction: rejected records do not count towards later ones (bound as in quota_gate)."""
+    plan = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), included().alias("included"))
+    records = minutes(spark, d).select("o_custkey", *ORDER, "m").join(plan, "o_custkey")
+    return metering.quota_fold(records, "o_custkey", "m", "included", ORDER, bound=600).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "accepted", "used")
+
+
 @query(f"SELECT c_custkey, CAST(floor(greatest(0, used - included) / 60.0 * 200 + 0.0) AS BIGINT) AS charge_cents FROM ({BALANCES_SQL})")
 def overage_charge(spark, d):
     over = F.greatest(F.lit(0), F.col("used") - F.col("included"))
