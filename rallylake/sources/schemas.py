@@ -38,7 +38,7 @@ def with_generated(subscriptions: DataFrame) -> DataFrame:
 
 def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of both after columns were added: what a side lacks is null."""
-    return old.unionByName(new, allowMissingColumns=True)
+    return old.select("*").unionByName(new.select("*"), allowMissingColumns=True)
 
 
 def enum_violations(df: DataFrame, table: str) -> DataFrame:
