@@ -190,19 +190,21 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_rows: int = 30_000
     voted = materialize(docs.transform(arrow_map, per_batch(_voted), "doc_id long, junk long, toxic long").join(gold, "doc_id", "left").select("doc_id", *HEADS, *marks), "votes")
     models, both = {}, {}
     for head, names in HEADS.items():
-        found = voted.groupBy(head, f"{head}_label").count().collect()
+        found = sorted(voted.groupBy(head, f"{head}_label").count().collect())
         patterns = np.array([[*_decode(r[0], len(names)), r[1]] for r in found], int).reshape(-1, len(names) + 1)
         counts = np.array([r["count"] for r in found], float)
         models[head] = LabelModel(patterns, counts)
         both[head] = all(counts[patterns[:, -1] == v].sum() >= 20 for v in (0, 1)) if len(patterns) else False
     n = voted.where("junk_label >= 0 or toxic_label >= 0").count() if any(both.values()) else voted.count()
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * max_rows / max(1, n)))
-    sample = docs.where(keep).join(voted.where(keep).dropDuplicates(["doc_id"]), "doc_id")
+    # of repeated ids and texts the least row, and whole numbers below: a fit does not depend on the order of rows
+    least = lambda df, key: df.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_r")).select(key, "_r.*")
+    sample = docs.where(keep).join(least(voted.where(keep), "doc_id"), "doc_id")
     if any(both.values()):
         sample = sample.where("junk_label >= 0 or toxic_label >= 0")
-    sample = materialize(sample.dropDuplicates(["text"]), "sample")
+    sample = materialize(least(sample, "text").select("doc_id", "text", *voted.columns[1:]), "sample")
     shared = spark.sparkContext.broadcast((models, both))
-    counts = sample.transform(arrow_map, _feature_counts(shared), "head string, feature long, bad double, good double").groupBy("head", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.transform(arrow_map, _feature_counts(shared), "head string, feature long, bad double, good double").groupBy("head", "feature").agg(*[(F.sum(F.round(F.col(c) * 1e6).cast("long")) / 1e6).alias(c) for c in ("bad", "good")])
     counts = materialize(counts.where("bad > 2 or feature < 0"), "features")
     weights = {}
     for head in HEADS:
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_rows: int = 30_000
         bad, good = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
         useful = (F.col("bad") >= max(2.5, least_share * total["bad"])) & (bad >= least_ratio * good)
         chosen = np.sort(own.where("feature >= 0").where(useful).select("feature").toPandas()["feature"].to_numpy())
-        data = sample.transform(arrow_map, _chosen_features(shared, head, spark.sparkContext.broadcast(chosen)), "target double, features array<long>").toPandas()
+        data = sample.transform(arrow_map, _chosen_features(shared, head, spark.sparkContext.broadcast(chosen)), "doc_id long, target double, features array<long>").toPandas().sort_values("doc_id")
         weights[head] = train([np.asarray(x, np.int64) for x in data["features"]], data["target"].to_numpy())
     return Scorer(models, weights)
 
@@ -252,7 +254,7 @@ def _chosen_features(shared, head: str, chosen):
         for batch in batches:
             p, use = _targets(batch, head, models, both)
             rows = [np.intersect1d(features(s, w), chosen.value) if u else None for (s, w), u in zip(_seen(batch, 1), use, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(p[use]), pa.array([r for r in rows if r is not None], pa.list_(pa.int64()))], names=["target", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(use)), pa.array(p[use]), pa.array([r for r in rows if r is not None], pa.list_(pa.int64()))], names=["doc_id", "target", "features"])
 
     return run
 
