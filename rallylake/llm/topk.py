@@ -50,7 +50,7 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best rows of each query so far, ties to the smaller id."""
+    """The k best ids of each query so far, each by its best row; ties to the smaller id."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
@@ -71,12 +71,23 @@ class Best:
             if not len(qs) or not len(cs):
                 return
         self.exact += len(qs) * len(cs)
+        cs = cs[np.argsort(ids[cs], kind="stable")]
+        names = ids[cs]
         score = products(self.q[qs], c[cs])
-        score[self.ids[qs][:, None] == ids[cs][None, :]] = NONE
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        if len(first) < len(names):
+            score, names = np.maximum.reduceat(score, first, axis=1), names[first]
+        score[self.ids[qs][:, None] == names[None, :]] = NONE
+        # an id that is held and comes again keeps one place, so k places are k ids
+        held, known = self.score[qs], self.row[qs]
+        place = np.minimum(np.searchsorted(names, known), len(names) - 1)
+        i, j = np.nonzero((names[place] == known) & (held > NONE))
+        score[i, place[i, j]] = np.maximum(score[i, place[i, j]], held[i, j])
+        held[i, j], known[i, j] = NONE, LAST
         for at in range(0, len(qs), 256):
             part = qs[at : at + 256]
-            s = np.concatenate([self.score[part], score[at : at + 256]], axis=1)
-            r = np.concatenate([self.row[part], np.broadcast_to(ids[cs], (len(part), len(cs)))], axis=1)
+            s = np.concatenate([held[at : at + 256], score[at : at + 256]], axis=1)
+            r = np.concatenate([known[at : at + 256], np.broadcast_to(names, (len(part), len(names)))], axis=1)
             r = np.where(s == NONE, LAST, r)
             if s.shape[1] > 4 * self.k:  # all that could be among the best, ties included
                 cut = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1]
@@ -118,7 +129,8 @@ def _search(shared, k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, its own id
-    left out, ties to the smaller id (repeated rows of an id count once, by their best score).
+    left out, ties to the smaller id (repeated rows of an id, asked or found, count once, by their best
+    score).
 
     ``queries`` (same columns) default to the rows whose id is divisible by ``every``. They are taken
     ``block`` rows at a time, so what goes to an executor at once is bounded by the block; each block is
@@ -127,12 +139,12 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ever
     spark = vectors.sparkSession
     rows = quantised(vectors, id_col, vector_col, scale)
     asked = rows.where(F.col("vec_id") % every == 0) if queries is None else quantised(queries, id_col, vector_col, scale)
-    asked = materialize(asked.dropDuplicates(["vec_id"]), "queries")
+    asked = materialize(asked.dropDuplicates(["vec_id", "x"]), "queries")
     n = asked.count()
     schema, out = "query_id long, vec_id long, score long", None
     blocks = max(1, -(-n // block))
     for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
+        part = asked.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)) == b).toPandas()
         if not len(part):
             continue
         shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), np.stack(part["x"].to_numpy())))

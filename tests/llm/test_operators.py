@@ -271,6 +271,21 @@ def test_topk_few_rows_ties_and_empty(spark):
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_topk_repeated_ids_take_one_place(spark):
+    # id 3 is the nearest of all and stands in ten rows, and ids 0 (asked) and 4 in two rows that differ
+    near = [(3, [9.0, 9.0])] * 10 + [(4, [1.0, 1.0]), (4, [5.0, 5.0]), (0, [1.0, 1.0]), (0, [-1.0, 1.0])]
+    rows = near + [(k, [8.0 - k / 4, 1.0]) for k in range(5, 12)]
+    score = {}
+    for a, q in ((a, q) for a, q in rows if a % 50 == 0):
+        for b, c in ((b, c) for b, c in rows if a != b):
+            score[a, b] = max(score.get((a, b), -(10**12)), int(sum(256 * x * 256 * y for x, y in zip(q, c, strict=True))))
+    want = [(n + 1, b, s) for n, (s, b) in enumerate(sorted(((s, b) for (_, b), s in score.items()), key=lambda x: (-x[0], x[1]))[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for parts in (1, 3, 7):
+        got = topk.top_k(df.repartition(parts)).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == want
+
+
 def test_topk_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.integers(-300, 300, (40, 64)).astype(float), rng.integers(-300, 300, (60, 64)).astype(float)
