@@ -21,5 +21,5 @@ def stream_latest(spark, d):
 @query()
 def stream_ttl(spark, d):
     """Per user the most updates held at once and the number of wipes, as the stateful stream reports them."""
-    out = tracking.drained(tracking.expiring(tracking.updates(spark, f"{d}/events.parquet")), "ttl", "append")
-    return out.groupBy("user_id").agg(F.max("held").alias("held"), F.max("wiped").alias("wiped"))
+    out = tracking.drained_in_order(spark, f"{d}/events.parquet", tracking.expiring, "ttl")
+    return out.groupBy("user_id").agg(F.max("held").alias("held"), F.sum("wiped").alias("wiped"))

@@ -6,7 +6,7 @@ the shared folder; the result is what a late subscriber would be replayed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +28,20 @@ def updates(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataF
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "complete", target: str = "", log: str = "") -> DataFrame:
     """Run a stream over all that is there and return what its sink holds.
 
-    Complete mode overwrites the sink with each batch; append mode adds to it.
+    Complete mode overwrites the sink with each batch; append mode adds to it. A later run with the
+    same ``target`` and ``log`` goes on where the one before ended.
     """
     spark = stream.sparkSession
-    target = scratch(spark, name)
+    target, log = target or scratch(spark, name), log or scratch(spark, f"{name}-log")
 
     def put(batch: DataFrame, batch_id: int) -> None:
         # a repeated batch overwrites its own folder, so a replay adds nothing
         batch.write.mode("overwrite").parquet(target if mode == "complete" else f"{target}/batch={batch_id}")
 
-    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
 
@@ -55,26 +56,58 @@ def latest(stream: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: updates held, number of times the key was wiped, time of the terminal update (ms, -1: none)."""
-    held, wiped, ended = state.get if state.exists else (0, 0, -1)
+    """State: updates held and time of the terminal update (ms, -1: none)."""
+    held, ended = state.get if state.exists else (0, -1)
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "held": [0], "wiped": [wiped + 1]})
+        yield pd.DataFrame({"user_id": [key[0]], "held": [0], "wiped": [1]})
         return
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    most = wiped = 0
+    rows = pd.concat([x[["ts", "event_id", "event_type"]] for x in frames]).sort_values(["ts", "event_id"], na_position="first")
     for at, kind in zip(rows["ts"].astype("datetime64[ms, UTC]" if rows["ts"].dt.tz else "datetime64[ms]").astype("int64"), rows["event_type"], strict=True):
         if 0 <= ended <= at - RETENTION_MS:
             held, wiped, ended = 0, wiped + 1, -1
         held += 1
+        most = max(most, held)
         if kind in TERMINAL and ended < 0:
             ended = int(at)
-    state.update((held, wiped, ended))
+    state.update((held, ended))
     if ended >= 0 and ended + RETENTION_MS > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(ended + RETENTION_MS)
-    yield pd.DataFrame({"user_id": [key[0]], "held": [held], "wiped": [wiped]})
+    yield pd.DataFrame({"user_id": [key[0]], "held": [most], "wiped": [wiped]})
 
 
 def expiring(stream: DataFrame) -> DataFrame:
-    """Updates held per key; a key's whole state goes an hour (event time) after its first terminal update,
-    newer updates included."""
-    return stream.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_expire, "user_id long, held long, wiped long", "held long, wiped long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
+    """Per key and batch the most updates held at once and the wipes since the last report; a key's whole
+    state goes an hour (event time) after its first terminal update, newer updates included.
+
+    The stream has to come in the order of ``ts``: rows older than the watermark would be dropped.
+    """
+    return stream.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_expire, "user_id long, held long, wiped long", "held long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained_in_order(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFrame], name: str, most: int = 500_000) -> DataFrame:
+    """Run a stream over the update log in the order of ``ts`` and ``event_id``, however its files overlap,
+    and return what its sink holds.
+
+    The log is dealt by ranges and fed to one stream, slice after slice: each run of the stream drains
+    one slice, goes on from the checkpoint of the run before, and sees later times only. A slice has
+    about ``most`` rows, which bounds what one key can bring into a batch.
+    """
+    cut, feed, target, log = (scratch(spark, f"{name}{x}") for x in ("-cut", "-feed", "", "-log"))
+    table = spark.read.parquet(path).select("user_id", "ts", "event_id", "event_type")
+    ranges = 4 * max(1, -(-table.count() // most))
+    table.repartitionByRange(ranges, "ts", "event_id").withColumn("range", F.spark_partition_id()).write.partitionBy("range").mode("overwrite").parquet(cut)
+    dealt = spark.read.schema(table.withColumn("range", F.lit(0)).schema).parquet(cut)
+    slices: list[list[int]] = []
+    for at, n in dealt.groupBy("range").count().orderBy("range").collect():
+        if not slices or slices[-1][2] + n > most:
+            slices.append([at, at, 0])
+        slices[-1][1:] = at, slices[-1][2] + n
+    if not slices:  # an empty log
+        return spark.createDataFrame([], step(updates(spark, path)).schema)
+    for low, high, _ in slices:
+        dealt.where(F.col("range").between(low, high)).drop("range").write.mode("append").parquet(feed)
+        # one batch a slice: files of a slice have no order
+        out = drained(step(updates(spark, feed, 1_000_000)), name, "append", target, log)
+    return out

@@ -1,10 +1,12 @@
 """Object trees and streams on small folders."""
 
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from rallylake.plans import registry
 from rallylake.sources import objects
 from rallylake.streaming import tracking
 
@@ -67,3 +69,33 @@ def test_streams_give_what_the_batch_gives(spark, small):
     assert counted == {r["user_id"]: r["count"] for r in batch.groupBy("user_id").count().collect()}
     last = {r["user_id"]: r["event_id"] for r in tracking.drained(tracking.latest(stream()), "latest").collect()}
     assert last == {r["user_id"]: r["e"] for r in batch.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
+
+
+def brute_expiry(rows):
+    """(most held, wipes) by user; at the end the watermark, ten minutes behind the last time, wipes too."""
+    out, last = {}, max(r["ts"] for r in rows)
+    for user in {r["user_id"] for r in rows}:
+        held, most, wiped, ended = 0, 0, 0, None
+        for r in sorted((r for r in rows if r["user_id"] == user), key=lambda r: (r["ts"], r["event_id"])):
+            if ended is not None and r["ts"] - ended >= timedelta(hours=1):
+                held, wiped, ended = 0, wiped + 1, None
+            held += 1
+            most = max(most, held)
+            if r["event_type"] in tracking.TERMINAL and ended is None:
+                ended = r["ts"]
+        out[user] = (most, wiped + (ended is not None and last - timedelta(minutes=10) > ended + timedelta(hours=1)))
+    return out
+
+
+def test_expiry_over_files_of_overlapping_times(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    want = brute_expiry(events.collect())
+    path = f"{tmp_path}/events.parquet"
+    events.repartition(20, "event_id").write.parquet(path)
+    found = registry.QUERIES["stream_ttl"](spark, str(tmp_path)).collect()
+    assert {r["user_id"]: (r["held"], r["wiped"]) for r in found} == want and len(found) == len(want)
+    sliced = tracking.drained_in_order(spark, path, tracking.expiring, "sliced", most=300)
+    found = sliced.groupBy("user_id").agg(F.max("held").alias("held"), F.sum("wiped").alias("wiped")).collect()
+    assert {r["user_id"]: (r["held"], r["wiped"]) for r in found} == want
+    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert registry.QUERIES["stream_ttl"](spark, f"{tmp_path}/none").count() == 0
