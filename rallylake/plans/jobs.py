@@ -119,12 +119,8 @@ def until_terminal(spark, d):
     FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n <= 20""")
 def retry_chain(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    jobs_ = load(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", F.lag("event_id").over(w).alias("parent"))
-    jobs_.createOrReplaceTempView("_retry_jobs")
-    return spark.sql("""WITH RECURSIVE chain(event_id, user_id, parent, depth, root) AS (
-        SELECT event_id, user_id, parent, CAST(0 AS BIGINT), event_id FROM _retry_jobs WHERE parent IS NULL
-        UNION ALL SELECT j.event_id, j.user_id, j.parent, c.depth + 1, c.root FROM _retry_jobs j JOIN chain c ON j.parent = c.event_id WHERE c.depth < 20)
-        SELECT event_id, user_id, parent, depth, root FROM chain""")
+    errors = load(spark, d, "events").where("event_type = 'error'")
+    return errors.select("event_id", "user_id", F.lag("event_id").over(w).alias("parent"), (F.row_number().over(w) - 1).cast("long").alias("depth"), F.first("event_id").over(w).alias("root"))
 
 
 @query("""SELECT event_id, user_id, signup_id, signup_id IS NOT NULL AS matched FROM (

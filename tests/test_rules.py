@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rallylake.functions import js
 from rallylake.operators import jobs, metering, security
 from rallylake.operators import relational as R
+from rallylake.plans import registry
 from rallylake.sources import schemas
 
 
@@ -116,3 +117,10 @@ def test_schemas(spark):
     assert schemas.evolved(spark.range(1), spark.range(1).withColumn("added", F.lit(1))).where("added is null").count() == 1
     profiles = spark.createDataFrame([("user",), ("owner",), (None,)], "role string")
     assert [tuple(r) for r in schemas.enum_violations(profiles, "user_profiles").collect()] == [("role", 1)]
+
+
+def test_retry_chain_follows_long_chains(spark, tmp_path):
+    rows = spark.range(150).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 150 - id) AS ts", "id % 2 AS user_id", "'error' AS event_type", "0D AS value", "'{}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["retry_chain"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r[c] for c in ("event_id", "user_id", "parent", "depth", "root")) for r in found) == [(k, k % 2, k + 2 if k < 148 else None, (149 - k) // 2, 148 + k % 2) for k in range(150)]
