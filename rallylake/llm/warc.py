@@ -44,10 +44,22 @@ def records(pages: DataFrame, at_least: int = 0, id_col: str = "page_id", payloa
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit("")
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "%0A").alias("url"))
     keyed = pages.withColumns({"sha": F.sha1(F.col("payload").cast("binary")), "n": F.octet_length("payload").cast("long")})
-    groups = keyed.where(F.col("n") >= at_least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    keyed = keyed.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    counted = materialize(keyed.groupBy("page", "page_id", "sha", "n").agg(F.count("*").alias("rows")), "counted")
+    groups = counted.where(F.col("n") >= at_least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.sum("rows").alias("copies"))
     # written first, so that the planner knows its size: pages move only if the copies are many
     copies = materialize(groups.where("copies > 1").select("sha", "n", "first"), "copies")
-    return keyed.join(copies, ["sha", "n"], "left").select("page_id", "payload", "url", "sha", "n", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    # the id of a record is its page and digest; rows that repeat these are told apart by a number, except for one
+    again, same = materialize(counted.where("rows > 1").select("page", "sha", "n"), "again"), ["page", "sha", "n"]
+    if again.isEmpty():
+        keyed = keyed.withColumn("copy", F.lit(None).cast("long"))
+    else:
+        many = materialize(keyed.join(again, same, "left_semi").withColumn("copy", F.monotonically_increasing_id()), "repeated")
+        plain = many.groupBy(same).agg(F.min("copy").alias("copy")).select("copy", F.lit(True).alias("plain"))
+        many = many.join(plain, "copy", "left").withColumn("copy", F.when(F.col("plain").isNull(), F.col("copy"))).drop("plain")
+        keyed = keyed.join(again, same, "left_anti").withColumn("copy", F.lit(None).cast("long")).unionByName(many)
+    record = F.concat_ws(":", F.lit("<urn:page"), "page", "sha", "copy")
+    return keyed.join(copies, ["sha", "n"], "left").select(record.alias("record"), "payload", "url", "sha", "n", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, at_least: int = 0, chunk_bytes: int = CHUNK, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> None:
@@ -58,17 +70,16 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, chunk_bytes:
     pieces = F.when(F.contains(block, F.lit(VERSION + FIRST)), F.transform(pieces, lambda x, i: F.concat(F.when(i > 0, FIRST).otherwise(""), x, F.when(i < F.size(pieces) - 1, VERSION).otherwise("")))).otherwise(F.array(block))
     cut = F.flatten(F.transform(pieces, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(x) - 1, F.lit(0)), F.lit(chunk_bytes)), lambda a: F.substring(x.cast("binary"), a + 1, F.lit(chunk_bytes)))))
     segmented = F.col("segments") > 1
-    rows = rows.select("page_id", "url", "sha", "n", "refers_to", cut.alias("cut")).select("page_id", "url", "sha", "n", "refers_to", F.size("cut").alias("segments"), F.posexplode("cut").alias("k", "block"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    rows = rows.select("record", "url", "sha", "n", "refers_to", cut.alias("cut")).select("record", "url", "sha", "n", "refers_to", F.size("cut").alias("segments"), F.posexplode("cut").alias("k", "block"))
     head = F.concat(
         F.lit(VERSION + FIRST),
         F.when(F.col("k") > 0, "continuation").when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), page, F.when(F.col("k") > 0, F.concat(F.lit(":"), (F.col("k") + 1).cast("string"))).otherwise(""), F.lit(">"),
+        F.lit("\r\nWARC-Record-ID: "), F.col("record"), F.when(F.col("k") > 0, F.concat(F.lit(":segment-"), (F.col("k") + 1).cast("string"))).otherwise(""), F.lit(">"),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("sha")),
-        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(":"), F.col("sha"), F.lit(">"))).otherwise(""),
         F.when(segmented, F.concat(F.lit("\r\nWARC-Segment-Number: "), (F.col("k") + 1).cast("string"))).otherwise(""),
-        F.when(F.col("k") > 0, F.concat(F.lit("\r\nWARC-Segment-Origin-ID: <urn:page:"), page, F.lit(">"))).otherwise(""),
+        F.when(F.col("k") > 0, F.concat(F.lit("\r\nWARC-Segment-Origin-ID: "), F.col("record"), F.lit(">"))).otherwise(""),
         F.when((F.col("k") > 0) & (F.col("k") == F.col("segments") - 1), F.concat(F.lit("\r\nWARC-Segment-Total-Length: "), F.col("n").cast("string"))).otherwise(""),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit(END),
     )
@@ -141,14 +152,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = chunks.where("not segmented").select("record_id", F.octet_length("chunk").cast("long").alias("payload_bytes"), base32(F.sha1("chunk")).alias("payload_digest"), "record_type", "refers_to")
     parts = running_digests(chunks).groupBy("record_id").agg(F.max("bytes_so_far").alias("payload_bytes"), F.max_by("digest_so_far", "chunk_no").alias("payload_digest"), F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
     found = materialize(whole.union(parts), "records")
-    originals = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"))
-    visits = found.where("record_type = 'revisit'").select("record_id", "record_type", "refers_to").join(originals, "refers_to", "left")
+    originals = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("original"))
+    visits = found.where("record_type = 'revisit'").select("record_id", "record_type", "refers_to").join(originals, "refers_to", "left").select("record_id", "record_type", "refers_to", "original.*")
     columns = ["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return found.where("record_type <> 'revisit'").select(columns).union(visits.select(columns))
 
 
 def page_id(record: str) -> Column:
-    return F.regexp_extract(record, "<urn:page:(-?\\d+)>", 1)
+    return F.regexp_extract(record, "<urn:page:(-?\\d+):", 1)
 
 
 def round_trip(pages: DataFrame, path: str, at_least: int = 0, chunk_bytes: int = CHUNK, **columns: str) -> DataFrame:
@@ -156,7 +167,7 @@ def round_trip(pages: DataFrame, path: str, at_least: int = 0, chunk_bytes: int
 
     Null payloads are empty ones, of which the later revisit the first. A null page_id comes back as
     null and is never preferred. Rows that repeat a page with its payload are each a response if the
-    page is the first; a segmented one of them is read once. An empty table gives no rows.
+    page is the first. Each row comes back once, of whatever length. An empty table gives no rows.
     """
     write_archives(pages, path, at_least, chunk_bytes, **columns)
     found = read_archives(pages.sparkSession, path)

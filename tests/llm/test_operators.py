@@ -128,6 +128,24 @@ def test_warc_threshold_repeats_and_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), scratch_path(spark, "w")).count() == 0
 
 
+def test_warc_long_pages_of_one_id(spark):
+    # repeated rows, one id with two payloads, and null ids, all beyond the chunk
+    a, b, c, d, e = ("".join(random.Random(k).choices("abcdef ", k=100 + 37 * k)) for k in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, b), (2, c), (None, d), (None, e), (None, e), (None, a), (4, "x"), (4, "x"), (5, "x")]
+    path = scratch_path(spark, "w")
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, html string").repartition(3), path, chunk_bytes=40)
+    import base64
+
+    digest = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    first = {a: 1, b: 2, c: 2, "x": 4}
+    want = [(p, len(x), digest(x), *(("response", None) if first.get(x) == p else ("revisit", first[x]))) for p, x in rows]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    chunks = warc.chunk_table(spark, path)
+    assert chunks.count() == chunks.select("record_id", "chunk_no").distinct().count()
+    records = {r[0] for r in chunks.select("record_id").collect()}
+    assert len(records) == len(rows) and {r[0] for r in chunks.where("refers_to is not null").select("refers_to").collect()} < records
+
+
 def test_warc_running_digests(spark):
     path = scratch_path(spark, "w")
     raw = random.Random(1).randbytes(5000).hex()
