@@ -160,16 +160,35 @@ def links(nodes: DataFrame, hot: int = 4096) -> DataFrame:
     return out
 
 
+def chained(fps: DataFrame, hot: int = 4096) -> DataFrame:
+    """(fp, component): every distinct fingerprint and the smallest that chains of links connect it with."""
+    nodes = materialize(fps.groupBy("fp").agg(F.first("fp").alias("node")), "nodes")
+    # written, so that a task never runs two Python workers at once, whose memory adds up
+    found = components(materialize(links(nodes, hot), "bucket-links"))
+    return materialize(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "chained")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Rows with equal text share a fingerprint and so a component. Null texts count as empty. A row
     whose doc_id is null takes part with its fingerprint and never names a component unless all of
-    the component's ids are null. Repeated rows are kept. An empty table gives no rows.
+    the component's ids are null. Rows of one id link by their texts alone, never by the id. Repeated
+    rows are kept. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    # written, so that a task never runs two Python workers at once, whose memory adds up
-    found = components(materialize(links(nodes.where("node is not null"), hot), "bucket-links"))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = chained(fps, hot).join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = nodes.join(names, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct_rows(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, a null id last; rows
+    of one id in a component differ by their text, and the one of the least digest stays."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    fps = materialize(fingerprints(rows, shingle, "_row", text_col).withColumnRenamed("doc_id", "_row"), "fingerprints")
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.sha1(F.to_json(F.struct(*[F.col(c) for c in docs.columns]))).alias("sha"), F.col("_row").alias("row"))
+    placed = fps.join(chained(fps, hot), "fp").select("_row", "component").join(rows.select("_row", order.alias("place")), "_row")
+    chosen = materialize(placed.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("_row")), "chosen")
+    return rows.join(chosen, "_row", "left_semi").select(docs.columns)

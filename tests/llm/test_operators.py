@@ -397,6 +397,31 @@ def test_simhash_repeated_rows_null_ids_and_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_simhash_links_by_text_not_by_id(spark):
+    x, y, z = ("".join(random.Random(k).choices("abcdefgh  ", k=400)) for k in range(3))
+    # one id with unrelated texts does not join their groups
+    out = simhash.near_duplicates(documents(spark, [x, x, y, y], [1, 7, 7, 3])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (3, 3), (7, 1), (7, 3)]
+
+
+def test_simhash_chains_through_rows_without_id(spark, monkeypatch):
+    fps = {"a": 0, "b": 0b111, "c": 0b111111, "d": (1 << 40) - 1 << 20}
+    rows = [(5, fps["a"]), (None, fps["b"]), (9, fps["c"]), (None, fps["d"])]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame([(a, simhash._signed(b)) for a, b in rows], "doc_id long, fp long"))
+    out = simhash.near_duplicates(documents(spark, ["x"])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(5, 5), (None, 5), (9, 5), (None, None)}
+
+
+def test_distinct_rows_keep_each_text_of_an_id(spark):
+    x, y, z = ("".join(random.Random(k).choices("abcdefgh  ", k=400)) for k in range(3))
+    # y stands under two ids, of which one has x too; z only without an id; a null id with x goes
+    rows = [(7, x), (7, y), (7, y), (9, y), (None, x), (None, z), (None, z)]
+    df = documents(spark, [t for _, t in rows], [k for k, _ in rows])
+    for parts in (1, 4):
+        out = simhash.distinct_rows(df.repartition(parts)).collect()
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(str, [(7, x), (7, y), (None, z)]))
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 360)] + [(400, k) for k in range(401, 470)]
