@@ -13,7 +13,6 @@ made them, and a task holds one block.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -36,26 +35,21 @@ def place(lengths: list[int], sequences: int, capacity: int, linear: float, quad
     The items hold at least ``sequences * capacity`` tokens together. Returns per sequence its pieces
     (item, start, length), and the left-over tokens as (item, start).
     """
-    room = [capacity] * sequences
+    room, cost = np.full(sequences, capacity), np.zeros(sequences)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(sequences)]
-    open_ = [(0.0, s) for s in range(sequences)]
     unplaced = []
     for item in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
-        n, aside = lengths[item], []
-        # the lowest-cost sequence with room: cheap sequences are the emptier ones, so few are set aside
-        while open_ and len(aside) < 64 and room[open_[0][1]] < n:
-            aside.append(heapq.heappop(open_))
-        if open_ and room[open_[0][1]] >= n:
-            cost, s = heapq.heappop(open_)
+        n = lengths[item]
+        # the lowest-cost sequence of all with room; of equal ones the first
+        s = int(np.argmin(np.where(room >= n, cost, np.inf))) if sequences else 0
+        if sequences and room[s] >= n:
             out[s].append((item, 0, n))
             room[s] -= n
-            if room[s]:
-                heapq.heappush(open_, (cost + linear * n + quadratic * n * n, s))
+            cost[s] += linear * n + quadratic * n * n
         else:
             unplaced.append(item)
-        for x in aside:
-            heapq.heappush(open_, x)
-    gaps, left = sorted((s for _, s in open_), key=lambda s: (-room[s], s)), []
+    room = room.tolist()
+    gaps, left = sorted((s for s in range(sequences) if room[s]), key=lambda s: (-room[s], s)), []
     at = 0
     for item in unplaced:
         start = 0

@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer, with a cache of white-space separated chunks.
 
-The tokenizer (word BPE: lower case, white space dropped) never joins across ASCII white space, so
-the ids of a text are those of its chunks. Arrow splits a batch and numbers its distinct chunks; each
+The tokenizer is used as its file loads: strings of its special tokens have the ids of these tokens.
+It (word BPE: lower case, white space dropped) never joins across ASCII white space, so the ids of a
+text are those of its chunks. Arrow splits a batch and numbers its distinct chunks; each
 of these is encoded by the library once, and the ids of the texts are gathered from the kept ones. The
 cache lives as long as the Python worker; when it is full, what few batches had goes.
 """
@@ -33,12 +34,12 @@ class ChunkEncoder:
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = cache
+        # strings of special tokens count as written: a batch with one, in any case, is not lower-cased first
+        self.special = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         assert len(self.mark) == 1
         self._clear()
@@ -80,7 +81,7 @@ class ChunkEncoder:
 
     def _learn(self, fresh: list[str]) -> None:
         # a word with its full stop or comma has the ids of the word and those of the mark
-        tails = {x: m.groups() for x in fresh if (m := TAILED.fullmatch(x))}
+        tails = {x: m.groups() for x in fresh if (m := TAILED.fullmatch(x)) and not (self.special and re.search(self.special, x))}
         new = list(set(fresh).difference(tails).union(*tails.values()).difference(self.known))
         plain = [x for x in new if PLAIN.fullmatch(x)]
         for part, tokenizer in ((plain, self.plain), (list(set(new).difference(plain)), self.tokenizer)):
@@ -94,7 +95,10 @@ class ChunkEncoder:
 
     def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the chunks of all texts, one after another, and where each text's chunks begin and end."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        texts = texts.fill_null("")
+        if not self.special or not pc.any(pc.match_substring_regex(texts, self.special, ignore_case=True)).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False)
         numbers = list(map(self.known.get, names))
