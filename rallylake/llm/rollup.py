@@ -8,6 +8,8 @@ Totals are the sums over the committed batches; ``compact`` folds batches into o
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,12 @@ def without_repeated_lines(text: bytes) -> bytes:
     return b"\n".join(dict.fromkeys(lines)) if len(set(lines)) < len(lines) else text
 
 
+def version(path: str) -> str:
+    """The tokenizer's name and the beginning of its vocabulary's digest."""
+    with open(path, "rb") as f:
+        return f"{path.rpartition('/')[2].rpartition('.')[0]}@{hashlib.file_digest(f, 'sha256').hexdigest()[:12]}"
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, revise=without_repeated_lines, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, source, lang, tokenizer, tokens, revised_tokens: two rows a document, for the vocabulary
     file at ``path`` (default: the public word BPE) and for white-space words.
@@ -33,7 +41,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, revise=without_repeat
     ``revise`` gives the revised text whose tokens are the revised count. Null texts count as empty.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    name = path.rpartition("/")[2].rpartition(".")[0]
+    name = version(path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def make():
@@ -103,6 +111,4 @@ class Rollup:
     def compact(self, into: Rollup) -> None:
         """Write the totals as one batch of another rollup; its id names the batches that it holds, so
         that a repeated compaction changes nothing."""
-        import hashlib
-
         into.commit("upto-" + hashlib.sha256("\n".join(self.committed()).encode()).hexdigest()[:16], self.totals())

@@ -108,7 +108,7 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash"))
     import base64
 
-    for chunk in (37, 1 << 20):
+    for chunk in (8, 37, 1 << 16, 1 << 20):
         out = by_id(warc.round_trip(pages, scratch_path(spark, "w"), chunk_bytes=chunk), "page_id")
         assert len(out) == len(rows)
         first = {}
@@ -133,13 +133,17 @@ def test_warc_long_pages_of_one_id(spark):
     a, b, c, d, e = ("".join(random.Random(k).choices("abcdef ", k=100 + 37 * k)) for k in range(5))
     rows = [(1, a), (1, a), (1, a), (2, a), (2, b), (2, c), (None, d), (None, e), (None, e), (None, a), (4, "x"), (4, "x"), (5, "x")]
     path = scratch_path(spark, "w")
-    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, html string").repartition(3), path, chunk_bytes=40)
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+    out = warc.round_trip(pages, path, chunk_bytes=40)
     import base64
 
     digest = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
     first = {a: 1, b: 2, c: 2, "x": 4}
     want = [(p, len(x), digest(x), *(("response", None) if first.get(x) == p else ("revisit", first[x]))) for p, x in rows]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    for chunk in (8, 1 << 16, 1 << 20):
+        again = warc.round_trip(pages, scratch_path(spark, "w"), chunk_bytes=chunk)
+        assert sorted(map(str, map(tuple, again.collect()))) == sorted(map(str, want))
     chunks = warc.chunk_table(spark, path)
     assert chunks.count() == chunks.select("record_id", "chunk_no").distinct().count()
     records = {r[0] for r in chunks.select("record_id").collect()}
@@ -154,6 +158,9 @@ def test_warc_running_digests(spark):
     assert chunks.where("not complete or octet_length(chunk) > 999").count() == 0
     rows = warc.running_digests(chunks).orderBy("chunk_no").collect()
     assert [r["chunk_no"] for r in rows] == list(range(1, 12)) and rows[-1]["bytes_so_far"] == 10_000
+    assert [r["last"] for r in rows] == [False] * 10 + [True]
+    table = warc.chunked(spark.createDataFrame([(1, "u", raw), (None, "u", None)], "page_id long, url string, html string"), chunk_bytes=999).where("page_id = 1").orderBy("chunk_no").collect()
+    assert [r["digest_so_far"] for r in table] == [r["digest_so_far"] for r in rows] and b"".join(r["chunk"] for r in table) == raw.encode()
 
 
 # ---- 3
@@ -448,7 +455,7 @@ def test_rollup_matches_recount(spark, small):
         text = r["text"]
         if r["doc_id"] % 2:
             text = "\n".join(dict.fromkeys(text.split("\n")))
-        for name, n in (("word_bpe_49k", len(tokenizer.encode(text, add_special_tokens=False).ids)), ("whitespace", len(text.encode().split()))):
+        for name, n in ((rollup.version(public_tokenizers.path("word_bpe_49k.json")), len(tokenizer.encode(text, add_special_tokens=False).ids)), ("whitespace", len(text.encode().split()))):
             want[r["source"], r["lang"], name][0] += 1
             want[r["source"], r["lang"], name][1] += n
     kept = rollup.Rollup(spark, scratch_path(spark, "rollup"))
@@ -574,6 +581,33 @@ def test_packing_balances_cost():
     assert cut < 0.2 * len(lengths)
 
 
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = random.Random(4)
+    for _ in range(60):
+        sequences, capacity = rng.randint(1, 90), 64
+        lengths = [rng.choice((1, 2, 31, 33, 40, 63, 64)) for _ in range(sequences)]
+        while sum(lengths) < sequences * capacity:
+            lengths.append(rng.randint(1, 64))
+        placed, left = packing.place(lengths, sequences, capacity, 1.0, 0.25)
+        room, cost, whole = [capacity] * sequences, [0.0] * sequences, {}
+        for item in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+            n = lengths[item]
+            fits = [s for s in range(sequences) if room[s] >= n]
+            if fits:
+                s = min(fits, key=lambda s: (cost[s], s))
+                whole[item] = s
+                room[s] -= n
+                cost[s] += n + 0.25 * n * n
+        assert {k: s for s, pieces in enumerate(placed) for k, a, n in pieces if a == 0 and n == lengths[k] and k in whole} == whole
+        assert all(sum(x[2] for x in pieces) == capacity for pieces in placed)
+        assert sum(lengths[k] - a for k, a in left) == sum(lengths) - sequences * capacity
+
+
+def test_special_tokens_are_those_of_the_loaded_file(spark):
+    texts = ["<|endoftext|>", "one <|startoftext|>two<|endoftext|>.", "ONE <|ENDOFTEXT|>"]
+    assert check_packing(packing.pack(documents(spark, texts)).collect(), dict(enumerate(texts))) == 0
+
+
 # ---- 10
 
 
@@ -628,10 +662,12 @@ def test_cached_ids_are_those_of_the_tokenizer():
     rng = random.Random(8)
     pieces = ["it's", "IT'S.", "don't!!", "a.b", "x=", "̸", "≠", "é", "é.", "É,", "ß!", "Σ", "ΑΣ.", " ", "\xa0", "\x1c", "\x01", "<|endoftext|>", "12.5%", "''", "'", "'.", "a'", "a'.", "…!", "!…", "‍", "日本語", "日本語.", "ﬁ", "K", "İ.", "🏸.", "\x00."]
     texts = ["".join(rng.choice([*pieces, " ", "\n", "\t ", "\x0b", "w", "Word,"]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    encoder = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), cache=900)
+    special = ["<|endoftext|>", "<|startoftext|>", "a<|endoftext|>b", "x<|endoftext|>.", "<|ENDOFTEXT|>", "<|EndOfText|>!", "<|endoftext|"]
+    texts += ["".join(rng.choice([*special, *pieces[:6], " ", "\n"]) for _ in range(rng.randint(0, 20))) for _ in range(300)] + special
+    encoder, fresh = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), cache=900), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
-        want = [x.ids for x in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        want = [x.ids for x in fresh.encode_batch(part, add_special_tokens=False)]
         column = pa.array([None, *part, ""], pa.string())
         assert [x.tolist() for x in encoder.encode(column)] == [[], *want, []]
         assert encoder.lengths(column[1:]).tolist() == [*map(len, want), 0]
