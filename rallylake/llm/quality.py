@@ -1,11 +1,12 @@
 """Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer.
 
 Two heads, "junk" and "toxic". Each has heuristic labellers that vote bad (1), good (0) or abstain
-(-1) on every document; the given labels, where there are any, are one labeller more. Expectation-
-maximisation over the counts of vote patterns (at most 3 ** labellers rows, whatever the corpus)
-estimates how each labeller votes on bad and on good documents. The posteriors of a bounded sample
-then train a logistic scorer over hashed words, word beginnings and shape buckets, which scores all
-documents.
+(-1) on every document; the given labels are one labeller more, which abstains where there is none.
+Expectation-maximisation over the counts of vote patterns (at most 3 ** labellers rows, whatever the
+corpus) estimates how each labeller, the given labels included, votes on bad and on good documents.
+The posteriors of a bounded sample of all documents then train a logistic scorer over hashed words,
+word beginnings and shape buckets, which scores all documents. A document weighs in the training by
+the share of what could be known that its votes tell: none if all labellers abstain.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallylake.llm.common import arrow_map, materialize, per_batch, utf8
+from rallylake.llm.common import WORDS, arrow_map, materialize, per_batch, utf8
 
 # An everyday list of insults; other words are learned from the labels.
 INSULTS = frozenset(b"clown disgusting dumb fool idiot idiotic imbecile jerk loser moron moronic pathetic scum stupid trash worthless".split())
+# Frequent English words; the insults are English, so on other texts their labeller abstains.
+ENGLISH = frozenset(b"the and of to in is that for with was are this from have not".split())
 SYMBOLS = b"#$%&*|!@^~=+<>{}\\_"
-#: Separators become spaces, A-Z become a-z; digits, letters and bytes of other characters stay.
-WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 JUNK = ("symbols", "capitals", "stutter", "variety", "table", "function_words")
-TOXIC = ("insults", "insult_share")
+TOXIC = ("insults",)
 HEADS = {"junk": JUNK, "toxic": TOXIC}
 
 
@@ -65,7 +66,7 @@ def votes(s: dict[str, float], found: set[bytes]) -> dict[str, list[int]]:
         vote(s["table"], 0.2, 0.05) if n > 4 else -1,
         vote(s["function_words"], 0.05, 0.15) if n > 19 else -1,
     ]
-    return {"junk": junk, "toxic": [int(insults > 0), vote(insults / max(1, len(found)), 0.002, 0.0005) if n > 4 else -1]}
+    return {"junk": junk, "toxic": [1 if insults else 0 if len(found & ENGLISH) > 2 else -1]}
 
 
 def features(s: dict[str, float], found: set[bytes]) -> np.ndarray:
@@ -76,45 +77,58 @@ def features(s: dict[str, float], found: set[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, [*found, *text, *buckets]), np.int64)
 
 
+#: How a labeller is expected to vote before any vote is seen: its accuracy, and how much that counts
+#: beside its own votes. Heuristics are taken at their votes; given labels are trusted as much as they tell.
+HEURISTIC, LABEL = (0.7, 0.01), (0.995, 1.0)
+
+
 class LabelModel:
     """How each labeller votes by class, estimated by expectation-maximisation from pattern counts."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, gold: bool = True, rounds: int = 100):
-        """patterns: votes, a row each; with ``gold`` the last column is the given label, which decides
-        where there is one. At the start a pattern is bad if any labeller says so."""
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, trust: list[tuple[float, float]] | None = None, rounds: int = 200):
+        """patterns: votes, a row each. ``trust``: by labeller the expected accuracy and its weight, as a
+        share of the labeller's votes. At the start a pattern is bad if any labeller says so."""
+        trust = trust or [HEURISTIC] * patterns.shape[1]
         self.table = np.full((patterns.shape[1], 2, 3), 0.5)  # by labeller, class and vote; abstaining tells nothing
         self.table[:, :, 0] = 1
-        self.prior = 0.5
+        self.prior = 0.05
         if not len(patterns):
             return
-        p = given(patterns, np.where((patterns == 1).any(axis=1), 0.9, 0.05)) if gold else np.where((patterns == 1).any(axis=1), 0.9, 0.05)
+        p = np.where((patterns == 1).any(axis=1), 0.9, 0.05)
         for _ in range(rounds):
             weight = np.stack([(1 - p) * counts, p * counts])
             self.prior = float((weight[1].sum() + 1) / (counts.sum() + 2))
-            for v in (1, 2):
-                self.table[:, :, v] = (weight @ (patterns == v - 1)).T + 0.5
-            self.table[:, :, 1:] /= self.table[:, :, 1:].sum(axis=2, keepdims=True)
-            now = given(patterns, self.posterior(patterns[:, : patterns.shape[1] - gold])) if gold else self.posterior(patterns)
-            if np.abs(now - p).max() < 1e-6:
+            for k, (accuracy, share) in enumerate(trust):
+                voted = patterns[:, k] >= 0
+                right = np.array([[accuracy, 1 - accuracy], [1 - accuracy, accuracy]])
+                seen = np.stack([weight @ (patterns[:, k] == v) for v in (0, 1)], axis=1)
+                beside = 1 + share * (weight @ voted)
+                self.table[k, :, 1:] = (seen + beside[:, None] * right) / (seen.sum(axis=1) + beside)[:, None]
+            now = self.posterior(patterns)
+            if np.abs(now - p).max() < 1e-9:
                 break
             p = now
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability that a document with these votes of the first labellers is bad."""
+        """Probability that a document with these votes (of the first labellers, or of all) is bad."""
         log = np.log([1 - self.prior, self.prior])[None, :] + sum(np.log(self.table[k][:, patterns[:, k] + 1]).T for k in range(patterns.shape[1]))
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
-
-def given(patterns: np.ndarray, p: np.ndarray, sure: float = 0.99) -> np.ndarray:
-    """``p``, but what the given label says (the last column) where there is one."""
-    return np.where(patterns[:, -1] >= 0, np.where(patterns[:, -1] == 1, sure, 1 - sure), p)
+    def told(self, p: np.ndarray) -> np.ndarray:
+        """The share of what could be known that a posterior tells beyond the prior, 0 to 1: its divergence
+        from the prior against that of certainty."""
+        q, tiny = self.prior, 1e-300
+        gain = p * np.log(np.maximum(p, tiny) / q) + (1 - p) * np.log(np.maximum(1 - p, tiny) / (1 - q))
+        return np.clip(gain / np.where(p > q, -np.log(q), -np.log(1 - q)), 0, 1)
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 20, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on presence of hashed features with soft targets (adaptive gradient steps in
-    batches). Returns the sorted feature hashes, their weights and the bias."""
+def train(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, epochs: int = 20, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on presence of hashed features with soft targets and row weights (adaptive
+    gradient steps in batches), from the mean target on. Returns the sorted feature hashes, their weights
+    and the bias."""
     known = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]))
-    weights, bias = np.zeros(len(known)), 0.0
+    mean = (weight @ target + 0.05) / (weight.sum() + 1)
+    weights, bias = np.zeros(len(known)), float(np.log(mean / (1 - mean)))
     if not len(rows):
         return known, weights, bias
     sums, bias_sum = np.full(len(known), 1e-8), 1e-8
@@ -125,7 +139,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 20, rate: fl
             where = np.concatenate([at[k] for k in part])
             row = np.repeat(np.arange(len(part)), [len(at[k]) for k in part])
             z = np.bincount(row, weights[where], len(part)) + bias
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[part]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[part]) * weight[part]
             gradient = np.bincount(where, error[row], len(known)) / len(part) + ridge * weights
             sums += gradient**2
             weights -= rate * gradient / np.sqrt(sums)
@@ -152,8 +166,16 @@ def _decode(code: int, n: int) -> list[int]:
 
 def _voted():
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [votes(s, w) for s, w in _seen(batch, 1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([_code(r[h]) for r in rows], pa.int64()) for h in HEADS)], names=["doc_id", *HEADS])
+        rows = [votes(s, w) for s, w in _seen(batch, 2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([_code(r[h]) for r in rows], pa.int64()) for h in HEADS)], names=["doc_id", "digest", *HEADS])
+
+    return f
+
+
+def _featured():
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [np.unique(features(s, w)).astype(np.uint32).view(np.int32) for s, w in _seen(batch, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int32()))], names=["digest", "features"])
 
     return f
 
@@ -167,7 +189,7 @@ class Scorer:
     def score(self, head: str, hashes: np.ndarray) -> float:
         known, weights, bias = self.weights[head]
         if not len(known):
-            return 0.0
+            return 1 / (1 + np.exp(-bias))
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         z = float(weights[at][known[at] == hashes].sum()) + bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -176,89 +198,61 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame | None = None, max_rows: int = 30_000, least_share: float = 0.01, least_ratio: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Fit on ``docs`` and, if given, ``labels`` (doc_id, quality 0/1, toxic 0/1; nulls do not vote).
 
-    The label models see every document's votes. The scorers are trained on at most about ``max_rows``
-    documents chosen by a hash of their id: labelled ones if labels of both kinds exist for a head.
-    A feature is used if it occurs in ``least_share`` of the bad documents (and in 3), ``least_ratio``
-    times as often as among the good.
+    The label models see every document's votes. The scorers are trained on about ``max_rows`` distinct
+    texts of all documents, chosen by a hash of the text with a chance in proportion to what its votes
+    tell; their targets are the posteriors. A feature is used if it occurs in ``least_share`` of the bad
+    texts (and in 3), ``least_ratio`` times as often as among the good. Of repeated ids' labels the worst
+    counts; of a text with several labels the least pattern of votes. Null ids have no label. A table
+    without bad documents gives a scorer of the low mean alone.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     spark = docs.sparkSession
     gold = spark.createDataFrame([], "doc_id long, junk_label int, toxic_label int")
     if labels is not None:
         gold = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("junk_label"), F.max("toxic").cast("int").alias("toxic_label"))
     marks = [F.coalesce(F.when(F.col(f"{h}_label").isin(0, 1), F.col(f"{h}_label")), F.lit(-1)).alias(f"{h}_label") for h in HEADS]
-    voted = materialize(docs.transform(arrow_map, per_batch(_voted), "doc_id long, junk long, toxic long").join(gold, "doc_id", "left").select("doc_id", *HEADS, *marks), "votes")
-    models, both = {}, {}
+    voted = docs.select("doc_id", "digest", "text").transform(arrow_map, per_batch(_voted), "doc_id long, digest long, junk long, toxic long")
+    voted = materialize(voted.join(gold, "doc_id", "left").select("digest", *HEADS, *marks), "votes")
+    models, known = {}, {}
     for head, names in HEADS.items():
         found = sorted(voted.groupBy(head, f"{head}_label").count().collect())
         patterns = np.array([[*_decode(r[0], len(names)), r[1]] for r in found], int).reshape(-1, len(names) + 1)
         counts = np.array([r["count"] for r in found], float)
-        models[head] = LabelModel(patterns, counts)
-        both[head] = all(counts[patterns[:, -1] == v].sum() >= 20 for v in (0, 1)) if len(patterns) else False
-    n = voted.where("junk_label >= 0 or toxic_label >= 0").count() if any(both.values()) else voted.count()
-    keep = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * max_rows / max(1, n)))
-    # of repeated ids and texts the least row, and whole numbers below: a fit does not depend on the order of rows
-    least = lambda df, key: df.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_r")).select(key, "_r.*")
-    sample = docs.where(keep).join(least(voted.where(keep), "doc_id"), "doc_id")
-    if any(both.values()):
-        sample = sample.where("junk_label >= 0 or toxic_label >= 0")
-    sample = materialize(least(sample, "text").select("doc_id", "text", *voted.columns[1:]), "sample")
-    shared = spark.sparkContext.broadcast((models, both))
-    counts = sample.transform(arrow_map, _feature_counts(shared), "head string, feature long, bad double, good double").groupBy("head", "feature").agg(*[(F.sum(F.round(F.col(c) * 1e6).cast("long")) / 1e6).alias(c) for c in ("bad", "good")])
-    counts = materialize(counts.where("bad > 2 or feature < 0"), "features")
+        models[head] = LabelModel(patterns, counts, [HEURISTIC] * len(names) + [LABEL])
+        p = models[head].posterior(patterns)
+        told = models[head].told(p)
+        # a text is chosen in proportion to what its votes tell; what the rate cannot give, the weight does
+        rate = np.minimum(1, told * max_rows / len(HEADS) / max(1e-9, float(told @ counts)))
+        weigh = np.divide(told, rate, out=np.zeros(len(told)), where=rate > 0)
+        weigh /= max(1e-300, float(weigh.max(initial=0)))
+        known[head] = [(r[0], r[1], *map(float, x)) for r, *x in zip(found, p, weigh, rate, strict=True)]
+    place = F.shiftrightunsigned("digest", 24) / float(1 << 40)
+    for head in HEADS:
+        rows = spark.createDataFrame(known[head], f"{head} long, {head}_label int, {head}_target double, {head}_weight double, {head}_rate double")
+        voted = voted.join(F.broadcast(rows), [head, f"{head}_label"])  # a row a pattern of votes
+    chosen = voted.where(F.greatest(*[F.col(f"{h}_rate") for h in HEADS]) > place)
+    sides = [c for h in HEADS for c in (f"{h}_target", F.when(F.col(f"{h}_rate") > place, F.col(f"{h}_weight")).otherwise(0.0).alias(f"{h}_weight"))]
+    chosen = materialize(chosen.select("digest", F.struct(*HEADS, *marks, *sides).alias("row")).groupBy("digest").agg(F.min("row").alias("row")).select("digest", "row.*"), "chosen")
+    # about max_rows keys of eight bytes; texts that repeat give one row of features
+    shapes = docs.join(F.broadcast(chosen.select("digest")), "digest", "left_semi").select("digest", "text").transform(arrow_map, per_batch(_featured), "digest long, features array<int>")
+    sample = materialize(shapes.groupBy("digest").agg(F.first("features").alias("features")).join(chosen, "digest"), "sample")
     weights = {}
     for head in HEADS:
-        own = counts.where(F.col("head") == head)
-        total = own.where("feature < 0").first()
-        if total is None or min(total["bad"], total["good"]) < 3:
-            weights[head] = (np.zeros(0, np.int64), np.zeros(0), -10.0)
-            continue
-        bad, good = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
-        useful = (F.col("bad") >= max(2.5, least_share * total["bad"])) & (bad >= least_ratio * good)
-        chosen = np.sort(own.where("feature >= 0").where(useful).select("feature").toPandas()["feature"].to_numpy())
-        data = sample.transform(arrow_map, _chosen_features(shared, head, spark.sparkContext.broadcast(chosen)), "doc_id long, target double, features array<long>").toPandas().sort_values("doc_id")
-        weights[head] = train([np.asarray(x, np.int64) for x in data["features"]], data["target"].to_numpy())
+        own = sample.where(F.col(f"{head}_weight") > 0).select("digest", "features", F.col(f"{head}_target").alias("target"), F.col(f"{head}_weight").alias("weight"))
+        # whole numbers, so that a sum does not depend on the order of rows
+        bad, good = (F.sum(F.round(x * F.col("weight") * 1e6).cast("long")) / 1e6 for x in (F.col("target"), 1 - F.col("target")))
+        total = own.agg(F.coalesce(bad, F.lit(0.0)).alias("bad"), F.coalesce(good, F.lit(0.0)).alias("good")).first()
+        counts = own.select("target", "weight", F.explode("features").alias("feature")).groupBy("feature").agg(bad.alias("bad"), good.alias("good"))
+        share, other = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
+        useful = (F.col("bad") >= max(2.5, least_share * total["bad"])) & (share >= least_ratio * other)
+        useful = materialize(counts.where(useful).select("feature"), "features")
+        pairs = own.select("digest", F.explode("features").alias("feature")).join(useful, "feature").groupBy("digest").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+        data = own.select("digest", "target", "weight").join(pairs, "digest", "left").toPandas().sort_values("digest")
+        rows = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int32).view(np.uint32).astype(np.int64) for x in data["features"]]
+        weights[head] = train(rows, data["target"].to_numpy(float), data["weight"].to_numpy(float))
     return Scorer(models, weights)
 
 
-def _targets(batch: pa.RecordBatch, head: str, models, both) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each sampled row, and whether it trains this head."""
-    names = batch.schema.names
-    code, label = (batch.column(names.index(c)).to_numpy() for c in (head, f"{head}_label"))
-    patterns = np.array([[*_decode(int(c), len(HEADS[head])), int(g)] for c, g in zip(code, label, strict=True)], int).reshape(-1, len(HEADS[head]) + 1)
-    return given(patterns, models[head].posterior(patterns[:, :-1])), label >= 0 if both[head] else np.ones(len(code), bool)
-
-
-def _feature_counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, both = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                hashes = [np.unique(features(s, w)) for s, w in _seen(part, 1)]
-                flat = np.concatenate([np.zeros(0, np.int64), *hashes])
-                ids, where = np.unique(flat, return_inverse=True)
-                for head in HEADS:
-                    p, use = _targets(part, head, models, both)
-                    row = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-                    bad, good = np.bincount(where, (p * use)[row], len(ids)), np.bincount(where, ((1 - p) * use)[row], len(ids))
-                    out = [np.append(ids, -1), np.append(bad, (p * use).sum()), np.append(good, ((1 - p) * use).sum())]
-                    yield pa.RecordBatch.from_arrays([pa.array([head] * len(out[0])), *map(pa.array, out)], names=["head", "feature", "bad", "good"])
-
-    return run
-
-
-def _chosen_features(shared, head: str, chosen):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, both = shared.value
-        for batch in batches:
-            p, use = _targets(batch, head, models, both)
-            rows = [np.intersect1d(features(s, w), chosen.value) if u else None for (s, w), u in zip(_seen(batch, 1), use, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(use)), pa.array(p[use]), pa.array([r for r in rows if r is not None], pa.list_(pa.int64()))], names=["doc_id", "target", "features"])
-
-    return run
-
-
 SCORES = "p_junk double, p_toxic double, posterior_junk double, posterior_toxic double, keep boolean"
 
 

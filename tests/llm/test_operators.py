@@ -508,12 +508,63 @@ def test_label_model_learns_accuracies():
     bad = rng.random(20_000) < 0.3
     votes = np.stack([np.where(rng.random(len(bad)) < 0.3, -1, np.where(rng.random(len(bad)) < a, bad, ~bad)) for a in (0.95, 0.9, 0.7, 0.85)], axis=1).astype(int)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = quality.LabelModel(patterns, counts.astype(float), gold=False)
+    model = quality.LabelModel(patterns, counts.astype(float))
     for k, accuracy in enumerate((0.95, 0.9, 0.7, 0.85)):
         assert abs(model.table[k, 1, 2] - accuracy) < 0.04 and abs(model.table[k, 0, 1] - accuracy) < 0.04
     assert ((model.posterior(votes) > 0.5) == bad).mean() > 0.93
 
 
+def test_label_model_posteriors_are_those_of_enumeration():
+    """Bayes by hand over both classes, and a step of expectation-maximisation that changes nothing."""
+    patterns = np.array([[1, 1, -1], [1, 0, 1], [0, 0, 0], [-1, -1, -1], [0, -1, 1], [-1, 0, -1]])
+    counts = np.array([30.0, 5, 200, 40, 3, 60])
+    trust = [quality.HEURISTIC, quality.HEURISTIC, quality.LABEL]
+    model = quality.LabelModel(patterns, counts, trust, rounds=3000)
+    found = model.posterior(patterns)
+    for row, p in zip(patterns, found, strict=True):
+        joint = [1 - model.prior, model.prior]
+        for k, v in enumerate(row):
+            for c in (0, 1):
+                joint[c] *= model.table[k, c, v + 1] if v >= 0 else 1
+        assert abs(joint[1] / sum(joint) - p) < 1e-9
+    assert abs(found[3] - model.prior) < 1e-9 and abs(model.told(found)[3]) < 1e-9  # who votes nothing tells nothing
+    assert abs(model.prior - (found @ counts + 1) / (counts.sum() + 2)) < 1e-6
+    for k, (accuracy, share) in enumerate(trust):
+        for c in (0, 1):
+            weight = (found if c else 1 - found) * counts
+            votes, bad = weight[patterns[:, k] >= 0].sum(), weight[patterns[:, k] == 1].sum()
+            beside = 1 + share * votes
+            assert abs(model.table[k, c, 2] - (bad + beside * (accuracy if c else 1 - accuracy)) / (votes + beside)) < 1e-6
+
+
+def test_quality_targets_are_posteriors(spark, monkeypatch):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda rows, target, weight: taught.append((target, weight)) or (np.zeros(0, np.int64), np.zeros(0), 0.0))
+    models = quality.fit(docs, labels).models
+    known = {r["doc_id"]: (1 - r["quality"], r["toxic"]) for r in labels.collect()}
+    texts = {r["text"]: r["doc_id"] for r in docs.orderBy(F.desc("doc_id")).collect()}
+    for h, (head, (target, weight)) in enumerate(zip(quality.HEADS, taught, strict=True)):
+        assert len(target) > 300 and 0 < weight.min() and weight.max() <= 1
+        possible = set()
+        for text, k in texts.items():
+            raw = (text or "").encode()
+            v = quality.votes(quality.shape(raw), set(raw.translate(quality.WORDS).split()))[head]
+            possible |= {round(float(models[head].posterior(np.array([[*v, label]]))[0]), 9) for label in {known.get(k, (-1, -1))[h], -1}}
+        assert {round(float(x), 9) for x in target} <= possible
+
+
+def test_quality_bears_wrong_labels(spark):
+    """A fifth of the labels turned round: junk still goes and clean documents stay."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    turned = labels.withColumns({c: F.when(F.pmod(F.xxhash64("doc_id", F.lit(c)), F.lit(5)) == 0, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    found = quality.classify(docs.join(labels, "doc_id"), quality.fit(docs, turned)).groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {(r["quality"], r["toxic"]): r["kept"] for r in found}
+    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.05 and kept[1, 1] < 0.6
+
+
 def test_quality_without_labels_and_odd_tables(spark, odd):
     empty = documents(spark, [])
     assert quality.classify(empty, quality.fit(empty)).count() == 0
