@@ -14,12 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import arrow_map, per_batch, utf8
+from rallylake.llm.common import WORDS, arrow_map, materialize, merged, per_batch, scratch_path, utf8
 
 WINDOW = 13
-#: Separators become spaces, A-Z become a-z; digits, letters and bytes of other characters stay.
-WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
@@ -79,31 +76,58 @@ def tables(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[list[t
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, item_names (sorted strings), contaminated.
 
-    All columns of ``docs`` are kept (a column of one of these names is replaced). The benchmark goes
-    to the executors in blocks of about ``block_chars`` characters, chosen by a hash of the item;
-    each block is one more step over the same partitions, so neither a task nor the driver ever
-    holds more than one block. Null texts have no words; an item with a null id is named "null"; an
-    empty benchmark marks nothing; repeated items count once by name.
+    All columns of ``docs`` are kept (those four are replaced if there), of whatever names. The benchmark
+    goes to the executors in blocks of about ``block_chars`` characters, dealt by a hash of the item. One
+    block is one map. Of more, each is read, run over the written table, its hits written, and released
+    before the next, so neither a task nor the driver ever holds more than about one. Null texts have
+    no words; an item with a null id is named "null"; an empty benchmark marks nothing; repeated items
+    count once by name.
     """
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text") + 8)).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_names", "contaminated", "_hits", "_names", "_text", "_n")]
-    now = docs.select(*kept, F.col(text_col).cast("string").alias("_text"), F.lit(None).cast("long").alias("_n"), F.lit(None).cast("array<long>").alias("_hits"), F.lit(None).cast("array<string>").alias("_names"))
-    for k in range(blocks):
+    # the caller's columns travel as one, so that none of their names can clash
+    kept = F.struct(*[F.col(c) for c in docs.columns if c not in RESULT]).alias("doc")
+    now = docs.select(kept, F.col(text_col).cast("string").alias("text"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("names"))
+
+    def sent(k: int):
         part = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in part.collect()])
-        now = now.transform(arrow_map, per_batch(_search(shared, window)), now.schema)
-    hit = F.col("_hits")
+        return spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in part.collect()])
+
+    if blocks == 1:
+        now = now.transform(arrow_map, per_batch(_search(sent(0), window)), now.schema)
+    else:
+        now = materialize(now.withColumn("row", F.monotonically_increasing_id()), "texts")
+        path = scratch_path(spark, "hits")
+        for k in range(blocks):
+            shared, some = sent(k), now.select("row", "text", "n", "hits", "names")
+            found = some.transform(arrow_map, per_batch(_search(shared, window)), some.schema).drop("text")
+            # the first block's rows are all kept, for the counts of words
+            (found if k == 0 else found.where("size(hits) > 0")).write.mode("append").parquet(path)
+            shared.destroy()
+        spans = F.flatten(F.collect_list("hits"))
+        found = spark.read.parquet(path).groupBy("row").agg(F.max("n").alias("n"), spans.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+        now = now.select("doc", "row").join(found, "row")
     return now.select(
-        *kept,
-        F.col("_n").alias("n_words"),
-        F.aggregate(hit, F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit((1 << 31) - 1)) - F.shiftright(x, 31)).alias("n_hit"),
-        F.col("_names").alias("item_names"),
+        "doc.*",
+        F.col("n").alias("n_words"),
+        _covered(F.col("hits")).alias("n_hit"),
+        F.col("names").alias("item_names"),
     ).withColumn("contaminated", contaminated())
 
 
+RESULT = ("n_words", "n_hit", "item_names", "contaminated")
+
+
+def _covered(spans: Column) -> Column:
+    """Words that spans (first << 31 | end) cover together."""
+    low = F.lit((1 << 31) - 1)
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x.bitwiseAND(low) - F.greatest(F.shiftright(x, 31), acc["end"]))).alias("n"), F.greatest(acc["end"], x.bitwiseAND(low)).alias("end"))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.array_sort(spans), F.struct(zero.alias("n"), zero.alias("end")), step, lambda acc: acc["n"])
+
+
 def contaminated() -> Column:
     """The rule: at least one word in twenty is hit."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
@@ -116,9 +140,9 @@ def _search(shared, window: int):
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
             ns, hits, names = [], [], []
-            for text, old, said in zip(utf8(cols["_text"]), cols["_hits"].to_pylist(), cols["_names"].to_pylist(), strict=True):
+            for text in utf8(cols["text"]):
                 w = words(text)
-                spans, items = [(x >> 31, x & (1 << 31) - 1) for x in old or ()], set(said or ())
+                spans, items = [], set()
                 for searcher, lengths, owners in searchers:
                     for at, k in searcher.find(w):
                         spans.append((at, at + lengths[k]))
@@ -126,7 +150,7 @@ def _search(shared, window: int):
                 ns.append(len(w))
                 hits.append([a << 31 | b for a, b in merged(spans)])
                 names.append(sorted(items))
-            cols |= {"_n": pa.array(ns, pa.int64()), "_hits": pa.array(hits, pa.list_(pa.int64())), "_names": pa.array(names, pa.list_(pa.string()))}
+            cols |= {"n": pa.array(ns, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int64())), "names": pa.array(names, pa.list_(pa.string()))}
             return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
         return f
@@ -134,16 +158,5 @@ def _search(shared, window: int):
     return make
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of half-open spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

@@ -364,6 +364,49 @@ def test_topk_repeated_ids_take_one_place(spark):
         assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == want
 
 
+def test_topk_computes_few_exact_products_on_clusters():
+    rng = np.random.default_rng(5)
+    centres = np.repeat(rng.normal(0, 200, (400, 16)), 4, axis=1) + rng.normal(0, 40, (400, 64))
+    c = np.floor(centres[rng.integers(0, 400, 40_000)] + rng.normal(0, 8, (40_000, 64)))
+    ids = rng.permutation(len(c))
+    best = topk.Best(ids[:800], c[:800], 5)
+    for at in range(0, len(c), 5000):
+        best.add(ids[at : at + 5000], c[at : at + 5000])
+    assert best.exact < 0.05 * best.pairs
+    score = (c[:800] @ c.T).astype(int)
+    score[np.arange(800), np.arange(800)] = topk.NONE
+    for k in range(0, 800, 37):
+        order = np.lexsort((ids, -score[k]))[:5]
+        assert best.row[k].tolist() == ids[order].tolist() and best.score[k].tolist() == score[k][order].tolist()
+
+
+def test_topk_blocks_are_sent_one_at_a_time(spark, monkeypatch):
+    live, most, send = set(), [], spark.sparkContext.broadcast
+
+    def sent(value):
+        out = send(value)
+        live.add(id(out))
+        most.append(len(live))
+        destroy = out.destroy
+        out.destroy = lambda: (live.discard(id(out)), destroy())
+        return out
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", sent)
+    rng = random.Random(8)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(6 + i % 2)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in topk.top_k(df, every=7, block=2).select("query_id", "rank", "vec_id", "score").collect()}
+    # vectors of two lengths: each query meets those of its own
+    assert got == brute_topk(rows[::2], every=7) | {x for x in brute_topk([(i + 1000, v) for i, v in rows[1::2]], every=1) for x in [(x[0] - 1000, x[1], x[2] - 1000, x[3])] if x[0] % 7 == 0}
+    assert len(most) > 3 and max(most) == 1 and not live
+
+
+def test_topk_beyond_64_bits(spark):
+    rows = [(0, [3e38, 3e38]), (1, [3e38, 1.0]), (2, [-3e38, 1.0]), (3, [1e9, 1e9]), (4, [1.0, 2.0]), (5, [2.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 3, 4, 5, 2] and got[0]["score"] == topk.LAST and got[-1]["score"] == topk.NONE + 1
+
+
 def test_topk_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.integers(-300, 300, (40, 64)).astype(float), rng.integers(-300, 300, (60, 64)).astype(float)
@@ -742,12 +785,17 @@ def test_decontamination_matches_brute_force(spark):
             a = rng.randint(0, max(0, len(x) - 5))
             parts += [" ".join(x[a : a + rng.randint(5, 40)]).upper(), sentence(rng.randint(0, 300))]
         texts.append(" -- ".join(parts))
-    docs = documents(spark, texts).withColumn("n_hit", F.lit("clash")).withColumn("_hits", F.lit(1))
+    docs = documents(spark, texts).withColumn("n_hit", F.lit("clash"))
+    clashes = ["_hits", "_names", "_text", "_n", "hits", "names", "n", "doc", "row"]
+    for c in clashes:
+        docs = docs.withColumn(c, F.lit(c))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(7))
     named = [("null" if k is None else str(k), t) for k, t in items]
     want = [brute_decontaminate(t, named) for t in texts]
     for block in (4_000_000, 300):
-        got = by_id(decontaminate.decontaminate(docs, bench, block_chars=block))
+        out = decontaminate.decontaminate(docs, bench, block_chars=block)
+        assert out.columns == [*[c for c in docs.columns if c != "n_hit"], *decontaminate.RESULT] and out.where(" and ".join(f"{c} = '{c}'" for c in clashes)).count() == len(texts)
+        got = by_id(out)
         assert [(got[k]["n_words"], got[k]["n_hit"], got[k]["item_names"], got[k]["contaminated"]) for k in range(len(texts))] == want
 
 
