@@ -1,20 +1,22 @@
 """License scan: exact phrase counts, and fuzzy search of short notices.
 
-Pigeonhole: a notice found with at most k edits, cut into k + 1 pieces, holds one piece unedited.
-So exact seeds (the pieces) locate candidates with a fast substring search; only around a seed the
-``regex`` library verifies the whole notice with bounded errors and reports the span.
+Pigeonhole: a notice found with at most k edits, its fixed words cut into k + 1 pieces, holds one piece
+unedited. So exact seeds (the pieces) locate candidates with a fast substring search; only around a seed
+the ``regex`` library verifies the whole notice with bounded errors and reports the span. The words that
+name a license must stand exactly: three edits turn any three-letter name into another.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import arrow_map, per_batch, utf8
+from rallylake.llm.common import WORDS, arrow_map, per_batch, utf8
 
 # Phrases and labels of the base count.
 PHRASES = {
@@ -23,38 +25,78 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Notices searched with errors: text, label, most edits. The texts are lower-case words.
+# Names of licenses and their labels.
+NAMES = {
+    "agpl": "agpl",
+    "apache": "apache",
+    "boost": "boost",
+    "bsd": "bsd",
+    "eupl": "eupl",
+    "gpl": "gpl",
+    "isc": "isc",
+    "lgpl": "lgpl",
+    "mit": "mit",
+    "mpl": "mpl",
+    "zlib": "zlib",
+}
+# Notices searched with errors: the words before the name, the names (with labels), the words after it,
+# most edits outside the name. The texts are lower-case words; a notice without names has one label.
 NOTICES = (
-    ("gnu general public license", "gpl", 3),
-    ("gnu lesser general public license", "lgpl", 3),
-    ("licensed under the apache license", "apache", 3),
-    ("released under the mit license", "mit", 3),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    ("redistribution and use in source and binary forms", "bsd", 4),
-    ("mozilla public license", "mpl", 2),
-    ("creative commons attribution", "cc-by", 3),
-    ("all rights reserved", "proprietary", 2),
+    ("", {"gnu": "gpl"}, "general public license", 3),
+    ("gnu", {"lesser": "lgpl"}, "general public license", 3),
+    ("gnu", {"affero": "agpl"}, "general public license", 3),
+    ("licensed under the", NAMES, "license", 3),
+    ("released under the", NAMES, "license", 3),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", "", 6),
+    ("redistribution and use in source and binary forms", "bsd", "", 4),
+    ("", {"mozilla": "mpl"}, "public license", 2),
+    ("", {"creative": "cc-by"}, "commons attribution", 3),
+    ("", {"all": "proprietary"}, "rights reserved", 2),
 )
-#: Separators become spaces, A-Z become a-z; digits, letters and bytes of other characters stay.
-WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class Notice(NamedTuple):
-    text: bytes
-    label: str
+    before: bytes
+    names: dict[bytes, str]
+    after: bytes
     edits: int
-    pieces: list[tuple[int, bytes]]
+    #: Label of a notice without names.
+    label: str
+    #: Pieces of the fixed words, with the least and most bytes of the notice before them.
+    pieces: list[tuple[int, int, bytes]]
     pattern: regex.Pattern
 
+    @property
+    def size(self) -> int:
+        """Bytes of the fixed words."""
+        return len(self.before) + len(self.after)
+
+    @property
+    def longest(self) -> int:
+        return self.size + max(map(len, self.names), default=0)
+
+
+def _cut(raw: bytes, n: int) -> list[tuple[int, bytes]]:
+    cuts = [round(k * len(raw) / n) for k in range(n + 1)]
+    return [(cuts[k], raw[cuts[k] : cuts[k + 1]]) for k in range(n)]
+
 
 def compiled(notices=NOTICES) -> list[Notice]:
     out = []
-    for text, label, edits in notices:
-        raw, n = text.encode(), edits + 1
-        cuts = [round(k * len(raw) / n) for k in range(n + 1)]
-        pieces = [(cuts[k], raw[cuts[k] : cuts[k + 1]]) for k in range(n)]
-        pattern = regex.compile(rb"(?<![^ ])(?:" + regex.escape(raw, special_only=False, literal_spaces=True) + rb"){e<=%d}(?![^ ])" % edits, regex.BESTMATCH)
-        out.append(Notice(raw, label, edits, pieces, pattern))
+    for before, names, after, edits in notices:
+        label, names = (names, {}) if isinstance(names, str) else ("", {k.encode(): v for k, v in names.items()})
+        before, after = (before + " ").encode() if before and names else before.encode(), (" " + after).encode() if after else b""
+        # at least one of edits + 1 pieces of the fixed words stands unedited; each side gets its share of them
+        n = edits + 1
+        front = n if not after else 0 if not before else min(n - 1, max(1, round(n * len(before) / (len(before) + len(after)))))
+        pieces = [(at, at, x) for at, x in _cut(before, front)] if front else []
+        if n - front:
+            low, high = (f(map(len, names), default=0) for f in (min, max))
+            pieces += [(len(before) + low + at, len(before) + high + at, x) for at, x in _cut(after, n - front)]
+        escaped = lambda x: regex.escape(x, special_only=False, literal_spaces=True)
+        whole = b"|".join(escaped(before + name + after) for name in names or [b""])
+        pattern = regex.compile(rb"(?<![^ ])(?:" + whole + rb"){e<=%d}(?![^ ])" % edits, regex.BESTMATCH)
+        out.append(Notice(before, names, after, edits, label, pieces, pattern))
     return out
 
 
@@ -66,15 +108,15 @@ def occurrences(text: bytes, what: bytes):
 
 
 def windows(text: bytes, notice: Notice) -> list[tuple[int, int]]:
-    """Merged windows around the exact seeds; every match within the bound lies in one of them."""
+    """Windows around the exact seeds, each of which lies whole in one; near ones are put together while they
+    are short, so that a text full of seeds takes time in proportion to its length."""
     spans = []
-    for offset, piece in notice.pieces:
+    for low, high, piece in notice.pieces:
         for at in occurrences(text, piece):
-            begin = at - offset - notice.edits - 1
-            spans.append((max(0, begin), at - offset + len(notice.text) + notice.edits + 1))
+            spans.append((max(0, at - high - notice.edits - 1), at - low + notice.longest + notice.edits + 1))
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
+        if out and a <= out[-1][1] and b - out[-1][0] <= 6 * notice.longest:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
@@ -82,9 +124,41 @@ def windows(text: bytes, notice: Notice) -> list[tuple[int, int]]:
 
 
 def worth(text: bytes, window: tuple[int, int], notice: Notice) -> bool:
-    """A cheap necessary condition: k edits leave all but k letters of the notice in its window."""
+    """Cheap necessary conditions: a name stands exactly, and k edits leave all but k letters of the fixed
+    words in the window."""
     part = text[window[0] : window[1]]
-    return sum(min(part.count(c), notice.text.count(c)) for c in map(bytes, zip(sorted(set(notice.text))))) >= len(notice.text) - notice.edits
+    if notice.names and not any(name in part for name in notice.names):
+        return False
+    fixed = notice.before + notice.after
+    return sum(min(part.count(c), fixed.count(c)) for c in map(bytes, zip(sorted(set(fixed))))) >= len(fixed) - notice.edits
+
+
+def named(match: bytes, notice: Notice) -> str | None:
+    """The label by the name that stands exactly in a match, the longest if there are several."""
+    if not notice.names:
+        return notice.label
+    found = [x for x in set(match.split()) if x in notice.names]
+    return notice.names[max(found, key=lambda x: (len(x), x))] if found else None
+
+
+def matches(flat: bytes, notice: Notice) -> list[tuple[int, int, int, str]]:
+    """(start, end, edits, label) of the notice's matches; of overlapping ones that with the fewest edits."""
+    found = set()
+    for a, b in windows(flat, notice):
+        a, b = flat.rfind(b" ", 0, a) + 1, b if (end := flat.find(b" ", b)) < 0 else end
+        if not worth(flat, (a, b), notice):
+            continue
+        for m in notice.pattern.finditer(flat, a, b, overlapped=False):
+            if m.end() > m.start() and (label := named(m.group(), notice)):
+                found.add((m.start(), m.end(), sum(m.fuzzy_counts), label))
+    out: list[tuple[int, int, int, str]] = []
+    for x in sorted(found):
+        if out and x[0] < out[-1][1]:
+            if x[2] < out[-1][2]:
+                out[-1] = x
+        else:
+            out.append(x)
+    return out
 
 
 def scan(text: bytes, notices: list[Notice]) -> dict:
@@ -92,26 +166,23 @@ def scan(text: bytes, notices: list[Notice]) -> dict:
 
     Spans are (label, first word, end word, edits) with words counted from 0 and the end exclusive.
     """
-    w = text.translate(WORDS).split()
-    flat = b" ".join(w)
+    flat = b" ".join(text.translate(WORDS).split())
     padded = b" " + flat + b" "
+    spaces = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+    n_words = len(spaces) - 1 if flat else 0
+    word = lambda places: np.searchsorted(spaces, places).tolist()  # the number of the word after a space
     base, fuzzy = [], []
     for phrase, label in PHRASES.items():
-        for at in occurrences(padded, b" " + phrase.encode() + b" "):
-            first = padded.count(b" ", 0, at)
+        for first in word(np.fromiter(occurrences(padded, b" " + phrase.encode() + b" "), np.int64)):
             base.append((label, first, first + phrase.count(" ") + 1, 0))
     for notice in notices:
-        for a, b in windows(flat, notice):
-            a, b = flat.rfind(b" ", 0, a) + 1, b if (end := flat.find(b" ", b)) < 0 else end
-            if not worth(flat, (a, b), notice):
-                continue
-            for m in notice.pattern.finditer(flat, a, b, overlapped=False):
-                if m.end() > m.start():
-                    first = flat.count(b" ", 0, m.start())
-                    fuzzy.append((notice.label, first, first + m.group().count(b" ") + 1, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / len(notice.text)))
+        found = matches(flat, notice)
+        # byte p of the flat text is byte p + 1 of the padded one
+        for (a, b, edits, label), first in zip(found, word(np.array([x[0] for x in found], np.int64)), strict=True):
+            fuzzy.append((label, first, first + flat.count(b" ", a, b) + 1, edits, 1 - edits / (b - a)))
     starts = [x[1] for x in base]
     return {
-        "n_words": len(w),
+        "n_words": n_words,
         "n_base": len(base),
         "first_word": min(starts, default=None),
         "last_word": max(starts, default=None),
@@ -130,7 +201,8 @@ def license_scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text_
 
     A map over the documents without any shuffle. Null texts count as empty: no words, null first and
     last word, empty labels, score 0. Repeated rows and ties are kept as they are. The score is 1 with
-    any base place, else the best share of unedited letters.
+    any base place, else the best share of unedited letters of a notice. A notice whose name is edited, or names
+    no known license, has no label.
     """
 
     def make():

@@ -10,26 +10,34 @@ from rallylake.llm.common import materialize, scratch_path, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+    """Secrets of every text; matches of inferred formats as start:end:format."""
+    found = secrets.secret_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("matches", F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["start"], x["end"], x["format"])), ","))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record a page, written to archives and read back from them."""
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text without strings of 200 bytes that stand elsewhere too."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("notices")
+    """Base counts, labels and score of every text; the spans of fuzzy notices as label:first:end:edits, in words."""
+    span = lambda x: F.concat_ws(":", x["label"], x["first_word"], x["end_word"], x["edits"])
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join(F.transform("notices", span), ","))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of highest integer inner product for each row whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -49,15 +57,18 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by a classifier fitted on the same table and its labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every text in sequences of 4,096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that stand in benchmark windows, and the items that they come from."""
     docs = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return docs.select("doc_id", "n_words", "n_hit", F.size("item_names").cast("long").alias("n_items"), F.sha2(F.array_join("item_names", ","), 256).alias("items_sha256"), "contaminated")
 

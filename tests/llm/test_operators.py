@@ -294,25 +294,106 @@ def test_licenses_match_brute_force(spark, odd, small):
             assert 0 <= r["score"] <= 1 and r["labels"] == ",".join(sorted(set(r["labels"].split(","))))
 
 
+def edited(rng, raw, edits):
+    """``raw`` with so many random edits inside its words."""
+    text = bytearray(raw)
+    for _ in range(edits):
+        if len(text) < 3:
+            break
+        at, kind = rng.randrange(1, len(text) - 1), rng.randrange(3)
+        if kind == 0:
+            text[at : at + 1] = b""
+        elif kind == 1:
+            text[at : at + 1] = bytes([rng.choice(b"abcdefghij")])
+        else:
+            text[at:at] = bytes([rng.choice(b"abcdefghij")])
+    return bytes(text)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fuzzy_notices_are_found(seed):
-    """Any notice with up to its number of edits is found, and its span holds it."""
+    """Any notice with up to its number of edits outside the name is found, and its span holds it."""
     rng, ready = random.Random(seed), licenses.compiled()
     for notice in ready:
-        for _ in range(20):
-            text = bytearray(notice.text)
-            for _ in range(rng.randint(0, notice.edits)):
-                at = rng.randrange(1, len(text) - 1)
-                kind = rng.randrange(3)
-                if kind == 0:
-                    text[at : at + 1] = b""
-                elif kind == 1:
-                    text[at : at + 1] = bytes([rng.choice(b"abcdefghij")])
-                else:
-                    text[at:at] = bytes([rng.choice(b"abcdefghij")])
-            found = licenses.scan(b"some words before " + bytes(text) + b" and after", ready)
-            assert notice.label in found["labels"].split(","), bytes(text)
-            assert all(n["edits"] <= max(x.edits for x in ready if x.label == n["label"]) for n in found["notices"])
+        for name in notice.names or [b""]:
+            for _ in range(6):
+                k = rng.randint(0, notice.edits)
+                front = rng.randint(0, k) if notice.before and notice.after else k if notice.before else 0
+                text = edited(rng, notice.before.strip(), front) + b" " * bool(notice.before and name) + name + b" " * bool(notice.after and name) + edited(rng, notice.after.strip(), k - front if notice.after else 0)
+                found = licenses.scan(b"some words before " + text + b" and after", ready)
+                label = notice.names.get(name, notice.label)
+                assert label in found["labels"].split(","), text
+                assert any(n["label"] == label and n["first_word"] <= 3 <= n["end_word"] and n["edits"] <= notice.edits for n in found["notices"]), text
+
+
+def test_another_name_is_another_license():
+    """Every known name in every frame has its own label and no other; an unknown one has none."""
+    ready = licenses.compiled()
+    for notice in ready:
+        if len(notice.names) > 1:
+            for name in licenses.NAMES:
+                labels = licenses.scan(b"this is " + notice.before + name.encode() + notice.after + b" text", ready)["labels"]
+                assert set(labels.split(",")) == {licenses.NAMES[name]}, name
+            for name in (b"wtf", b"mut", b"bds", b"x", b"cddl"):
+                assert licenses.scan(notice.before + name + notice.after, ready)["labels"] == ""
+    for text in (b"some rights reserved", b"no rights reserved", b"gnu public library", b"the eu general public budget"):
+        assert licenses.scan(text, ready)["labels"] == ""
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_labels_match_brute_force():
+    """Texts of edited notices and words: a label stands if and only if some words of the text that hold the
+    name exactly are within the bound of the notice."""
+    rng, ready = random.Random(9), licenses.compiled()
+    filler = b"the license of this public text under any general terms source rights all gnu mit".split()
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            notice = rng.choice(ready)
+            name = rng.choice([*notice.names, b"xyz"]) if notice.names else b""
+            parts += [edited(rng, notice.before + name + notice.after, rng.randint(0, notice.edits + 2)), b" ".join(rng.choice(filler) for _ in range(rng.randint(0, 3)))]
+        w = re.sub(rb"[^a-z]+", b" ", b" ".join(parts)).split()
+        sure, possible = set(), set()
+        for notice in ready:
+            whole = [(notice.before + n + notice.after, n) for n in notice.names or [b""]]
+            longest = max(len(x) for x, _ in whole) + notice.edits
+            for a in range(len(w)):
+                for b in range(a + 1, len(w) + 1):
+                    text = b" ".join(w[a:b])
+                    if len(text) > longest:
+                        break
+                    for x, n in whole:
+                        if (not n or n in w[a:b]) and abs(len(x) - len(text)) <= notice.edits and (d := distance(text, x)) <= notice.edits:
+                            possible.add(notice.names.get(n, notice.label))
+                            if d == 0 or not n and d < 2:
+                                sure.add(notice.names.get(n, notice.label))
+        got = set(filter(None, licenses.scan(b" ".join(w), ready)["labels"].split(",")))
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {b' '.join(w).decode()} "}
+        assert sure | base <= got <= possible | base, w
+
+
+def test_license_scan_is_linear():
+    import time
+
+    ready = licenses.compiled()
+    began = time.perf_counter()
+    found = licenses.scan(b"cc by " * 850_000, ready)
+    assert time.perf_counter() - began < 5 and (found["n_base"], found["last_word"]) == (850_000, 1_699_998)
+    for text, n in ((b"license ", 25_000), (b"released under the mit license, ", 1_000), (b"all rights gnu general public ", 4_000)):
+        took = []
+        for k in (n, 4 * n):
+            began = time.perf_counter()
+            licenses.scan(text * k, ready)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 0.2, text
 
 
 # ---- 5
