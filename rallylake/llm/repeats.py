@@ -3,15 +3,18 @@
 1. Anchors. Each window of ``length`` bytes selects the least of its hashed ``gram``-byte substrings
    (leftmost on ties). Equal windows select the same one, so repeats meet at equal anchors, wherever
    they stand. Consecutive windows with one anchor form a context of fewer than two lengths.
-2. Contexts that occur twice whole are repeats in every window. What is left are distinct contexts
-   around one anchor: edges of passages and near copies.
+2. Contexts that occur twice whole are repeats in every window. They are told equal by two 64-bit hashes,
+   that of the anchor and that of the context, and one of each goes on. What is left are distinct
+   contexts around one anchor: edges of passages and near copies.
 3. Run-length index. The distinct contexts of some anchors form a text whose Burrows-Wheeler
    transform is cut in runs. Longest matches with the neighbours in suffix order are sampled at run
    ends only; inside a run a match is one shorter than that of the position before, so matching
    statistics stream over the text from the samples. Matches of at least ``length`` are marked.
 
-Very large groups of contexts are dealt to pairs of blocks, so that each index is bounded and every
-two contexts meet in some index.
+Where very many distinct contexts share an anchor, their windows select anchors anew by another hash,
+which deals them to small groups in proportion to their number; this repeats a few times. Only what is
+then still together is dealt to pairs of blocks, so that each index is bounded and every two contexts
+meet in some index.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import arrow_map, materialize, per_batch, utf8
+from rallylake.llm.common import arrow_map, materialize, merged, per_batch, utf8
 
 LENGTH = 200
 GRAM = 40
 #: Bytes whose windows are hashed at once, and bytes of contexts that one index takes at once.
 SLICE = 1 << 20
 INDEX = 1 << 20
-#: Contexts of one anchor that meet in one index before they are dealt to pairs of blocks.
+#: Contexts of one anchor that meet in one index before they are dealt on, and how often anchors are chosen anew.
 BLOCK = 4096
+LEVELS = 4
+#: A context is hot if it has more than one in so many of all rows, so hot ones are at most so many.
+HOT = 2048
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -64,13 +70,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, level: int = 0) -> tuple[np.ndarray, ...]:
     """For texts raw[begin:end], each of at least ``length`` bytes: per context its text's number, the
-    place of its first window in ``raw``, its number of windows, its anchor's hash and its own hash."""
+    place of its first window in ``raw``, its number of windows, its anchor's hash and its own hash. Each
+    ``level`` orders the substrings by another hash."""
     up, down = powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[raw] * up[: len(raw)], dtype=np.uint64)])
         h = mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
+        if level:
+            h = mixed(h + np.uint64(_BASE * 2 * level & _MASK))
     bits = np.uint64(max(1, int(len(h)).bit_length()))
     low = sliding_min((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     anchor = (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
@@ -104,23 +113,49 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield out
 
 
+def _found(texts: list[bytes], length: int, gram: int, level: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, offset of the first window, number of windows, anchor's hash, own hash) of contexts."""
+    for pieces in _pieces(texts, length):
+        ends = np.cumsum([len(x[2]) for x in pieces])
+        begins = ends - [len(x[2]) for x in pieces]
+        which, lo, count, h, c = anchors(np.frombuffer(b"".join(x[2] for x in pieces), np.uint8), begins, ends, length, gram, level)
+        yield np.array([x[0] for x in pieces])[which], lo - begins[which] + np.array([x[1] for x in pieces])[which], count, h, c
+
+
+ANCHORS = "did long, key long, h long, c long, p long"
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 did, key = (part.column(k).to_numpy() for k in (0, 1))
-                for pieces in _pieces(utf8(part.column(2)), length):
-                    ends = np.cumsum([len(x[2]) for x in pieces])
-                    begins = ends - [len(x[2]) for x in pieces]
-                    which, lo, count, h, c = anchors(np.frombuffer(b"".join(x[2] for x in pieces), np.uint8), begins, ends, length, gram)
-                    text = np.array([x[0] for x in pieces])[which]
-                    lo = lo - begins[which] + np.array([x[1] for x in pieces])[which]
+                for text, lo, count, h, c in _found(utf8(part.column(2)), length, gram, 0):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[text], key[text], h, c, lo << 10 | count)], names=["did", "key", "h", "c", "p"])
 
     return run
 
 
+def _anchored_again(length: int, gram: int, level: int):
+    """Anchor rows of the windows of given contexts, by the hash of ``level``; groups stay within their old ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, key, text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                for at in range(0, len(need), 4096):
+                    part = need[at : at + 4096]
+                    lo0 = np.array([x["p"] >> 10 for x in part])
+                    old = np.array([x["h"] for x in part], np.int64).view(np.uint64)
+                    for k, lo, count, h, c in _found([text[x["p"] >> 10 : (x["p"] >> 10) + (x["p"] & 1023) - 1 + length] for x in part], length, gram, level):
+                        with np.errstate(over="ignore"):
+                            h = mixed(h.view(np.uint64) + old[k] * np.uint64(_BASE)).view(np.int64)
+                        n = len(k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, did)), pa.array(np.full(n, key)), pa.array(h), pa.array(c), pa.array((lo0[k] + lo) << 10 | count)], names=["did", "key", "h", "c", "p"])
+
+    return run
+
+
 class RunLengthIndex:
     """Index of distinct short strings; ``longest[p]`` is the longest match of the suffix at p of the
     joined text with any other suffix, not crossing the strings' ends. Samples of matches shorter than
@@ -194,17 +229,6 @@ class RunLengthIndex:
         return out
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    """Union of half-open spans; spans that touch are one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def marked(contexts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each context the spans covered by strings of ``length`` bytes that stand elsewhere too."""
     index = RunLengthIndex(contexts, length)
@@ -277,6 +301,39 @@ def _removed(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(4), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _groups(found: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of anchor rows: the spans of contexts that occur whole more than once; the distinct contexts whose
+    anchor recurs, each with its number and one place; the anchors with several of them, and how many."""
+    # written first: both sides of the join are then plain exchanges, which Spark splits if a key is hot
+    twice = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated-hashes")
+    again = materialize(found.join(twice, "h"), "repeated-anchors")
+    distinct = materialize(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "p")).alias("one")), "contexts")
+    span = (F.shiftleft(F.shiftright("p", 10), 31) + F.shiftright("p", 10) + F.col("p").bitwiseAND(F.lit(1023)) + F.lit(length - 1)).alias("span")
+    copies = distinct.where("n > 1").select("h", "c", "n")
+    # a context with a large share of all rows is one key; there are few of these, whatever the table
+    most = max(1, again.count() // HOT)
+    hot = F.broadcast(copies.where(F.col("n") > most).select("h", "c"))
+    rest = again.join(hot, ["h", "c"], "left_anti").join(copies.where(F.col("n") <= most).select("h", "c"), ["h", "c"])
+    whole = again.join(hot, ["h", "c"]).unionByName(rest).select("did", "key", span)
+    return whole, distinct, materialize(distinct.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "groups")
+
+
+def _wanted(keyed: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """Texts with one place of each distinct context of some groups."""
+    need = distinct.join(groups, "h").select("one.did", "one.key", F.struct("h", "d", "c", "n", "one.p").alias("x")).groupBy("did", "key").agg(F.collect_list("x").alias("need"))
+    return keyed.join(need, ["did", "key"]).select("did", "key", "text", "need", "doc_id")
+
+
+def _edges(keyed: DataFrame, distinct: DataFrame, groups: DataFrame, length: int) -> DataFrame:
+    """Spans that the indexes over the groups' distinct contexts mark."""
+    contexts = _wanted(keyed, distinct, groups).transform(arrow_map, per_batch(_contexts(length)), "h long, d long, c long, did long, key long, lo long, once boolean, context binary")
+    blocks = F.ceil(F.col("d") / BLOCK).cast("long")
+    own = F.pmod("c", blocks)
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))).alias("pair")
+    dealt = contexts.select("h", pair, "did", "key", "lo", "once", "context").repartition("h", "pair").sortWithinPartitions("h", "pair")
+    return dealt.transform(arrow_map, _index_rows(length), "did long, key long, span long")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (of removed bytes).
 
@@ -289,22 +346,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         raise ValueError("length must exceed gram by fewer than 1,000")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("key"))
-    found = keyed.where(F.octet_length("text") >= length).select("did", "key", "text").transform(arrow_map, _anchor_rows(length, gram), "did long, key long, h long, c long, p long")
-    found = materialize(found, "anchors")
-    # written first: both sides of the join are then plain exchanges, which Spark splits if a key is hot
-    twice = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated-hashes")
-    again = materialize(found.join(twice, "h"), "repeated-anchors")
-    distinct = materialize(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "p")).alias("one")), "contexts")
-    span = lambda: (F.shiftleft(F.shiftright("p", 10), 31) + F.shiftright("p", 10) + F.col("p").bitwiseAND(F.lit(1023)) + F.lit(length - 1)).alias("span")
-    whole = again.join(distinct.where("n > 1").select("h", "c"), ["h", "c"]).select("did", "key", span())
-    many = materialize(distinct.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "groups")
-    need = distinct.join(many, "h").select("one.did", "one.key", F.struct("h", "d", "c", "n", "one.p").alias("x")).groupBy("did", "key").agg(F.collect_list("x").alias("need"))
-    contexts = keyed.join(need, ["did", "key"]).select("did", "key", "text", "need", "doc_id").transform(arrow_map, per_batch(_contexts(length)), "h long, d long, c long, did long, key long, lo long, once boolean, context binary")
-    blocks = F.ceil(F.col("d") / BLOCK).cast("long")
-    own = F.pmod("c", blocks)
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))).alias("pair")
-    dealt = contexts.select("h", pair, "did", "key", "lo", "once", "context").repartition("h", "pair").sortWithinPartitions("h", "pair")
-    edges = dealt.transform(arrow_map, _index_rows(length), "did long, key long, span long")
-    marks = whole.union(edges).groupBy("did", "key").agg(F.collect_set("span").alias("marks"))
+    found = keyed.where(F.octet_length("text") >= length).select("did", "key", "text").transform(arrow_map, _anchor_rows(length, gram), ANCHORS)
+    marks = None
+    for level in range(LEVELS):
+        whole, distinct, many = _groups(materialize(found, "anchors"), length)
+        marks = whole if marks is None else marks.union(whole)
+        large = many.where(F.col("d") > BLOCK)
+        if level == LEVELS - 1 or large.isEmpty():
+            break
+        marks = marks.union(_edges(keyed, distinct, many.where(F.col("d") <= BLOCK), length))
+        found = _wanted(keyed, distinct, large).transform(arrow_map, _anchored_again(length, gram, level + 1), ANCHORS)
+    marks = marks.union(_edges(keyed, distinct, many, length))
+    marks = marks.groupBy("did", "key").agg(F.collect_set("span").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     return keyed.join(marks, ["did", "key"], "left").select("did", "key", "text", "marks", "doc_id").transform(arrow_map, per_batch(lambda: _removed), out)

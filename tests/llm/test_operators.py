@@ -249,6 +249,21 @@ def test_repeats_match_brute_force(spark, seed, monkeypatch):
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 50)
 
 
+def test_repeats_around_a_hot_anchor(spark, monkeypatch):
+    """Very many distinct contexts around one passage: anchors are chosen anew, and only then pairs of blocks."""
+    rng = random.Random(11)
+    of = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = of(46), of(70)
+    texts = [of(rng.randint(30, 90)) + passage + of(rng.randint(0, 90)) for _ in range(150)] + [of(40) + other[:60] + of(9) + passage + of(60) for _ in range(20)]
+    texts += [x[5:] for x in rng.sample(texts, 30)] + texts[:9]
+    monkeypatch.setattr(repeats, "BLOCK", 8)
+    monkeypatch.setattr(repeats, "HOT", 20)
+    for levels in (1, 4):
+        monkeypatch.setattr(repeats, "LEVELS", levels)
+        got = rows_of(repeats.remove_repeats(documents(spark, texts), length=60, gram=40))
+        assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 60)
+
+
 def test_repeats_on_odd_texts(spark, odd):
     texts = [r["text"] for r in odd.orderBy("doc_id").collect()]
     got = rows_of(repeats.remove_repeats(odd))
