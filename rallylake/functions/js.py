@@ -32,14 +32,39 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
+def to_fixed(x: Column, digits: int = 2) -> Column:
+    """``toFixed``: the decimal nearest to the exact binary value, halves away from zero, as a string.
+
+    The fraction is split in two doubles whose products with small whole numbers are exact, so which side
+    of a half a value lies on is decided without rounding. Beyond 1e18 digits are those of the shortest
+    decimal; a zero that was negative keeps its sign, as there.
+    """
+    scale, size, x = 10**digits, F.abs(x), x.cast("double")
+    small = size < 1e18
+    whole = F.when(small, F.floor(F.when(small, size).otherwise(0.0))).otherwise(0)
+    part = F.when(small, size - whole).otherwise(0.0)
+    high = F.floor(part * float(1 << 26)) / float(1 << 26)
+    near = F.floor(part * scale + 0.5)
+    above = lambda odd: (high * (2.0 * scale) - odd) + (part - high) * (2.0 * scale) >= 0
+    n = near + F.when(above(2 * near + 1), 1).when(~above(2 * near - 1), -1).otherwise(0)
+    shown_whole = (whole + F.when(n == scale, 1).otherwise(0)).cast("string")
+    digits_of = F.concat(shown_whole, F.lit("."), F.lpad((n % scale).cast("string"), digits, "0")) if digits else shown_whole
+    far = F.concat(F.when(size < 1e21, size).cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits if digits else ""))
+    shown = F.concat(F.when(x < 0, "-").otherwise(""), F.when(size >= 1e21, size.cast("string")).when(~small, far).otherwise(digits_of))
+    return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(shown)
+
+
 def fixed2(x: Column) -> Column:
-    """Two decimals as a number; equal in all engines (see the tests for exact ties)."""
-    return F.floor(x * 100 + 0.5) / 100.0
+    return to_fixed(x, 2)
+
+
+#: White space in JavaScript's patterns; Java's own class is ASCII only.
+SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def slugify(x: Column) -> Column:
     """Lower case, word characters only, white space to hyphens; the last trim finds nothing to trim."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\w\s-]", ""), r"\s+", "-"))
+    return F.regexp_replace(F.regexp_replace(F.lower(x), f"[^\\w{SPACE[1:-1]}-]", ""), f"{SPACE}+", "-")
 
 
 def sanitize_name(x: Column) -> Column:
@@ -87,6 +112,12 @@ def parse_int(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"^\s*([-+]?\d+)", 1), F.lit("")).cast("long")
 
 
+def parse_float(x: Column) -> Column:
+    """``parseFloat``: the leading decimal number or infinity, else null."""
+    number = F.regexp_extract(x, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?Infinity)", 1)
+    return F.nullif(number, F.lit("")).cast("double")
+
+
 def data_url(x: Column) -> tuple[Column, Column]:
     """Image format (jpg as jpeg) and base64 payload of a data URL; nulls if it is none."""
     kind = F.nullif(F.regexp_extract(x, r"^data:image/(\w+);base64,(.+)$", 1), F.lit(""))
@@ -96,16 +127,13 @@ def data_url(x: Column) -> tuple[Column, Column]:
 def human_bytes(n: Column, zero: str = "0 Bytes") -> Column:
     """1024-based size with at most two decimals; thresholds rather than logarithms."""
     units = [("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10), ("Bytes", 1)]
-    text = reduce(lambda rest, u: F.when(n >= u[1], F.concat(_plain(fixed2(n / float(u[1]))), F.lit(f" {u[0]}"))).otherwise(rest), reversed(units), F.lit(zero))
+    text = reduce(lambda rest, u: F.when(n >= u[1], F.concat(_plain(n / float(u[1])), F.lit(f" {u[0]}"))).otherwise(rest), reversed(units), F.lit(zero))
     return F.when(n == 0, zero).otherwise(text)
 
 
 def _plain(x: Column) -> Column:
     """A number of at most two decimals without trailing zeros."""
-    cents = F.floor(x * 100 + 0.5).cast("long")
-    whole, rest = F.floor(cents / 100).cast("long"), cents % 100
-    part = F.when(rest == 0, "").when(rest % 10 == 0, F.concat(F.lit("."), F.floor(rest / 10).cast("string"))).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
-    return F.concat(whole.cast("string"), part)
+    return F.regexp_replace(to_fixed(x, 2), r"\.?0+$", "")
 
 
 def mmss(seconds: Column) -> Column:
@@ -114,6 +142,58 @@ def mmss(seconds: Column) -> Column:
     return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 
 
+def long_time(seconds: Column) -> Column:
+    """``Xm Ys``, seconds alone below a minute; the rest is rounded by itself, so it can be 60."""
+    rest = seconds - F.floor(seconds / 60) * 60
+    return F.when(seconds < 60, F.concat(js_round(seconds).cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), js_round(rest).cast("string"), F.lit("s")))
+
+
+def player_label(x: Column, short: bool = False) -> Column:
+    """``player_3`` anywhere in a key, in any case, as "Player 3" (short: "P3"); other keys as they are (short:
+    in upper case)."""
+    number = F.nullif(F.regexp_extract(x, r"(?i)player_(\d+)", 1), F.lit(""))
+    return F.coalesce(F.concat(F.lit("P" if short else "Player "), number), F.upper(x) if short else x)
+
+
+def field_label(x: Column, width: int = 14) -> Column:
+    """``camelCase`` as words with the first letter in upper case, padded but never cut."""
+    words = F.regexp_replace(x, "([A-Z])", " $1")
+    words = F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
+    return F.when(F.length(words) < width, F.rpad(words, width, " ")).otherwise(words)
+
+
+def is_video(mime_type: Column) -> Column:
+    return F.coalesce(F.startswith(mime_type, F.lit("video/")), F.lit(False))
+
+
+# Media types and bytes that an article's pictures may have.
+IMAGES, IMAGE_BYTES = ("image/jpeg", "image/png", "image/gif", "image/webp"), 5 * 1024 * 1024
+
+
+def media_accepted(mime_type: Column, size: Column) -> Column:
+    return F.coalesce(mime_type.isin(*IMAGES) & (size <= IMAGE_BYTES), F.lit(False))
+
+
+def media_key(key: Column) -> Column:
+    return F.coalesce(F.contains(key, F.lit("/blog/media/")), F.lit(False))
+
+
+def setting_missing(x: Column) -> Column:
+    """A setting is missing if it is null, empty or still the text of a template."""
+    return x.isNull() | (x == "") | F.contains(x, F.lit("your_")) | F.contains(x, F.lit("_here"))
+
+
+def capture_time(duration: Column, share: float = 0.2) -> Column:
+    """The second of a video whose picture stands for it."""
+    return F.least(duration * share, duration - 1)
+
+
+def iso_seconds(epoch: Column) -> Column:
+    """Epoch seconds as an ISO time in UTC, whatever the session's zone."""
+    at = F.timestamp_add("SECOND", epoch, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
     """Status, first and last byte of an HTTP range; no clamping: an end beyond the size is refused."""
     begin = F.nullif(F.regexp_extract(header, r"^bytes=(\d+)-(\d*)$", 1), F.lit("")).cast("long")
@@ -122,7 +202,12 @@ def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
     return F.when(good, 206).otherwise(416), F.when(good, begin), F.when(good, end)
 
 
+def json_text(document: Column) -> Column:
+    """The document as it is if it is valid JSON; else with NaN and infinities that stand as values of
+    objects replaced by null, which may still be invalid."""
+    return F.when(F.try_parse_json(document).isNotNull(), document).otherwise(F.regexp_replace(document, r":\s*(-?Infinity|NaN)", ": null"))
+
+
 def lenient_number(document: Column, field: str) -> Column:
     """A number of a JSON object in which NaN and infinities stand for null."""
-    clean = F.regexp_replace(document, r":\s*(-?Infinity|NaN)", ": null")
-    return F.get_json_object(clean, f"$.{field}").cast("double")
+    return F.get_json_object(json_text(document), f"$.{field}").cast("double")

@@ -19,14 +19,14 @@ LADDER = (
     ("calibration.csv", "Detecting Poses", 10),
     ("video.mp4", "Court Detection", 5),
 )
-# Markers in worker logs (in any case), step and progress, in order of precedence.
+# Markers in worker logs (in any case), step, stage shown and progress, in order of precedence.
 LOG_STEPS = (
-    (r"STEP 4:|Visualization|Video Visualization", "visualization", 90),
-    (r"STEP 3:|Shuttle Tracking|Shuttle Detection", "shuttle", 80),
-    (r"Sub-step 2\.3:|Jump Detection|Artifact Removal", "pose_position_artifacts", 70),
-    (r"Sub-step 2\.2:|Location Calculation", "pose_position_artifacts", 55),
-    (r"Sub-step 2\.1:|STEP 2:|Pose Estimation", "pose_position_artifacts", 35),
-    (r"STEP 1:|Court Detection|Court & Camera Calibration", "calibration", 15),
+    (r"STEP 4:|Visualization|Video Visualization", "visualization", "Generating analyzed video...", 90),
+    (r"STEP 3:|Shuttle Tracking|Shuttle Detection", "shuttle", "Detecting shuttlecock positions...", 80),
+    (r"Sub-step 2\.3:|Jump Detection|Artifact Removal", "pose_position_artifacts", "Detecting jumps and removing artifacts...", 70),
+    (r"Sub-step 2\.2:|Location Calculation", "pose_position_artifacts", "Calculating player positions...", 55),
+    (r"Sub-step 2\.1:|STEP 2:|Pose Estimation", "pose_position_artifacts", "Running pose estimation...", 35),
+    (r"STEP 1:|Court Detection|Court & Camera Calibration", "calibration", "Processing court detection...", 15),
 )
 ALIVE = ("IN_QUEUE", "IN_PROGRESS")
 BROKEN = ("FAILED", "TIMED_OUT")
@@ -47,18 +47,26 @@ def last_index(text: Column, literal: Column) -> Column:
     return F.when(back > 0, F.length(text) - back - F.length(literal) + 1).otherwise(-1)
 
 
-def log_step(text: Column) -> tuple[Column, Column]:
-    """Step and progress a log has reached.
+def log_step(text: Column) -> tuple[Column, Column, Column]:
+    """Step, stage and progress a log has reached.
 
     Each pattern's first match, in any case, gives a literal; where that literal stands last, as
     written, counts. The greatest place wins; of equal places the pattern listed first.
     """
     found = []
-    for rank, (pattern, step, progress) in enumerate(LOG_STEPS):
+    for rank, (pattern, step, stage, progress) in enumerate(LOG_STEPS):
         literal = F.regexp_extract(text, f"(?i)({pattern})", 1)
-        found.append(F.when(literal != "", F.struct(last_index(text, literal).alias("at"), F.lit(-rank).alias("rank"), F.lit(step).alias("step"), F.lit(progress).alias("progress"))))
+        found.append(F.when(literal != "", F.struct(last_index(text, literal).alias("at"), F.lit(-rank).alias("rank"), F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.lit(progress).alias("progress"))))
     best = F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return best["step"], F.coalesce(best["progress"], F.lit(0))
+    return best["step"], best["stage"], F.coalesce(best["progress"], F.lit(0))
+
+
+def last_log_step(line: Column, place: Column) -> tuple[Column, Column, Column]:
+    """Aggregates: step, stage and progress of the last line, by ``place``, that holds a marker; for logs
+    that come as rows, of which a key may have any number."""
+    step, stage, progress = log_step(line)
+    reached = F.max_by(F.struct(step.alias("step"), stage.alias("stage"), progress.alias("progress")), F.when(step.isNotNull(), place))
+    return reached["step"], reached["stage"], F.coalesce(reached["progress"], F.lit(0))
 
 
 def frame_progress(text: Column, progress: Column) -> Column:
@@ -86,5 +94,19 @@ def recommendation(all_files: Column, status: Column, has_output: Column, visual
     return F.when(all_files, "success").when(h["alive"], "wait").when(h["succeeded"] & visualization, "success").when(h["died"] | (status == "FAILED"), "retry").otherwise("failed")
 
 
+# Progress at which a step shows its next stage, for short and for long steps.
+SHORT_STAGES, LONG_STAGES = (20, 40, 60, 80), (12, 25, 50, 65, 75, 85, 92)
+
+
+def stage_index(progress: Column, thresholds: tuple[int, ...]) -> Column:
+    """How many thresholds the progress exceeds: the stage that a step which advances slowly has reached."""
+    return reduce(lambda n, t: n + F.when(progress > t, 1).otherwise(0), thresholds, F.lit(0))
+
+
+def retry_label(status: Column, count: Column, most: Column | int = 3) -> Column:
+    eligible = retry_eligible(status, count, most)
+    return F.when(eligible, "YES - CAN RETRY ✅").when(count >= most, "NO - MAX RETRIES EXCEEDED ❌").otherwise("NO")
+
+
 def retry_eligible(status: Column, count: Column, most: Column | int = 3) -> Column:
     return (count < most) & status.isin(*RETRYABLE)

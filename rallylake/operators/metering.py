@@ -48,3 +48,38 @@ def quota_fold(records: DataFrame, key: str, minutes: str, included: str, order:
     folded = records.where(~hopeless).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
     never = records.where(hopeless).select(*names, F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("used"))
     return folded.unionByName(never)
+
+
+# Hours by plan.
+PLAN_HOURS = {"FREE": 5, "STARTER": 50, "PRO": 200, "ENTERPRISE": 1000}
+
+
+def payment_status(status: Column) -> Column:
+    """The subscription's status; what is not known (trials, too) counts as incomplete."""
+    return F.when(status.isin("active", "canceled", "past_due"), status).otherwise("incomplete")
+
+
+def subscriptions(events: DataFrame, key: str) -> DataFrame:
+    """State of each key's subscription after all events (kind, plan, status, minutes, period_start; in the order of
+    ``place``, a struct).
+
+    A checkout sets the plan, an empty use and a period; a cycle empties the use and begins a period; an update
+    sets status and period; a deletion sets the free plan, canceled and unused; use adds minutes. Before
+    the first checkout there is no paying customer, so all but checkouts and use find nothing. Each field is that of
+    the last event that sets it, so aggregates with map-side combine do the fold: no key is gathered or sorted.
+    """
+    kind, place = F.col("kind"), F.col("place")
+    first = events.groupBy(key).agg(F.min(F.when(kind == "checkout", place)).alias("first"))
+    paid = F.coalesce(place >= F.col("first"), F.lit(False))
+    # which events set what
+    told = events.join(first, key)
+    last = lambda value, *kinds: F.max_by(value, F.when(paid & kind.isin(*kinds), place))
+    state = told.groupBy(key).agg(
+        F.coalesce(last(F.when(kind == "checkout", F.col("plan")).otherwise("FREE"), "checkout", "deleted"), F.lit("FREE")).alias("plan_type"),
+        F.coalesce(last(F.when(kind == "checkout", "active").when(kind == "deleted", "canceled").otherwise(payment_status(F.col("status"))), "checkout", "updated", "deleted"), F.lit("active")).alias("status"),
+        last(F.col("period_start"), "checkout", "cycle", "updated").alias("current_period_start"),
+        F.max(F.when(paid & kind.isin("checkout", "cycle", "deleted"), place)).alias("reset"),
+    )
+    used = events.where(kind == "usage").join(state.select(key, "reset"), key).where(F.col("reset").isNull() | (place > F.col("reset"))).groupBy(key).agg(F.sum("minutes").alias("used"))
+    minutes = F.create_map(*[x for p, h in PLAN_HOURS.items() for x in (F.lit(p), F.lit(60 * h))])
+    return state.join(used, key, "left").select(key, "plan_type", "status", minutes[F.col("plan_type")].alias("minutes_included"), F.coalesce("used", F.lit(0)).cast("long").alias("minutes_used"), "current_period_start")

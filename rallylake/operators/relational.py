@@ -81,3 +81,16 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations): rows for which a check is false; a null check passes. One pass for all rules."""
     counts = df.agg(*[F.count_if(~F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("r")).select("r.*")
+
+
+def touched(df: DataFrame, changed: Column, values: dict[str, Column], now: Column, stamp: str = "updated_at") -> DataFrame:
+    """Rows for which ``changed`` holds get new values and the time; the others stay as they are."""
+    hit = F.coalesce(changed, F.lit(False))
+    new = {**values, stamp: now}
+    return df.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
+
+
+def inserted(df: DataFrame, path: str) -> DataFrame:
+    """Append rows to the table at ``path`` and return them as stored."""
+    df.write.mode("append").parquet(path)
+    return df.select(*df.columns)

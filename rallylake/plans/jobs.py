@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rallylake.operators import jobs
 from rallylake.plans.base import query
-from rallylake.plans.scalars import K, k, literals
+from rallylake.plans.scalars import K, k
 from rallylake.sources.tables import load
 
 ARTIFACTS = {"purchase": "analyzed_video.mp4", "error": "shuttle.json", "click": "positions.json", "view": "calibration.csv", "signup": "video.mp4"}
@@ -25,10 +25,11 @@ def worker_status():
 
 @query("""SELECT user_id, CASE WHEN c THEN 'Analysis Complete' WHEN e THEN 'Analyzing Positions' WHEN k THEN 'Removing Artifacts' WHEN v THEN 'Detecting Poses' WHEN s THEN 'Court Detection' ELSE 'Queued for Analysis' END AS step,
     CASE WHEN c THEN 100 WHEN e THEN 70 WHEN k THEN 40 WHEN v THEN 10 WHEN s THEN 5 ELSE 0 END AS progress FROM (
-    SELECT user_id, bool_or(event_type = 'purchase') AS c, bool_or(event_type = 'error') AS e, bool_or(event_type = 'click') AS k, bool_or(event_type = 'view') AS v, bool_or(event_type = 'signup') AS s
-    FROM events WHERE value < 20 GROUP BY user_id)""")
+    SELECT user_id, bool_or(event_type = 'purchase' AND value < 20) AS c, bool_or(event_type = 'error' AND value < 20) AS e, bool_or(event_type = 'click' AND value < 20) AS k, bool_or(event_type = 'view' AND value < 20) AS v, bool_or(event_type = 'signup' AND value < 20) AS s
+    FROM events GROUP BY user_id)""")
 def status_ladder(spark, d):
-    seen = load(spark, d, "events").where("value < 20").groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == t).alias(t) for t in ARTIFACTS])
+    # an artifact of at least 20 units is not there yet
+    seen = load(spark, d, "events").groupBy("user_id").agg(*[F.bool_or((F.col("event_type") == t) & (F.col("value") < 20)).alias(t) for t in ARTIFACTS])
     step, progress = jobs.ladder({name: F.col(t) for t, name in ARTIFACTS.items()})
     return seen.select("user_id", step.alias("step"), progress.alias("progress"))
 
@@ -43,30 +44,46 @@ def artifact_progress(spark, d):
     return found.select("user_id", expected, "found").select("user_id", "artifact", F.array_contains("found", F.col("artifact")).alias("present"))
 
 
-@query(f"""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'signup') THEN 'signup' WHEN bool_or(event_type = 'view') THEN 'view' END AS source
-    FROM events WHERE {K} > 95 GROUP BY user_id""")
+@query(f"""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND {K} > 95) THEN 'purchase' WHEN bool_or(event_type = 'signup' AND {K} > 95) THEN 'signup' WHEN bool_or(event_type = 'view' AND {K} > 95) THEN 'view' END AS source
+    FROM events GROUP BY user_id""")
 def first_available(spark, d):
-    have = load(spark, d, "events").where(k() > 95).groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    # objects of rank over 95 exist; users without one of the candidates keep a row
+    have = load(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(k() > 95, F.col("event_type"))).alias("have"))
     return have.select("user_id", F.coalesce(*[F.when(F.array_contains("have", F.lit(x)), x) for x in ("purchase", "signup", "view")]).alias("source"))
 
 
-@query(f"""SELECT user_id, CASE t WHEN 'purchase' THEN 'visualization' WHEN 'error' THEN 'shuttle' WHEN 'signup' THEN 'calibration' ELSE 'pose_position_artifacts' END AS step,
-    CASE t WHEN 'purchase' THEN 90 WHEN 'error' THEN 80 WHEN 'click' THEN 55 WHEN 'view' THEN 35 ELSE 15 END AS progress
-    FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events WHERE {K} > 80 GROUP BY user_id)""")
+@query(f"""SELECT user_id, CASE t WHEN 'purchase' THEN 'visualization' WHEN 'error' THEN 'shuttle' WHEN 'signup' THEN 'calibration' WHEN 'click' THEN 'pose_position_artifacts' WHEN 'view' THEN 'pose_position_artifacts' END AS step,
+    CASE t WHEN 'purchase' THEN 'Generating analyzed video...' WHEN 'error' THEN 'Detecting shuttlecock positions...' WHEN 'click' THEN 'Calculating player positions...' WHEN 'view' THEN 'Running pose estimation...' WHEN 'signup' THEN 'Processing court detection...' END AS stage,
+    CASE t WHEN 'purchase' THEN 90 WHEN 'error' THEN 80 WHEN 'click' THEN 55 WHEN 'view' THEN 35 WHEN 'signup' THEN 15 ELSE 0 END AS progress
+    FROM (SELECT user_id, arg_max(CASE WHEN {K} > 80 THEN event_type END, (ts, event_id)) FILTER ({K} > 80) AS t FROM events GROUP BY user_id)""")
 def log_stage(spark, d):
-    marker = F.when(F.col("event_type") == "purchase", "Visualization").when(F.col("event_type") == "error", "Shuttle Tracking").when(F.col("event_type") == "click", "Location Calculation").when(F.col("event_type") == "view", "Pose Estimation").otherwise("Court Detection")
-    lines = load(spark, d, "events").where(k() > 80).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", marker.alias("m")))).alias("lines"))
-    step, progress = jobs.log_step(F.array_join(F.transform("lines", lambda x: x["m"]), "\n"))
-    return lines.select("user_id", step.alias("step"), progress.alias("progress"))
+    """What a job's log, a row a line, has reached; lines of rank up to 80 hold no marker."""
+    t = F.col("event_type")
+    marker = F.when(t == "purchase", "Visualization").when(t == "error", "Shuttle Tracking").when(t == "click", "Location Calculation").when(t == "view", "Pose Estimation").otherwise("Court Detection")
+    lines = load(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("place"), F.when(k() > 80, marker).otherwise("frame done").alias("line"))
+    step, stage, progress = jobs.last_log_step(F.col("line"), F.col("place"))
+    return lines.groupBy("user_id").agg(step.alias("step"), stage.alias("stage"), progress.alias("progress"))
+
+
+MARKERS = ("STEP 1: court", "Pose Estimation on", "location calculation", "Jump Detection", "Shuttle Detection", "Video Visualization")
 
 
-LOGS = [("10/40 frames", 0, 25), ("5/0 frames", 35, 95), ("0/0 frames", 35, 35), ("39/40 frames, 1/2 frames", 80, 95), ("no frames", 15, 15), ("1/3 frames", 55, 55), ("1/8 frames", 0, 13)]
+@query("""SELECT doc_id, list_extract(['calibration', 'pose_position_artifacts', 'pose_position_artifacts', 'pose_position_artifacts', 'shuttle', 'visualization'], last) AS step, list_extract([15, 35, 55, 70, 80, 90], last) AS progress
+    FROM (SELECT doc_id, CAST(doc_id // 6 % 6 + 1 AS INT) AS last FROM documents)""")
+def log_text_stage(spark, d):
+    """The same for logs that come whole, as one text: two markers around a document's text, of which the later counts."""
+    marker = lambda n: F.element_at(F.array(*map(F.lit, MARKERS)), (n % 6 + 1).cast("int"))
+    log = F.concat_ws("\n", marker(F.col("doc_id")), F.regexp_replace(F.col("text"), "(?i)step|detection|tracking|estimation|calculation|removal|visualization", "."), marker(F.floor(F.col("doc_id") / 6)))
+    step, _, progress = jobs.log_step(log)
+    return load(spark, d, "documents").select("doc_id", step.alias("step"), progress.alias("progress"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {x[2]})" for i, x in enumerate(LOGS)) + ") t(id, progress)")
+@query(f"""SELECT event_id, CASE WHEN k % 7 = 0 THEN step WHEN b = 0 THEN CASE WHEN k > 0 THEN 95 ELSE step END ELSE greatest(step, least(95, CAST(floor(100.0::DOUBLE * k / b + 0.5) AS INT))) END AS progress
+    FROM (SELECT event_id, {K} AS k, CAST(floor(value) AS INT) AS b, CAST(event_id % 100 AS INT) AS step FROM events)""")
 def frame_progress(spark, d):
-    rows = literals(spark, "id int, log string, step int", *[(i, x[0], x[1]) for i, x in enumerate(LOGS)])
-    return rows.select("id", jobs.frame_progress(F.col("log"), F.col("step")).alias("progress"))
+    frames = F.concat(F.lit("at "), k().cast("string"), F.lit("/"), F.floor("value").cast("string"), F.lit(" frames, then 1/1 frames"))
+    log = F.when(k() % 7 == 0, "no frames").otherwise(frames)
+    return load(spark, d, "events").select("event_id", jobs.frame_progress(log, (F.col("event_id") % 100).cast("int")).alias("progress"))
 
 
 @query(f"SELECT event_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'failed' WHEN 'signup' THEN 'queued' ELSE 'running' END AS status, CASE event_type WHEN 'purchase' THEN 100 WHEN 'signup' THEN 0 ELSE {K} END AS progress FROM events")
@@ -87,10 +104,10 @@ def recommendation(spark, d):
     return load(spark, d, "events").select("event_id", jobs.recommendation(k() > 95, worker_status(), k() % 2 == 0, k() % 3 == 0).alias("recommendation"))
 
 
-@query(f"SELECT event_id, event_type = 'error' AND {K} % 5 < 3 AS eligible, greatest(3 - {K} % 5, 0) AS retries_remaining FROM events")
+@query(f"SELECT event_id, event_type = 'error' AND {K} % 5 < 3 AS eligible, greatest(3 - {K} % 5, 0) AS retries_remaining, CASE WHEN {K} % 5 >= 3 THEN 'NO - MAX RETRIES EXCEEDED ❌' WHEN event_type = 'error' THEN 'YES - CAN RETRY ✅' ELSE 'NO' END AS can_retry FROM events")
 def retry_eligible(spark, d):
     status = F.when(F.col("event_type") == "error", "failed").otherwise("running")
-    return load(spark, d, "events").select("event_id", jobs.retry_eligible(status, k() % 5).alias("eligible"), F.greatest(3 - k() % 5, F.lit(0)).alias("retries_remaining"))
+    return load(spark, d, "events").select("event_id", jobs.retry_eligible(status, k() % 5).alias("eligible"), F.greatest(3 - k() % 5, F.lit(0)).alias("retries_remaining"), jobs.retry_label(status, k() % 5).alias("can_retry"))
 
 
 @query("""SELECT user_id, started_at, completed_at, CAST(date_diff('microsecond', started_at, completed_at) AS BIGINT) AS micros FROM (
@@ -114,9 +131,10 @@ def until_terminal(spark, d):
     return events.join(stop, "user_id", "left").where(F.col("stop").isNull() | (place <= F.col("stop"))).select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT event_id, user_id, parent, n AS depth, first_id AS root FROM (
-    SELECT event_id, user_id, lag(event_id) OVER w AS parent, row_number() OVER w - 1 AS n, first_value(event_id) OVER w AS first_id
-    FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n <= 20""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+    chain(event_id, user_id, parent, depth, root, n) AS (SELECT event_id, user_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), event_id, n FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, c.event_id, c.depth + 1, c.root, e.n FROM chain c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)
+    SELECT event_id, user_id, parent, depth, root FROM chain""")
 def retry_chain(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     errors = load(spark, d, "events").where("event_type = 'error'")

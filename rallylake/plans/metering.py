@@ -138,6 +138,30 @@ def billing_fold(spark, d):
     return after.groupBy("user_id", "cycle").agg(F.count_if(F.col("event_type") == "click").alias("used")).select("user_id", "used", "cycle")
 
 
+SUBSCRIPTION_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_type AS t, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    f(user_id, n, customer, plan, status, used, period_start) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), false, 'FREE', 'active', CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP) FROM e
+        UNION ALL SELECT f.user_id, e.n, customer OR t = 'purchase',
+            CASE WHEN t = 'purchase' THEN CASE k % 3 WHEN 0 THEN 'STARTER' WHEN 1 THEN 'PRO' ELSE 'ENTERPRISE' END WHEN customer AND t = 'error' THEN 'FREE' ELSE plan END,
+            CASE WHEN t = 'purchase' THEN 'active' WHEN customer AND t = 'error' THEN 'canceled' WHEN customer AND t = 'view' THEN CASE k % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'canceled' WHEN 2 THEN 'past_due' ELSE 'incomplete' END ELSE status END,
+            CASE WHEN t = 'purchase' OR (customer AND t IN ('error', 'signup')) THEN 0 WHEN t = 'click' THEN used + k ELSE used END,
+            CASE WHEN t = 'purchase' OR (customer AND t IN ('signup', 'view')) THEN e.ts ELSE period_start END
+        FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+    SELECT user_id, plan AS plan_type, status, CASE plan WHEN 'FREE' THEN 300 WHEN 'STARTER' THEN 3000 WHEN 'PRO' THEN 12000 ELSE 60000 END AS minutes_included, used AS minutes_used, period_start AS current_period_start
+    FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1"""
+
+
+@query(SUBSCRIPTION_SQL)
+def subscription_fold(spark, d):
+    """Payment events folded into subscriptions: purchase is a checkout (plan by k), signup a billing cycle, view an
+    update (status by k), error a deletion; a click uses k minutes."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.create_map(*map(F.lit, ("purchase", "checkout", "signup", "cycle", "view", "updated", "error", "deleted", "click", "usage")))[F.col("event_type")]
+    plan = F.get(F.array(*map(F.lit, ("STARTER", "PRO", "ENTERPRISE"))), (k % 3).cast("int"))
+    status = F.get(F.array(*map(F.lit, ("active", "canceled", "past_due", "trialing"))), (k % 4).cast("int"))
+    events = load(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("place"), kind.alias("kind"), plan.alias("plan"), status.alias("status"), k.alias("minutes"), F.col("ts").alias("period_start"))
+    return metering.subscriptions(events, "user_id")
+
+
 @query("SELECT c_custkey AS user_id, 'profile' AS kind, c_name AS detail FROM customer UNION ALL SELECT c_custkey, 'subscription', 'FREE' FROM customer")
 def signup_fanout(spark, d):
     rows = F.explode(F.array(F.struct(F.lit("profile").alias("kind"), F.col("c_name").alias("detail")), F.struct(F.lit("subscription").alias("kind"), F.lit("FREE").alias("detail")))).alias("r")

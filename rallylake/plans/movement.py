@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallylake.operators import movement as M
-from rallylake.plans.base import query
+from rallylake.plans.base import ORACLES, query
 from rallylake.plans.scalars import K, k
 from rallylake.sources.tables import load
 
@@ -108,17 +108,44 @@ def mv_intensity(spark, d):
     return daily.groupBy("player").agg((F.sum("dist") / 1e6 / F.count("*")).alias("avg_m"), F.when(F.count("*") > 1, F.round(F.stddev_samp("dist") / 1e6, 3)).alias("std_m"), F.count("*").alias("windows"))
 
 
+FIELDS = ("mv_distance", "mv_avg_speed", "mv_frames", "mv_occupancy", "mv_center", "mv_return_time", "mv_recovery", "mv_stance", "mv_side_bias", "mv_quarters", "mv_jumps", "mv_intensity")
+_PLAIN = (
+    "player, total_distance_m, average_speed_m_s, time_tracked_seconds, cleaned_frame_count, artifacts AS artifacts_corrected, front_left, back_right, avg_distance_m AS average_distance_from_center_m, max_distance_m AS max_distance_from_center_m, "
+    "avg_return_seconds AS average_return_time_s, near_percent AS time_near_center_percent, avg_recovery_m_s AS average_recovery_speed_m_s, max_recovery_m_s AS max_recovery_speed_m_s, offensive AS offensive_percent, defensive AS defensive_percent, "
+    "s.dominant AS dominant_stance, left_percent, b.dominant AS dominant_side, first_speed AS first_quarter_speed_m_s, last_speed AS last_quarter_speed_m_s, change_percent, jumps AS total_jumps, jumps_per_second, first_quarter AS first_quarter_jumps, "
+    "avg_m AS avg_distance_m, std_m AS std_distance_m"
+)
+
+
+def documents(spark, d) -> DataFrame:
+    """The whole analysis document of each player as nested columns: one window sort for all metrics, one
+    aggregation, and one more for what is counted by runs and by days."""
+    return M.document(positions(spark, d), F.col("event_type") == "click")
+
+
+@query(f"SELECT {_PLAIN} FROM ({ORACLES['mv_distance']}) " + " ".join(f"LEFT JOIN ({ORACLES[x]}) {dict(mv_stance='s', mv_side_bias='b').get(x, x)} USING (player)" for x in FIELDS[1:]))
+def mv_document_fields(spark, d):
+    """Fields of every group of the document, read back from it."""
+    at = lambda path: F.col(path).alias(path.rsplit(".", 1)[-1])
+    efficiency, strategy, rally = "movement_efficiency", "positioning_strategy", "rally_dynamics"
+    paths = ["total_distance_m", "average_speed_m_s", "time_tracked_seconds", "cleaned_frame_count", "artifacts_corrected", "court_occupancy_percent.front_left", "court_occupancy_percent.back_right"]
+    paths += [f"{efficiency}.return_to_center.{x}" for x in ("average_distance_from_center_m", "max_distance_from_center_m", "average_return_time_s", "time_near_center_percent")]
+    paths += [f"{efficiency}.recovery_speed.{x}" for x in ("average_recovery_speed_m_s", "max_recovery_speed_m_s")]
+    paths += [f"{strategy}.offensive_defensive.{x}" for x in ("offensive_percent", "defensive_percent", "dominant_stance")] + [f"{strategy}.left_right_bias.{x}" for x in ("left_percent", "dominant_side")]
+    paths += [f"{rally}.speed_variation.{x}" for x in ("first_quarter_speed_m_s", "last_quarter_speed_m_s", "change_percent")] + [f"{rally}.jump_pattern.{x}" for x in ("total_jumps", "jumps_per_second", "first_quarter_jumps")]
+    paths += [f"{rally}.movement_intensity.day.{x}" for x in ("avg_distance_m", "std_distance_m")]
+    return documents(spark, d).select("player", *map(at, paths))
+
+
 @query()
 def mv_document(spark, d):
     """One JSON document per player with the nested groups, null fields kept."""
-    s = M.steps(positions(spark, d))
-    zone = F.concat(M.third(), F.lit("_"), M.side())
-    groups = s.groupBy("player").agg(
-        (F.sum(M.micro(F.col("step"))) / 1e6).alias("total_distance_m"),
-        ((F.max("micros") - F.min("micros")) / 1e6).alias("time_tracked_seconds"),
-        F.count_if(F.col("step").isNull() | (F.col("step") <= M.ARTIFACT_STEP_M)).alias("cleaned_frame_count"),
-        F.map_from_arrays(F.array(*map(F.lit, M.ZONES)), F.array(*[M.share(zone == z) for z in M.ZONES])).alias("court_occupancy_percent"),
-        F.struct((F.sum(M.micro(F.col("away"))) / 1e6 / F.count("*")).alias("avg_distance_to_center_m"), F.lit(None).cast("double").alias("anticipation_score")).alias("movement_efficiency"),
-    )
+    groups = documents(spark, d)
     document = F.to_json(F.struct(F.map_from_arrays(F.array(F.concat(F.lit("player_"), F.col("player").cast("string"))), F.array(F.struct(*groups.columns[1:]))).alias("players")), {"ignoreNullFields": "false"})
     return groups.select("player", document.alias("document"))
+
+
+@query(f"SELECT player, total_distance_m, average_speed_m_s, cleaned_frame_count FROM ({ORACLES['mv_distance']}) JOIN ({ORACLES['mv_avg_speed']}) USING (player) JOIN ({ORACLES['mv_frames']}) USING (player)")
+def mv_shared(spark, d):
+    """The fewer fields that a shared page shows; the other groups are not computed."""
+    return documents(spark, d).select("player", "total_distance_m", "average_speed_m_s", "cleaned_frame_count")

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rallylake.functions import js
 from rallylake.operators import relational as R
 from rallylake.plans.base import NOW, query
+from rallylake.sources import objects, schemas
 from rallylake.sources.tables import load
 
 LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]
@@ -42,10 +44,11 @@ def filter_and(spark, d):
     return load(spark, d, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate END AS deleted_at FROM orders) WHERE deleted_at IS NULL")
+@query("SELECT event_id, user_id, props FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, user_id, props FROM events WHERE props IS NULL")
 def filter_is_null(spark, d):
-    orders = load(spark, d, "orders").withColumn("deleted_at", F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")))
-    return orders.where(F.col("deleted_at").isNull()).select("o_orderkey")
+    """Null and non-null parts of a stored column; both conditions reach the Parquet scan."""
+    events = load(spark, d, "events").select("event_id", "user_id", "props")
+    return events.where(F.col("props").isNotNull()).unionByName(events.where(F.col("props").isNull()))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -91,10 +94,10 @@ def tab_counts(spark, d):
     return load(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_all"), F.count_if(status == "F").alias("n_ready"), F.count_if(status.isin("O", "P")).alias("n_processing"))
 
 
-@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer ORDER BY segment DESC NULLS FIRST, c_custkey LIMIT 50")
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer")
 def sort_desc(spark, d):
     rows = load(spark, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
-    return rows.orderBy(F.desc_nulls_first("segment"), "c_custkey").limit(50)
+    return rows.orderBy(F.desc_nulls_first("segment"), "c_custkey")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
@@ -177,11 +180,14 @@ def fallback_join(spark, d):
     return keyed.join(first, keyed.first_key == first.n_nationkey, "left").join(second, keyed.second_key == second.n_regionkey, "left").select("c_custkey", F.coalesce("first_name", "second_name").alias("nation"))
 
 
-@query("SELECT u.user_id, coalesce(c_name, 'Player ' || CAST(u.user_id AS VARCHAR)) AS label FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN customer ON c_custkey = u.user_id AND c_custkey % 2 = 0")
+@query("""SELECT u.user_id, coalesce(c_name, CASE WHEN u.user_id % 3 = 0 THEN 'guest-' || u.user_id ELSE 'Player ' || u.user_id END) AS label, CASE WHEN u.user_id % 3 = 0 THEN 'GUEST-' || u.user_id ELSE 'P' || u.user_id END AS short
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN customer ON c_custkey = u.user_id AND c_custkey % 2 = 0""")
 def name_overlay(spark, d):
-    users = load(spark, d, "events").select("user_id").distinct()
+    number = F.col("user_id").cast("string")
+    key = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("guest-"), number)).otherwise(F.concat(F.lit("a PLAYER_"), number))
+    users = load(spark, d, "events").select("user_id").distinct().withColumn("player", key)
     names = load(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    return users.join(names, users.user_id == names.c_custkey, "left").select("user_id", F.coalesce("c_name", F.concat(F.lit("Player "), F.col("user_id").cast("string"))).alias("label"))
+    return users.join(names, users.user_id == names.c_custkey, "left").select("user_id", F.coalesce("c_name", js.player_label(F.col("player"))).alias("label"), js.player_label(F.col("player"), short=True).alias("short"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -345,3 +351,80 @@ def array_hof(spark, d):
     types = load(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
     joined = F.array_join(F.transform(F.filter("t", lambda x: x != "view"), lambda x: F.upper(x)), ", ")
     return types.select("user_id", F.nullif(joined, F.lit("")).alias("types"))
+
+
+SHARE_SQL = """SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' AND o_orderdate < TIMESTAMP '1996-06-01' THEN 410 WHEN NOT coalesce(analysis, false) THEN 202 ELSE 200 END AS status,
+    o_custkey, coalesce(analyzed, false) AS analyzed, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN (SELECT l_orderkey, bool_or(l_linenumber = 2) AS analysis, bool_or(l_linenumber = 3) AS analyzed FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+
+
+def session_files(spark, d):
+    """Per session (order) its files: line numbers stand for file names."""
+    names = F.array(*map(F.lit, ("video.mp4", "position_analysis.json", "analyzed_video.mp4", "calibration_summary.json", "calibration.csv", "court.csv", "pose.json")))
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.get(names, (F.col("l_linenumber") - 1).cast("int")).alias("file_name"))
+
+
+@query(f"""SELECT o_orderkey, status, CASE WHEN status = 200 THEN 'dev/' || o_custkey || '/' || o_orderkey || CASE WHEN analyzed THEN '/analyzed_video.mp4' ELSE '/video.mp4' END END AS video_key,
+    CASE WHEN status = 200 THEN coalesce(c_name, '') END AS player_names, CAST(CASE WHEN status = 200 THEN 1 ELSE 0 END AS INT) AS views FROM ({SHARE_SQL})""")
+def share_document(spark, d):
+    """What a share link gives: gone if expired, not ready without the analysis, else the video to show and the names."""
+    there = {"analysis": "position_analysis.json", "analyzed": "analyzed_video.mp4"}
+    files = session_files(spark, d).groupBy("o_orderkey").agg(*[F.bool_or(F.col("file_name") == x).alias(n) for n, x in there.items()])
+    shares = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("expires"))
+    names = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    now = F.lit("1996-06-01").cast("timestamp_ntz")
+    rows = shares.join(files, "o_orderkey", "left").join(names, "o_custkey", "left")
+    status = F.when(F.col("expires") < now, 410).when(~F.coalesce("analysis", F.lit(False)), 202).otherwise(200)
+    shown = F.when(F.coalesce("analyzed", F.lit(False)), "analyzed_video.mp4").otherwise("video.mp4")
+    key = F.concat_ws("/", F.lit("dev"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), shown)
+    good = F.col("status") == 200
+    return rows.withColumn("status", status).select("o_orderkey", "status", F.when(good, key).alias("video_key"), F.when(good, F.coalesce("c_name", F.lit(""))).alias("player_names"), F.when(good, 1).otherwise(0).alias("views"))
+
+
+@query("SELECT l.doc_id, source || '-' || l.doc_id AS slug, lang, length(text) AS chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality = 1")
+def blog_document(spark, d):
+    """A published post by its slug, with its body read by the content key."""
+    posts = load(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("content_key"))
+    bodies = load(spark, d, "documents").select(F.col("doc_id").alias("content_key"), "source", "lang", "text")
+    joined = posts.join(bodies, "content_key")
+    return joined.select(F.col("content_key").alias("doc_id"), F.concat_ws("-", "source", F.col("content_key").cast("string")).alias("slug"), "lang", F.length("text").cast("long").alias("chars"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN NOT summary THEN 'files' WHEN o_orderkey % 10 = 0 THEN 'error' ELSE 'summary' END AS kind, CASE WHEN summary AND o_orderkey % 10 <> 0 THEN o_totalprice END AS reprojection_error,
+    CASE WHEN summary AND o_orderkey % 10 <> 0 THEN calibration ELSE analysis END AS files FROM (SELECT o_orderkey, o_totalprice, bool_or(coalesce(l_linenumber = 4, false)) AS summary,
+    coalesce(string_agg(DISTINCT f, ',' ORDER BY f) FILTER (l_linenumber IN (4, 5, 6)), '') AS calibration, coalesce(string_agg(DISTINCT f, ',' ORDER BY f) FILTER (l_linenumber <> 1), '') AS analysis
+    FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, list_extract(['video.mp4', 'position_analysis.json', 'analyzed_video.mp4', 'calibration_summary.json', 'calibration.csv', 'court.csv', 'pose.json'], l_linenumber) AS f FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL)""")
+def calibration_results(spark, d):
+    """The calibration summary of a session with its files; all analysis files where there is none or it is no JSON."""
+    name = F.col("file_name")
+    one = lambda condition: F.array_join(F.array_sort(F.collect_set(F.when(condition, name))), ",")
+    files = session_files(spark, d).groupBy("o_orderkey").agg(F.bool_or(name == "calibration_summary.json").alias("there"), one(name.isin("court.csv", "calibration.csv", "calibration_summary.json")).alias("calibration"), one(~F.startswith(name, F.lit("video."))).alias("analysis"))
+    orders = load(spark, d, "orders").select("o_orderkey", "o_totalprice").join(files, "o_orderkey", "left")
+    content = F.when(F.col("o_orderkey") % 10 == 0, "no JSON").otherwise(F.to_json(F.struct(F.col("o_totalprice").alias("reprojection_error_pixels"))))
+    rows = orders.withColumn("summary", F.when(F.col("there"), objects.parsed(content, schemas.SUMMARY)))
+    good = F.col("summary").isNotNull()
+    kind = F.when(good, "summary").when(F.col("there"), "error").otherwise("files")
+    return rows.select("o_orderkey", kind.alias("kind"), F.col("summary.reprojection_error_pixels").alias("reprojection_error"), F.coalesce(F.when(good, F.col("calibration")).otherwise(F.col("analysis")), F.lit("")).alias("files"))
+
+
+@query("""SELECT o_orderkey, analyzed AS exists, CASE WHEN analyzed THEN '/api/video-stream?key=dev%2F' || o_custkey || '%2F' || o_orderkey || '%2Fanalyzed_video.mp4' END AS url
+    FROM (SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3) AS analyzed FROM orders)""")
+def processed_video_url(spark, d):
+    found = session_files(spark, d).where("file_name = 'analyzed_video.mp4'").select("o_orderkey").distinct().withColumn("there", F.lit(True))
+    key = F.concat_ws("/", F.lit("dev"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lit("analyzed_video.mp4"))
+    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey").join(found, "o_orderkey", "left")
+    return rows.select("o_orderkey", F.coalesce("there", F.lit(False)).alias("exists"), F.when(F.col("there"), F.concat(F.lit("/api/video-stream?key="), F.url_encode(key))).alias("url"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'P' THEN TIMESTAMP '{NOW}' ELSE o_orderdate END AS updated_at FROM orders")
+def updated_touch(spark, d):
+    """An update stamps the rows that it changes and no others."""
+    orders = load(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    return R.touched(orders, F.col("status") == "P", {"status": F.lit("F")}, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, min(event_type) AS tracked FROM events GROUP BY user_id")
+def first_value(spark, d):
+    """Of a map only the first value, in the order of its keys."""
+    maps = load(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("keys"))
+    return maps.select("user_id", F.get(F.map_values(F.map_from_arrays("keys", "keys")), F.lit(0)).alias("tracked"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rallylake.functions import js
+from rallylake.operators import jobs
 from rallylake.plans.base import query
+from rallylake.sources import objects
 from rallylake.sources.tables import load
 
 
-def literals(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
-    """A small table of given rows."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -27,18 +25,20 @@ def js_or_default(spark, d):
     return load(spark, d, "part").select("p_partkey", js.or_default(F.col("p_size") % 5, F.lit(7)).alias("size"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(title), '[^\w\s-]', '', 'g'), '\s+', '-', 'g')) AS slug FROM (SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^ -~]', '', 'g') AS title FROM documents)")
-def slugify(spark, d):
-    title = F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "")
-    return load(spark, d, "documents").select("doc_id", js.slugify(title).alias("slug"))
+SPACE_SQL = r"\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
-NAMES = ["a[1]/b?.mp4", "  plain   name .mov ", 'x<y>:"z"|*.mp4', "back\\slash.mp4", ""]
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^0-9A-Za-z_{SPACE_SQL}-]', '', 'g'), '[{SPACE_SQL}]+', '-', 'g') AS slug FROM documents")
+def slugify(spark, d):
+    return load(spark, d, "documents").select("doc_id", js.slugify(F.col("text")).alias("slug"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a(1)-b_.mp4'), (1, 'plain name .mov'), (2, 'x_y___z___.mp4'), (3, 'back-slash.mp4'), (4, '')) t(id, name)")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(name, '[', '('), ']', ')'), '/', '-'), chr(92), '-'), '<', '_'), '>', '_'), ':', '_'), '"', '_'), '|', '_'), '?', '_'), '*', '_'), '[ \t\n]+', ' ', 'g')) AS name
+    FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '  ' || url || '[1]  b?.mp4 ' WHEN 1 THEN 'x<y>:"z"|*' || chr(92) || url ELSE url END AS name FROM pages)""")
 def sanitize_name(spark, d):
-    return literals(spark, "id int, raw string", *enumerate(NAMES)).select("id", js.sanitize_name(F.col("raw")).alias("name"))
+    k3 = F.col("page_id") % 3
+    raw = F.when(k3 == 0, F.concat(F.lit("  "), "url", F.lit("[1]  b?.mp4 "))).when(k3 == 1, F.concat(F.lit('x<y>:"z"|*\\'), "url")).otherwise(F.col("url"))
+    return load(spark, d, "pages").select("page_id", js.sanitize_name(raw).alias("name"))
 
 
 @query(r"""SELECT page_id, ext, CASE lower(ext) WHEN 'html' THEN 'application/octet-stream' WHEN 'mp4' THEN 'video/mp4' ELSE 'application/octet-stream' END AS mime
@@ -71,21 +71,30 @@ def reading_time(spark, d):
     return load(spark, d, "documents").select("doc_id", js.reading_minutes(F.col("text")).alias("minutes"))
 
 
-@query("SELECT * FROM (VALUES (0, 'jpeg', 'QUJD'), (1, 'png', 'QQ=='), (2, NULL, NULL), (3, NULL, NULL)) t(id, format, payload)")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS format, CASE WHEN p_partkey % 4 < 2 THEN to_base64(encode(p_name)) END AS payload FROM part""")
 def dataurl_parse(spark, d):
-    rows = literals(spark, "id int, url string", *enumerate(["data:image/jpg;base64,QUJD", "data:image/png;base64,QQ==", "data:text/plain,abc", ""]))
-    kind, payload = js.data_url(F.col("url"))
-    return rows.select("id", kind.alias("format"), payload.alias("payload"))
+    k4, content = F.col("p_partkey") % 4, F.base64(F.encode("p_name", "utf-8"))
+    url = F.when(k4 == 0, F.concat(F.lit("data:image/jpg;base64,"), content)).when(k4 == 1, F.concat(F.lit("data:image/png;base64,"), content)).when(k4 == 2, F.concat(F.lit("data:text/plain,"), "p_name")).otherwise("")
+    kind, payload = js.data_url(url)
+    return load(spark, d, "part").select("p_partkey", kind.alias("format"), payload.alias("payload"))
 
 
-@query("SELECT * FROM (VALUES (0, CAST(12 AS BIGINT)), (1, CAST(-3 AS BIGINT)), (2, NULL), (3, CAST(7 AS BIGINT)), (4, NULL)) t(id, n)")
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(trunc(c_acctbal) AS BIGINT) WHEN 1 THEN c_custkey WHEN 3 THEN c_custkey END AS n,
+    CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN CAST(c_custkey AS DOUBLE) WHEN 3 THEN c_custkey + 0.5::DOUBLE END AS x, coalesce(CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN CAST(c_custkey AS DOUBLE) WHEN 3 THEN c_custkey + 0.5::DOUBLE END, 0) AS x_or_zero FROM customer""")
 def parse_int(spark, d):
-    return literals(spark, "id int, raw string", *enumerate(["12px", " -3.9", "abc", "+7", ""])).select("id", js.parse_int(F.col("raw")).alias("n"))
+    k4, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    raw = F.when(k4 == 0, F.concat(F.col("c_acctbal").cast("string"), F.lit("px"))).when(k4 == 1, F.concat(F.lit("  "), key, F.lit(" items"))).when(k4 == 3, F.concat(F.lit("+"), key, F.lit(".5.7"))).otherwise(F.col("c_name"))
+    x = js.parse_float(raw)
+    return load(spark, d, "customer").select("c_custkey", js.parse_int(raw).alias("n"), x.alias("x"), js.or_default(x, F.lit(0.0)).alias("x_or_zero"))
+
+
+#: C's printing takes the exact binary value too, but exact halves to even: odd eighths are the only ones.
+FIXED_SQL = "CASE WHEN {x} * 8 = floor({x} * 8) AND CAST({x} * 8 AS BIGINT) % 2 <> 0 THEN printf('%.2f', {x} + sign({x}) * 0.001) ELSE printf('%.2f', {x}) END"
 
 
-@query("SELECT p_partkey, floor(p_retailprice * 1.01 * 100 + 0.5) / 100 AS price FROM part")
+@query("SELECT p_partkey, " + FIXED_SQL.format(x="price") + " AS price, " + FIXED_SQL.format(x="eighths") + " AS eighths, " + FIXED_SQL.format(x="cents") + " AS cents FROM (SELECT p_partkey, p_retailprice * 1.01::DOUBLE - 1500 AS price, (p_partkey - 700) / 8.0::DOUBLE AS eighths, p_partkey / 1000.0::DOUBLE AS cents FROM part)")
 def fixed2(spark, d):
-    return load(spark, d, "part").select("p_partkey", js.fixed2(F.col("p_retailprice") * 1.01).alias("price"))
+    return load(spark, d, "part").select("p_partkey", js.fixed2(F.col("p_retailprice") * 1.01 - 1500).alias("price"), js.fixed2((F.col("p_partkey") - 700) / 8.0).alias("eighths"), js.fixed2(F.col("p_partkey") / 1000.0).alias("cents"))
 
 
 @query("SELECT p_partkey, CAST(floor((p_retailprice - 1000) * 2.5 + 0.5) AS BIGINT) AS rounded FROM part")
@@ -99,9 +108,10 @@ def human_bytes(spark, d):
     return load(spark, d, "documents").select("doc_id", js.human_bytes(n).alias("size"))
 
 
-@query("SELECT event_id, CAST(CAST(floor(value) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS time FROM events")
+@query("""SELECT event_id, CAST(CAST(floor(value) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS time,
+    CASE WHEN value < 60 THEN CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) || 's' ELSE CAST(CAST(floor(value / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(value - floor(value / 60) * 60 + 0.5) AS BIGINT) AS VARCHAR) || 's' END AS long_time FROM events""")
 def fmt_mmss(spark, d):
-    return load(spark, d, "events").select("event_id", js.mmss(F.col("value")).alias("time"))
+    return load(spark, d, "events").select("event_id", js.mmss(F.col("value")).alias("time"), js.long_time(F.col("value")).alias("long_time"))
 
 
 @query(f"""SELECT event_id, CASE WHEN total = 0 THEN 0 ELSE CAST(floor(100.0 * sent / total + 0.5) AS BIGINT) END AS pct, CASE WHEN k = 0 THEN 0.0 ELSE sent / k END AS speed,
@@ -131,10 +141,13 @@ def step_eta(spark, d):
     return load(spark, d, "events").select("event_id", low.alias("low"), F.when(high == low, high + 1).otherwise(high).alias("high"))
 
 
-@query(f"SELECT event_id, CASE WHEN k < 20 THEN 'calibration' WHEN k < 40 THEN 'pose' WHEN k < 60 THEN 'position' WHEN k < 80 THEN 'artifacts' ELSE 'visualization' END AS stage FROM (SELECT event_id, {K} AS k FROM events)")
+STAGE_SQL = "(SELECT event_id, k, (SELECT count(*) FROM (VALUES (20), (40), (60), (80)) t(x) WHERE k > x) AS short_stage, (SELECT count(*) FROM (VALUES (12), (25), (50), (65), (75), (85), (92)) t(x) WHERE k > x) AS long_stage FROM (SELECT event_id, " + K + " AS k FROM events))"
+
+
+@query(f"SELECT event_id, CASE WHEN k < 20 THEN 'calibration' WHEN k < 40 THEN 'pose' WHEN k < 60 THEN 'position' WHEN k < 80 THEN 'artifacts' ELSE 'visualization' END AS stage, CAST(short_stage AS INT) AS short_stage, CAST(long_stage AS INT) AS long_stage FROM {STAGE_SQL}")
 def stage_bucket(spark, d):
     stage = F.when(k() < 20, "calibration").when(k() < 40, "pose").when(k() < 60, "position").when(k() < 80, "artifacts").otherwise("visualization")
-    return load(spark, d, "events").select("event_id", stage.alias("stage"))
+    return load(spark, d, "events").select("event_id", stage.alias("stage"), jobs.stage_index(k(), jobs.SHORT_STAGES).alias("short_stage"), jobs.stage_index(k(), jobs.LONG_STAGES).alias("long_stage"))
 
 
 @query(f"SELECT event_id, CAST(1000 * (1 << ({K} % 6)) AS BIGINT) AS thumbnail_ms, CAST(2000 * (1 << ({K} % 6)) AS BIGINT) AS player_ms FROM events")
@@ -163,10 +176,12 @@ def json_build(spark, d):
     return load(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("document"))
 
 
-@query("SELECT * FROM (VALUES (0, NULL), (1, CAST(1.5 AS DOUBLE)), (2, NULL), (3, NULL), (4, CAST(-2 AS DOUBLE))) t(id, a)")
+@query(f"""SELECT event_id, CASE k % 5 WHEN 1 THEN value WHEN 3 THEN 2 WHEN 4 THEN -2 END AS a, CASE k % 5 WHEN 3 THEN 'x: NaN, y: -Infinity' END AS s, k % 5 IN (0, 1, 3, 4) AS parsed
+    FROM (SELECT event_id, round(value, 1) AS value, {K} AS k FROM events)""")
 def json_sanitize(spark, d):
-    rows = literals(spark, "id int, raw string", *enumerate(['{"a": NaN}', '{"a": 1.5, "b": Infinity}', '{"a": -Infinity}', "[NaN]", '{"b":NaN,"a":-2}']))
-    return rows.select("id", js.lenient_number(F.col("raw"), "a").alias("a"))
+    k5, value = k() % 5, F.round("value", 1)
+    raw = F.when(k5 == 0, '{"a": NaN}').when(k5 == 1, F.concat(F.lit('{"a": '), value.cast("string"), F.lit(', "b": -Infinity}'))).when(k5 == 2, "[NaN]").when(k5 == 3, '{"s": "x: NaN, y: -Infinity", "a": 2}').otherwise('{"b":Infinity,"a":-2}')
+    return load(spark, d, "events").select("event_id", js.lenient_number(raw, "a").alias("a"), F.get_json_object(js.json_text(raw), "$.s").alias("s"), objects.parsed(raw, T.StructType().add("a", "double")).isNotNull().alias("parsed"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^(\\w+)://', 1) AS scheme, regexp_extract(url, '^\\w+://([^/?#]+)', 1) AS host, len(parts) AS segments, parts[-1] AS last, TRY_CAST(parts[-1] AS BIGINT) AS id
@@ -201,11 +216,14 @@ def reset_candidates(spark, d):
     return load(spark, d, "pages").where(~F.contains("url", F.lit("/en/"))).select("page_id")
 
 
-@query("""SELECT * FROM (VALUES (0, 206, CAST(0 AS BIGINT), CAST(9 AS BIGINT)), (1, 416, NULL, NULL), (2, 206, CAST(2 AS BIGINT), CAST(5 AS BIGINT)), (3, 416, NULL, NULL), (4, 416, NULL, NULL), (5, 206, CAST(9 AS BIGINT), CAST(9 AS BIGINT))) t(id, status, first_byte, last_byte)""")
+@query(f"""SELECT event_id, CASE WHEN good THEN 206 ELSE 416 END AS status, CASE WHEN good THEN a END AS first_byte, CASE WHEN good THEN b END AS last_byte FROM (
+    SELECT event_id, a, b, kind <> 2 AND a <= b AND b < 60 AS good FROM (SELECT event_id, a, CASE WHEN kind = 1 THEN 59 ELSE k END AS b, kind FROM (
+    SELECT event_id, CAST(floor(value) AS BIGINT) AS a, CAST({K} AS BIGINT) AS k, event_id % 3 AS kind FROM events)))""")
 def range_parse(spark, d):
-    rows = literals(spark, "id int, header string", *enumerate(["bytes=0-", "bytes=x", "bytes=2-5", "bytes=5-2", "bytes=0-10", "bytes=9-9"]))
-    status, begin, end = js.byte_range(F.col("header"), F.lit(10).cast("long"))
-    return rows.select("id", status.alias("status"), begin.alias("first_byte"), end.alias("last_byte"))
+    kind, first = F.col("event_id") % 3, F.floor("value").cast("string")
+    header = F.concat(F.lit("bytes="), F.when(kind == 2, "x").otherwise(first), F.lit("-"), F.when(kind == 1, "").otherwise(k().cast("string")))
+    status, begin, end = js.byte_range(header, F.lit(60).cast("long"))
+    return load(spark, d, "events").select("event_id", status.alias("status"), begin.alias("first_byte"), end.alias("last_byte"))
 
 
 @query("""SELECT p_partkey, CASE WHEN size < 104857600 THEN 1 ELSE parts END AS parts, CASE WHEN size < 104857600 THEN size ELSE size - (parts - 1) * 10485760 END AS last_bytes
@@ -214,3 +232,59 @@ def multipart_plan(spark, d):
     size = F.floor(F.col("p_retailprice") * 262144).cast("long")
     parts = F.when(size < 100 << 20, F.lit(1).cast("long")).otherwise(F.ceil(size / float(10 << 20)).cast("long"))
     return load(spark, d, "part").select("p_partkey", parts.alias("parts"), F.when(size < 100 << 20, size).otherwise(size - (parts - 1) * (10 << 20)).alias("last_bytes"))
+
+
+@query("SELECT o_orderkey, strftime(make_timestamp((o_orderkey * 86399 + 17) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM orders")
+def epoch_iso(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", js.iso_seconds(F.col("o_orderkey") * 86399 + 17).alias("at"))
+
+
+LABEL_SQL = """CASE p_size % 3 WHEN 0 THEN 'job' WHEN 1 THEN 'job Duration Seconds' ELSE 'worker Health' END"""
+
+
+@query(f"SELECT p_partkey, CASE WHEN length(words) < 14 THEN rpad(words, 14, ' ') ELSE words END AS label FROM (SELECT p_partkey, upper(words[1]) || words[2:] AS words FROM (SELECT p_partkey, {LABEL_SQL} AS words FROM part))")
+def field_label(spark, d):
+    name = F.when(F.col("p_size") % 3 == 0, "job").when(F.col("p_size") % 3 == 1, "jobDurationSeconds").otherwise("workerHealth")
+    return load(spark, d, "part").select("p_partkey", js.field_label(name).alias("label"))
+
+
+@query("""SELECT page_id, ext = 'mp4' OR ext = 'mov' AS is_video, ext IN ('jpg', 'png') AND n <= 5242880 AS accepted, page_id % 2 = 0 AS media_key, page_id % 5 IN (0, 1, 2) AS missing
+    FROM (SELECT page_id, list_extract(['mp4', 'mov', 'jpg', 'png', 'txt'], CAST(page_id % 5 AS INT) + 1) AS ext, length(html) * 97 AS n FROM pages)""")
+def media_rules(spark, d):
+    """Uploads by media type and size, keys of articles' pictures, and settings left as in their template."""
+    k5 = F.col("page_id") % 5
+    kind = js.mime(F.element_at(F.array(*map(F.lit, ("mp4", "mov", "jpg", "png", "txt"))), (k5 + 1).cast("int")))
+    key = F.concat(F.lit("dev"), F.when(F.col("page_id") % 2 == 0, "/blog/media/").otherwise("/blog/"), F.col("page_id").cast("string"))
+    setting = F.when(k5 == 1, "your_key").when(k5 == 2, "put_it_here").when(k5 > 2, F.col("url"))
+    size = F.length("html").cast("long") * 97
+    return load(spark, d, "pages").select("page_id", js.is_video(kind).alias("is_video"), js.media_accepted(kind, size).alias("accepted"), js.media_key(key).alias("media_key"), js.setting_missing(setting).alias("missing"))
+
+
+@query("SELECT event_id, CASE WHEN value * 0.2::DOUBLE < value - 1 THEN value * 0.2::DOUBLE ELSE value - 1 END AS second FROM events")
+def capture_time(spark, d):
+    return load(spark, d, "events").select("event_id", js.capture_time(F.col("value")).alias("second"))
+
+
+VIDEO_KEY_SQL = """CASE page_id % 6 WHEN 0 THEN 'dev/' || u || '/v' || page_id || '/video.mp4' WHEN 1 THEN u || '/v' || page_id || '/video.mov' WHEN 2 THEN 'users/' || u || '/videos/' || (1700000000000 + page_id) || '-my-clip.mp4'
+    WHEN 3 THEN 'users/' || u || '/videos/clip.mp4' WHEN 4 THEN 'dev/' || u || '/v' || page_id || '/pose.json' ELSE 'misc/' || page_id || '.bin' END"""
+
+
+@query(f"""SELECT page_id, key, CASE page_id % 6 WHEN 0 THEN 'v' || page_id WHEN 1 THEN 'v' || page_id WHEN 2 THEN CAST(1700000000000 + page_id AS VARCHAR) WHEN 3 THEN 'existing' ELSE 'unknown' END AS video_id,
+    CASE page_id % 6 WHEN 0 THEN 'video.mp4' WHEN 1 THEN 'video.mov' WHEN 2 THEN 'my-clip.mp4' WHEN 3 THEN 'clip.mp4' WHEN 4 THEN 'pose.json' ELSE page_id || '.bin' END AS file_name,
+    page_id % 6 < 2 AND html <> '' AS listed FROM (SELECT page_id, html, {VIDEO_KEY_SQL} AS key FROM (SELECT page_id, html, 'u' || page_id % 7 AS u FROM pages))""")
+def video_listing(spark, d):
+    """Video id and file name of objects in all key layouts, and which of them a user's listing shows, newest first."""
+    user, page = F.concat(F.lit("u"), (F.col("page_id") % 7).cast("string")), F.col("page_id").cast("string")
+    k6 = F.col("page_id") % 6
+    video = F.concat(F.lit("/v"), page)
+    key = (
+        F.when(k6 == 0, F.concat(F.lit("dev/"), user, video, F.lit("/video.mp4")))
+        .when(k6 == 1, F.concat(user, video, F.lit("/video.mov")))
+        .when(k6 == 2, F.concat(F.lit("users/"), user, F.lit("/videos/"), (F.col("page_id") + 1700000000000).cast("string"), F.lit("-my-clip.mp4")))
+        .when(k6 == 3, F.concat(F.lit("users/"), user, F.lit("/videos/clip.mp4")))
+        .when(k6 == 4, F.concat(F.lit("dev/"), user, video, F.lit("/pose.json")))
+        .otherwise(F.concat(F.lit("misc/"), page, F.lit(".bin")))
+    )
+    files = load(spark, d, "pages").select("page_id", F.length("html").alias("size"), user.alias("user"), key.alias("key"))
+    video_id, name = objects.video_of(F.col("key"), F.col("user"))
+    return files.orderBy(F.desc("page_id")).select("page_id", "key", video_id.alias("video_id"), name.alias("file_name"), objects.is_video(F.col("key"), F.col("size"), F.col("user")).alias("listed"))

@@ -18,8 +18,35 @@ def stream_latest(spark, d):
     return tracking.drained(tracking.latest(tracking.updates(spark, f"{d}/events.parquet")), "latest")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type IN ('purchase', 'error') AS ends FROM events),
+    f AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS fired FROM e),
+    spans AS (SELECT user_id, fired, count(*) AS n FROM f GROUP BY user_id, fired),
+    last AS (SELECT user_id, max(fired) AS fired FROM f GROUP BY user_id),
+    late AS (SELECT user_id, count(*) FILTER (ends AND ts + INTERVAL 70 MINUTE < (SELECT max(ts) FROM events)) AS fired FROM e GROUP BY user_id)
+    SELECT s.user_id, max(n) AS held, CAST(count(*) - 1 + any_value(CASE WHEN late.fired > last.fired THEN 1 ELSE 0 END) AS BIGINT) AS wiped
+    FROM spans s JOIN last USING (user_id) JOIN late USING (user_id) GROUP BY s.user_id""")
 def stream_ttl(spark, d):
-    """Per user the most updates held at once and the number of wipes, as the stateful stream reports them."""
+    """Per user the most updates held at once and the number of wipes, as the stateful stream reports them. Every
+    terminal update arms a timer of an hour; the watermark, ten minutes behind the last time, fires the last ones."""
     out = tracking.drained_in_order(spark, f"{d}/events.parquet", tracking.expiring, "ttl")
     return out.groupBy("user_id").agg(F.max("held").alias("held"), F.sum("wiped").alias("wiped"))
+
+
+@query("""SELECT s.event_id AS first_id, p.event_id AS then_id FROM events s JOIN events p ON s.user_id = p.user_id AND s.event_type = 'signup' AND p.event_type = 'purchase'
+    AND s.ts >= p.ts - INTERVAL 24 HOUR AND s.ts <= p.ts + INTERVAL 3 SECOND""")
+def stream_order(spark, d):
+    """Payments with the checkouts shortly before, or just after them: events out of order still meet."""
+    return tracking.drained_in_order(spark, f"{d}/events.parquet", tracking.matched, "order")
+
+
+@query("SELECT 'counts' AS listener, count(DISTINCT user_id) AS rows, false AS failed FROM events UNION ALL SELECT 'ends', count(*), false FROM events WHERE event_type IN ('purchase', 'error') UNION ALL SELECT 'broken', 0, true")
+def stream_fanout(spark, d):
+    """One batch to three listeners, of which one always fails."""
+
+    def broken(batch):
+        raise ValueError("this listener always fails")
+
+    # all files in one batch, so that the distinct users of a batch are those of the log
+    stream = tracking.updates(spark, f"{d}/events.parquet", 1_000_000)
+    told = tracking.fan_out(stream, {"broken": broken, "counts": lambda x: x.select("user_id").distinct(), "ends": lambda x: x.where(F.col("event_type").isin(*tracking.TERMINAL))}, "fanout")
+    return told.groupBy("listener").agg(F.sum("rows").alias("rows"), F.bool_or(F.col("error").isNotNull()).alias("failed"))

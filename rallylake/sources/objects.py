@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rallylake.functions import js
+
 # The artifacts that an analysis leaves, in the order of its steps.
 ARTIFACTS = ("calibration.csv", "pose.json", "positions.json", "corrected_positions.json", "jumps.json", "shuttle.json", "position_analysis.json", "player_names.json", "analyzed_video.mp4")
 
@@ -35,6 +37,27 @@ def file_type(key: Column) -> Column:
     return F.when(F.contains(key, F.lit("/video.")), "video").otherwise("analysis")
 
 
+def is_video(key: Column, size: Column, user: Column, env: str = "dev") -> Column:
+    """What a listing of a user's videos shows: objects with content, named video, in one of two layouts."""
+    own = F.startswith(key, F.concat(F.lit(f"{env}/"), user, F.lit("/"))) | F.startswith(key, F.concat(user, F.lit("/")))
+    return F.coalesce((size > 0) & ~F.endswith(key, F.lit("/")) & own & F.contains(key, F.lit("/video.")), F.lit(False))
+
+
+def video_of(key: Column, user: Column, env: str = "dev", stored_name: Column | None = None) -> tuple[Column, Column]:
+    """Video id and file name by the layout of a key: ``{env}/{user}/{video}/video.{ext}``,
+    ``{user}/{video}/video.{ext}``, ``users/{user}/videos/{millis}-{name}`` (id "existing" without the number),
+    or any other (id "unknown"). A name stored with the object goes before that of the key."""
+    parts, last = F.split(key, "/"), file_name(key)
+    named = F.contains(key, F.lit("/video."))
+    new = F.startswith(key, F.concat(F.lit(f"{env}/"), user, F.lit("/"))) & named
+    legacy = F.startswith(key, F.concat(user, F.lit("/"))) & named
+    old = F.contains(key, F.concat(F.lit("users/"), user, F.lit("/videos/")))
+    number, rest = (F.nullif(F.regexp_extract(last, r"^(\d+)-(.+)$", g), F.lit("")) for g in (1, 2))
+    video = F.when(new, F.get(parts, F.lit(2))).when(legacy, F.get(parts, F.lit(1))).when(old, F.coalesce(number, F.lit("existing"))).otherwise("unknown")
+    name = F.when(old & ~new & ~legacy, F.coalesce(rest, last)).otherwise(last)
+    return video, name if stored_name is None else F.coalesce(F.nullif(stored_name, F.lit("")), name)
+
+
 def locate(key: Column) -> dict[str, Column]:
     """env, user_id, video_id, file_name by place in the key; null where the key is too short."""
     parts = F.split(key, "/")
@@ -62,14 +85,10 @@ def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def sanitized(text: Column) -> Column:
-    """A JSON text with NaN and infinities as object values replaced by null."""
-    return F.regexp_replace(text, r":\s*(-?Infinity|NaN)", ": null")
-
-
 def parsed(text: Column, schema: T.DataType) -> Column:
-    """A lenient parse: null for what is no JSON."""
-    return F.from_json(sanitized(text), schema)
+    """A lenient parse: valid documents as they are, others after a repair; null for what is no JSON."""
+    clean = js.json_text(text)
+    return F.when(F.try_parse_json(clean).isNotNull(), F.from_json(clean, schema))
 
 
 def names_after(stored: Column, update: Column) -> Column:

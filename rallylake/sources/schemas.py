@@ -25,6 +25,15 @@ ENUMS = {
 PLANS = "plan string, price_cents int, hours int, overage_cents_per_hour int"
 
 
+# Fields of the summaries that workers publish.
+SUMMARY = (
+    "reprojection_error_pixels double, camera_height_meters double, focal_length_pixels double, total_points_available long, points_used long, total_processing_time double, "
+    "poses_detected long, frames_processed long, position_frames long, artifacts_corrected long, ml_jumps_detected long, players_analyzed long"
+)
+POSE_SUMMARY = "total_poses_detected long, frames_processed long, model_device string, pose_analysis_summary struct<total_frames_with_poses: long, avg_poses_per_frame: double, player_detections: long>"
+POSITION_SUMMARY = "frames_with_data long, total_ankle_detections long, player_0_detections long, player_1_detections long, tracking_method string, advanced_tracking boolean"
+
+
 def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[table])
 

@@ -8,12 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir`` (a temporary folder only where none is set)."""
+    """A fresh path under ``spark.checkpoint.dir``. Where none is set, a local session uses a temporary
+    folder; on a cluster that is an error, as executors would not see the driver's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="rallylake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="rallylake-")
+        where = _local[app]
     return f"{where.rstrip('/')}/rallylake/{name}-{uuid.uuid4().hex}"
 
 

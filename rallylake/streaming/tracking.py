@@ -6,6 +6,9 @@ the shared folder; the result is what a late subscriber would be replayed.
 
 from __future__ import annotations
 
+import logging
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,7 +46,7 @@ def drained(stream: DataFrame, name: str, mode: str = "complete", target: str =
 
     run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    return spark.read.schema(stream.schema).parquet(target).select(*stream.columns)
 
 
 def counts(stream: DataFrame, key: str = "user_id") -> DataFrame:
@@ -56,34 +59,96 @@ def latest(stream: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: updates held and time of the terminal update (ms, -1: none)."""
-    held, ended = state.get if state.exists else (0, -1)
+    """State: updates held, and when (us) each timer that is still armed fires."""
+    held, timers = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+    most = wiped = 0
+
+    def fire(now: int) -> None:
+        nonlocal held, wiped
+        while timers and timers[0] <= now:
+            timers.pop(0)
+            wiped += held > 0
+            held = 0
+
     if state.hasTimedOut:
+        fire(1000 * state.getCurrentWatermarkMs())
+    else:
+        rows = pd.concat([x[["ts", "event_id", "event_type"]] for x in frames]).sort_values(["ts", "event_id"], na_position="first")
+        for at, kind in zip(rows["ts"].astype("datetime64[us, UTC]" if rows["ts"].dt.tz else "datetime64[us]").astype("int64"), rows["event_type"], strict=True):
+            fire(int(at))
+            held += 1
+            most = max(most, held)
+            if kind in TERMINAL:
+                timers.append(int(at) + 1000 * RETENTION_MS)
+    if held or timers:
+        state.update((held, timers))
+        if timers:
+            state.setTimeoutTimestamp(max(-(-timers[0] // 1000), state.getCurrentWatermarkMs() + 1))
+    else:
         state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "held": [0], "wiped": [1]})
-        return
-    most = wiped = 0
-    rows = pd.concat([x[["ts", "event_id", "event_type"]] for x in frames]).sort_values(["ts", "event_id"], na_position="first")
-    for at, kind in zip(rows["ts"].astype("datetime64[ms, UTC]" if rows["ts"].dt.tz else "datetime64[ms]").astype("int64"), rows["event_type"], strict=True):
-        if 0 <= ended <= at - RETENTION_MS:
-            held, wiped, ended = 0, wiped + 1, -1
-        held += 1
-        most = max(most, held)
-        if kind in TERMINAL and ended < 0:
-            ended = int(at)
-    state.update((held, ended))
-    if ended >= 0 and ended + RETENTION_MS > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(ended + RETENTION_MS)
     yield pd.DataFrame({"user_id": [key[0]], "held": [most], "wiped": [wiped]})
 
 
 def expiring(stream: DataFrame) -> DataFrame:
-    """Per key and batch the most updates held at once and the wipes since the last report; a key's whole
-    state goes an hour (event time) after its first terminal update, newer updates included.
+    """Per key and batch the most updates held at once and the wipes since the last report. Each terminal update
+    arms a timer; an hour (event time) later it wipes all that the key holds, newer updates included.
 
     The stream has to come in the order of ``ts``: rows older than the watermark would be dropped.
     """
-    return stream.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_expire, "user_id long, held long, wiped long", "held long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_expire, "user_id long, held long, wiped long", "held long, timers array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def matched(stream: DataFrame, first: str = "signup", then: str = "purchase", within: str = "24 hours", early: str = "3 seconds", delay: str = "10 minutes") -> DataFrame:
+    """(first_id, then_id): updates ``then`` with the updates ``first`` of their key that came up to ``within``
+    before, or up to ``early`` after them, as payments and checkouts do. A stream join: each side waits for the
+    other as long as the watermark says that it still may come.
+    """
+    side = lambda kind, name: stream.where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts")).withWatermark(f"{name}_ts", delay)
+    near = F.expr(f"first_user = then_user AND first_ts >= then_ts - INTERVAL {within} AND first_ts <= then_ts + INTERVAL {early}")
+    return side(first, "first").join(side(then, "then"), near).select("first_id", "then_id")
+
+
+def fan_out(stream: DataFrame, listeners: dict[str, Callable[[DataFrame], DataFrame]], name: str) -> DataFrame:
+    """(listener, batch, rows, error): each batch is given to every listener, whose result is written to a folder
+    of its own; a listener that fails is noted and keeps none of the others from the batch."""
+    spark, target, log = stream.sparkSession, scratch(stream.sparkSession, name), scratch(stream.sparkSession, f"{name}-log")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        told = []
+        for who, listen in listeners.items():
+            try:
+                out = listen(batch)
+                out.write.mode("overwrite").parquet(f"{target}/{who}/batch={batch_id}")
+                told.append((who, batch_id, out.count(), None))
+            except Exception as e:  # noqa: BLE001  whatever a listener raises is its own
+                told.append((who, batch_id, 0, type(e).__name__))
+        batch.unpersist()
+        spark.createDataFrame(told, "listener string, batch long, rows long, error string").write.mode("overwrite").parquet(f"{target}/told/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("listener string, batch long, rows long, error string").parquet(f"{target}/told")
+
+
+def watched(stream: DataFrame, done: Callable[[DataFrame], bool], name: str, every: str = "3 seconds", timeout_s: float = 1200) -> tuple[DataFrame, bool]:
+    """Look at a stream every so often until ``done`` says so of what came, or the time is over: what came, and
+    whether it was done. A look that fails does not end the watch."""
+    spark, target, ended = stream.sparkSession, scratch(stream.sparkSession, name), threading.Event()
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        try:
+            if done(spark.read.schema(stream.schema).parquet(target).select(*stream.columns)):
+                ended.set()
+        except Exception:  # noqa: BLE001
+            logging.getLogger(__name__).warning("a look at %s failed", name, exc_info=True)
+
+    run = stream.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(processingTime=every).start()
+    until = time.monotonic() + timeout_s
+    while run.isActive and not ended.is_set() and time.monotonic() < until:
+        ended.wait(0.2)
+    run.stop()
+    return spark.read.schema(stream.schema).parquet(target).select(*stream.columns), ended.is_set()
 
 
 def drained_in_order(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFrame], name: str, most: int = 500_000) -> DataFrame:

@@ -38,7 +38,8 @@ def test_status_ladder(spark, present, step, progress):
 def test_log_step_takes_the_last_place_of_the_first_literal(spark):
     logs = ["", "STEP 1: court", "STEP 2: a STEP 3: b", "STEP 3: b then step 3: again STEP 1: back", "Shuttle Tracking ... Jump Detection", "visualization and Visualization"]
     found = one(spark, "log string", [(x,) for x in logs], *jobs.log_step(F.col("log")))
-    assert found == [(None, 0), ("calibration", 15), ("shuttle", 80), ("calibration", 15), ("pose_position_artifacts", 70), ("visualization", 90)]
+    assert [(x[0], x[2]) for x in found] == [(None, 0), ("calibration", 15), ("shuttle", 80), ("calibration", 15), ("pose_position_artifacts", 70), ("visualization", 90)]
+    assert found[2][1] == "Detecting shuttlecock positions..." and found[0][1] is None
 
 
 def test_health_and_retry_rules(spark):
@@ -52,13 +53,72 @@ def test_health_and_retry_rules(spark):
 def test_numbers(spark):
     rows = [(-2.5,), (2.5,), (0.0,), (1.006,)]
     assert one(spark, "x double", rows, js.js_round(F.col("x"))) == [(-2,), (3,), (0,), (1,)]
-    assert one(spark, "x double", rows, js.fixed2(F.col("x")))[3] == (1.01,)
+    fixed = [(1.005, "1.00"), (1.115, "1.11"), (0.125, "0.13"), (-0.125, "-0.13"), (2.675, "2.67"), (1.006, "1.01"), (0.0, "0.00"), (-0.001, "-0.00"), (0.995, "0.99"), (0.996, "1.00"), (123456789.995, "123456790.00"), (1e17, "100000000000000000.00"), (float("nan"), "NaN"), (float("inf"), "Infinity"), (None, None)]
+    assert one(spark, "x double", [(x,) for x, _ in fixed], js.fixed2(F.col("x"))) == [(y,) for _, y in fixed]
+    assert one(spark, "x double", [(0.5,), (1.5,), (2.25,)], js.to_fixed(F.col("x"), 0), js.to_fixed(F.col("x"), 1)) == [("1", "0.5"), ("2", "1.5"), ("2", "2.3")]
     assert one(spark, "x double", [(None,), (0.0,), (float("nan"),), (4.0,)], js.or_default(F.col("x"), F.lit(7.0))) == [(7.0,), (7.0,), (7.0,), (4.0,)]
     assert one(spark, "n long", [(0,), (1536,), (1 << 20,), (5,), (1 << 30,)], js.human_bytes(F.col("n"))) == [("0 Bytes",), ("1.5 KB",), ("1 MB",), ("5 Bytes",), ("1 GB",)]
     assert one(spark, "x double", [(59.9,), (61.0,), (0.0,)], js.mmss(F.col("x"))) == [("0:59",), ("1:01",), ("0:00",)]
     assert one(spark, "x string", [("12px",), (" -3.9",), ("abc",), (None,)], js.parse_int(F.col("x"))) == [(12,), (-3,), (None,), (None,)]
 
 
+def test_fixed_is_the_exact_decimal(spark):
+    """Against Python's decimals of the exact binary value, halves away from zero."""
+    from decimal import ROUND_HALF_UP
+
+    values = [k / 1000 for k in range(-2000, 9000)] + [k / 200 + 1000 for k in range(500)] + [k / 128 * 1e6 for k in range(500)] + [1e-5 * k for k in range(300)]
+    found = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "id int, x double").orderBy("id").select(js.fixed2(F.col("x"))).collect()]
+    assert found == [f"{'-' if x < 0 else ''}{abs(Decimal(x)).quantize(Decimal('0.01'), ROUND_HALF_UP)}" for x in values]
+
+
+def test_labels_and_rules(spark):
+    texts = [("player_3",), ("x PLAYER_12y",), ("guest",)]
+    assert one(spark, "x string", texts, js.player_label(F.col("x")), js.player_label(F.col("x"), short=True)) == [("Player 3", "P3"), ("Player 12", "P12"), ("guest", "GUEST")]
+    assert one(spark, "x string", [("jobId",), ("aVeryLongFieldName",)], js.field_label(F.col("x"))) == [("Job Id        ",), ("A Very Long Field Name",)]
+    assert one(spark, "x double", [(59.4,), (59.6,), (61.0,), (119.7,)], js.long_time(F.col("x"))) == [("59s",), ("60s",), ("1m 1s",), ("1m 60s",)]
+    assert one(spark, "x string", [("12.5px",), (" -.5e1x",), ("abc",), ("Infinity",), ("1.2.3",), (None,)], js.parse_float(F.col("x"))) == [(12.5,), (-5.0,), (None,), (float("inf"),), (1.2,), (None,)]
+    assert one(spark, "x string", [(None,), ("",), ("your_key",), ("put_here",), ("real",)], js.setting_missing(F.col("x"))) == [(True,), (True,), (True,), (True,), (False,)]
+    rows = [("image/png", 5242880), ("image/png", 5242881), ("video/mp4", 1), (None, 1)]
+    assert one(spark, "m string, n long", rows, js.media_accepted(F.col("m"), F.col("n")), js.is_video(F.col("m"))) == [(True, False), (False, False), (False, True), (False, False)]
+    assert one(spark, "x double", [(10.0,), (1.0,)], js.capture_time(F.col("x"))) == [(2.0,), (0.0,)]
+    assert one(spark, "x long", [(0,), (1700000000,)], js.iso_seconds(F.col("x"))) == [("1970-01-01T00:00:00.000Z",), ("2023-11-14T22:13:20.000Z",)]
+    assert one(spark, "x int", [(12,), (13,), (50,), (93,)], jobs.stage_index(F.col("x"), jobs.LONG_STAGES)) == [(0,), (1,), (2,), (7,)]
+    raw = [('{"a": NaN}',), ('{"s": "x: NaN"}',), ("[NaN]",), ('{"a": -Infinity, "b": "y"}',)]
+    assert one(spark, "x string", raw, js.json_text(F.col("x"))) == [('{"a": null}',), ('{"s": "x: NaN"}',), ("[NaN]",), ('{"a": null, "b": "y"}',)]
+    assert [x[0] for x in one(spark, "s string", [("active",), ("trialing",), ("past_due",), (None,)], metering.payment_status(F.col("s")))] == ["active", "incomplete", "past_due", "incomplete"]
+
+
+def test_updates_touch_what_they_change(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, None, 30)], "id int, s string, updated_at int")
+    out = R.touched(rows, F.col("s") == "a", {"s": F.lit("z")}, F.lit(99))
+    assert sorted(map(tuple, out.collect())) == [(1, "z", 99), (2, "b", 20), (3, None, 30)]
+    assert R.inserted(rows, str(tmp_path / "t")).count() == 3 and spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_subscriptions_without_a_checkout(spark):
+    events = spark.createDataFrame([("a", 1, "deleted"), ("a", 2, "updated"), ("a", 3, "usage"), ("b", 1, "usage"), ("b", 2, "checkout"), ("b", 3, "usage"), ("b", 4, "deleted"), ("b", 5, "updated")], "k string, n int, kind string")
+    events = events.select("k", F.struct("n").alias("place"), "kind", F.lit("PRO").alias("plan"), F.lit("trialing").alias("status"), F.lit(7).alias("minutes"), F.col("n").alias("period_start"))
+    assert sorted(map(tuple, metering.subscriptions(events, "k").collect())) == [("a", "FREE", "active", 300, 7, None), ("b", "FREE", "incomplete", 300, 0, 5)]
+
+
+def test_document_holds_every_group(spark, small):
+    import json
+
+    documents = {r["player"]: json.loads(r["document"])["players"] for r in registry.QUERIES["mv_document"](spark, small).collect()}
+    fields = {r["player"]: r for r in registry.QUERIES["mv_document_fields"](spark, small).collect()}
+    assert set(documents) == set(fields)
+    for player, document in documents.items():
+        (own,) = document.values()
+        assert list(document) == [f"player_{player}"]
+        assert set(own["positioning_strategy"]) == {"offensive_defensive", "left_right_bias", "predictive_positioning"} and own["positioning_strategy"]["predictive_positioning"] == {"anticipation_score": None}
+        assert own["rally_dynamics"]["jump_pattern"]["error"] is None and own["rally_dynamics"]["jump_pattern"]["total_jumps"] == fields[player]["total_jumps"]
+        assert own["movement_efficiency"]["return_to_center"]["average_return_time_s"] == fields[player]["average_return_time_s"]
+    one_sample = spark.sql("SELECT 1 AS player, timestamp_ntz'2024-01-01' AS t, 1 AS sample, 1D AS x, 1D AS y, 'click' AS event_type")
+    from rallylake.operators import movement
+
+    assert movement.document(one_sample, F.lit(True)).first()["rally_dynamics"]["jump_pattern"]["error"] == "no time tracked"
+
+
 def test_texts(spark):
     assert one(spark, "x string", [(" Hello, World ",), ("",)], js.slugify(F.col("x"))) == [("-hello-world-",), ("",)]
     assert one(spark, "x string", [("a[1]/b?.mp4",)], js.sanitize_name(F.col("x"))) == [("a(1)-b_.mp4",)]
