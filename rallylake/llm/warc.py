@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import arrow_map, materialize
+from rallylake.llm.common import arrow_map, materialize, release
 
 VERSION, FIRST = "WARC/1.1\r\n", "WARC-Type: "
 END = "\r\n\r\n"
@@ -122,6 +122,7 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, chunk_bytes:
     )
     text = F.concat(head.cast("binary"), F.col("block")).cast("string")
     rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(path)
+    release(chunks)  # the archives hold them now
 
 
 def chunk_table(spark: SparkSession, path: str) -> DataFrame:
