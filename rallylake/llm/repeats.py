@@ -321,6 +321,7 @@ def _groups(found: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
 def _wanted(keyed: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
     """Texts with one place of each distinct context of some groups."""
     need = distinct.join(groups, "h").select("one.did", "one.key", F.struct("h", "d", "c", "n", "one.p").alias("x")).groupBy("did", "key").agg(F.collect_list("x").alias("need"))
+    need = materialize(need, "places")  # its size is known then: texts move only if places of very many are wanted
     return keyed.join(need, ["did", "key"]).select("did", "key", "text", "need", "doc_id")
 
 
