@@ -51,7 +51,7 @@ def to_fixed(x: Column, digits: int = 2) -> Column:
     digits_of = F.concat(shown_whole, F.lit("."), F.lpad((n % scale).cast("string"), digits, "0")) if digits else shown_whole
     far = F.concat(F.when(size < 1e21, size).cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits if digits else ""))
     shown = F.concat(F.when(x < 0, "-").otherwise(""), F.when(size >= 1e21, size.cast("string")).when(~small, far).otherwise(digits_of))
-    return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(shown)
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(shown)
 
 
 def fixed2(x: Column) -> Column:
