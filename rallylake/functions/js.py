@@ -126,14 +126,19 @@ def data_url(x: Column) -> tuple[Column, Column]:
 
 def human_bytes(n: Column, zero: str = "0 Bytes") -> Column:
     """1024-based size with at most two decimals; thresholds rather than logarithms."""
-    units = [("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10), ("Bytes", 1)]
-    text = reduce(lambda rest, u: F.when(n >= u[1], F.concat(_plain(n / float(u[1])), F.lit(f" {u[0]}"))).otherwise(rest), reversed(units), F.lit(zero))
+    units = [("Bytes", 1), ("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30)]
+    pick = lambda values: reduce(lambda rest, x: F.when(n >= x[0], x[1]).otherwise(rest), values, F.lit(values[0][1]))
+    text = F.concat(_plain(n / pick([(size, float(size)) for _, size in units])), pick([(size, f" {name}") for name, size in units]))
     return F.when(n == 0, zero).otherwise(text)
 
 
 def _plain(x: Column) -> Column:
-    """A number of at most two decimals without trailing zeros."""
-    return F.regexp_replace(to_fixed(x, 2), r"\.?0+$", "")
+    """A size in some unit, to two decimals without trailing zeros. Sizes are whole numbers over powers of two,
+    so hundredths are exact (below 64 TB) and halves go up as in ``to_fixed``."""
+    cents = F.floor(x * 100 + 0.5)
+    whole = F.floor(cents / 100)
+    shown = F.concat(whole.cast("string"), F.lit("."), F.lpad((cents - whole * 100).cast("string"), 2, "0"))
+    return F.regexp_replace(shown, r"\.?0+$", "")
 
 
 def mmss(seconds: Column) -> Column:

@@ -78,7 +78,7 @@ def log_text_stage(spark, d):
     return load(spark, d, "documents").select("doc_id", step.alias("step"), progress.alias("progress"))
 
 
-@query(f"""SELECT event_id, CASE WHEN k % 7 = 0 THEN step WHEN b = 0 THEN CASE WHEN k > 0 THEN 95 ELSE step END ELSE greatest(step, least(95, CAST(floor(100.0::DOUBLE * k / b + 0.5) AS INT))) END AS progress
+@query(f"""SELECT event_id, CASE WHEN k % 7 = 0 THEN step WHEN b = 0 THEN CASE WHEN k > 0 THEN greatest(step, 95) ELSE step END ELSE greatest(step, least(95, CAST(floor(100.0::DOUBLE * k / b + 0.5) AS INT))) END AS progress
     FROM (SELECT event_id, {K} AS k, CAST(floor(value) AS INT) AS b, CAST(event_id % 100 AS INT) AS step FROM events)""")
 def frame_progress(spark, d):
     frames = F.concat(F.lit("at "), k().cast("string"), F.lit("/"), F.floor("value").cast("string"), F.lit(" frames, then 1/1 frames"))
