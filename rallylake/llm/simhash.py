@@ -186,9 +186,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col:
 def distinct_rows(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, a null id last; rows
     of one id in a component differ by their text, and the one of the least digest stays."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    fps = materialize(fingerprints(rows, shingle, "_row", text_col).withColumnRenamed("doc_id", "_row"), "fingerprints")
-    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.sha1(F.to_json(F.struct(*[F.col(c) for c in docs.columns]))).alias("sha"), F.col("_row").alias("row"))
-    placed = fps.join(chained(fps, hot), "fp").select("_row", "component").join(rows.select("_row", order.alias("place")), "_row")
-    chosen = materialize(placed.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("_row")), "chosen")
-    return rows.join(chosen, "_row", "left_semi").select(docs.columns)
+    # the caller's columns travel as one, so that none of their names can clash
+    rows = materialize(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    texts = rows.select(F.col("row").alias("doc_id"), F.col("doc").getField(text_col).alias("text"))
+    fps = materialize(fingerprints(texts, shingle).withColumnRenamed("doc_id", "row"), "fingerprints")
+    named = F.col("doc").getField(id_col)
+    order = F.struct(named.isNull().alias("unnamed"), named.alias("id"), F.sha1(F.to_json("doc")).alias("sha"), F.col("row").alias("row"))
+    placed = fps.join(chained(fps, hot), "fp").select("row", "component").join(rows.select("row", order.alias("place")), "row")
+    chosen = materialize(placed.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row")), "chosen")
+    return rows.join(chosen, "row", "left_semi").select("doc.*")

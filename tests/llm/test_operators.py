@@ -616,8 +616,12 @@ def test_distinct_rows_keep_each_text_of_an_id(spark):
     # y stands under two ids, of which one has x too; z only without an id; a null id with x goes
     rows = [(7, x), (7, y), (7, y), (9, y), (None, x), (None, z), (None, z)]
     df = documents(spark, [t for _, t in rows], [k for k, _ in rows])
+    clashes = ["row", "_row", "doc", "fp", "component", "place", "node"]
+    for c in clashes:
+        df = df.withColumn(c, F.lit(c))
     for parts in (1, 4):
         out = simhash.distinct_rows(df.repartition(parts)).collect()
+        assert all(r[c] == c for r in out for c in clashes) and list(out[0].asDict()) == df.columns
         assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(str, [(7, x), (7, y), (None, z)]))
 
 
