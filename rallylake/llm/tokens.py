@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Chunks that a Python worker keeps at most, beside those of the batch at hand.
-CACHE = 250_000
+CACHE = 400_000
 #: Chunks whose ids are gathered at once.
 BLOCK = 1 << 18
 #: A character with ids of its own that separates the chunks encoded in one call.
