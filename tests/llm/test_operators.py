@@ -516,16 +516,27 @@ def test_topk_bounds_hold():
 # ---- 6
 
 
-def brute_fingerprint(text):
+def splitmix64(z):
+    z %= 2**64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+    return z ^ z >> 31
+
+
+def brute_fingerprint(text, family=0):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if not w:
         return 0
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)]
     h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    if family:
+        h = [splitmix64(x + family * 0x9E3779B97F4A7C15) for x in h]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def brute_components(ids, fps):
+    """``fps``: a fingerprint of each text, or one of each family."""
+    fps = [f if isinstance(f, tuple) else (f,) for f in fps]
     parent = {i: i for i in range(len(ids))}
 
     def root(i):
@@ -536,7 +547,7 @@ def brute_components(ids, fps):
 
     for i in range(len(ids)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+            if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[i], fps[j], strict=True)):
                 parent[root(i)] = root(j)
     least = {}
     for i, x in enumerate(ids):
@@ -625,6 +636,39 @@ def test_distinct_rows_keep_each_text_of_an_id(spark):
         assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(str, [(7, x), (7, y), (None, z)]))
 
 
+def near_copies(rng, groups=15):
+    """Texts in groups of near copies, few of which one fingerprint alone links."""
+    words, texts = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)], []
+    for _ in range(groups):
+        base = rng.choices(words, k=rng.randint(60, 300))
+        for _ in range(rng.randint(1, 7)):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), len(base) // rng.randint(60, 120)):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_distinct_rows_link_by_any_family(spark, hot):
+    texts = near_copies(random.Random(8)) + [None, "", "one two", "One  two"]
+    docs = documents(spark, texts)
+    for families in (1, 2, 6):
+        want = brute_components(list(range(len(texts))), [tuple(brute_fingerprint(t, k) for k in range(families)) for t in texts])
+        got = sorted(r["doc_id"] for r in simhash.distinct_rows(docs, hot=hot, families=families).collect())
+        assert got == sorted(set(want))
+    assert simhash.distinct_rows(documents(spark, [])).count() == 0
+
+
+def test_families_reach_more_near_copies():
+    texts = near_copies(random.Random(9), 150)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(a, b) for a in range(len(texts)) for b in range(max(0, a - 7), a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    fps = [simhash.fingerprint(t.encode(), families=6) for t in texts]
+    reached = lambda n: sum(any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a][:n], fps[b][:n], strict=True)) for a, b in near) / len(near)
+    assert len(near) > 100 and reached(6) > 2 * reached(1)
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 360)] + [(400, k) for k in range(401, 470)]
