@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def distinct_rows(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text", families: int = 6) -> DataFrame:
+def distinct_rows(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text", families: int = 4) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, a null id last; rows
     of one id in a component differ by their text, and the one of the least digest stays. Texts link
     where a fingerprint of any of the ``families`` differs in at most 3 bits."""
@@ -233,4 +233,5 @@ def distinct_rows(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: st
     order = F.struct(named.isNull().alias("unnamed"), named.alias("id"), F.sha1(F.to_json("doc")).alias("sha"), F.col("row").alias("row"))
     placed = fps.join(chained(fps, hot), "fp").select("row", "component").join(rows.select("row", order.alias("place")), "row")
     chosen = materialize(placed.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row")), "chosen")
-    return rows.join(chosen, "row", "left_semi").select("doc.*")
+    # a shuffle at every size; a small table of rows would be broadcast, a large one not
+    return rows.join(chosen.hint("merge"), "row", "left_semi").select("doc.*")

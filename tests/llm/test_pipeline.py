@@ -27,7 +27,7 @@ def test_stages(spark, small):
             assert all(out[k] == rows[k] for k in out)
         elif name == "SimHash near-dedup":
             ids = list(rows)
-            assert set(out) == set(brute_components(ids, [tuple(brute_fingerprint(rows[k]["text"], f) for f in range(6)) for k in ids]))
+            assert set(out) == set(brute_components(ids, [tuple(brute_fingerprint(rows[k]["text"], f) for f in range(4)) for k in ids]))
         elif name == "benchmark decontamination":
             assert set(out) == {k for k, r in rows.items() if not brute_decontaminate(r["text"], items)[3]}
         else:
