@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylake.llm import decontaminate, licenses, packing, quality, repeats, rollup, secrets, simhash, topk, warc
+from rallylake.llm import decontaminate, kmeans, licenses, packing, pieces, quality, repeats, rollup, secrets, simhash, topk, warc
 from rallylake.llm.common import materialize, scratch_path, table
 
 
@@ -73,8 +73,40 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_hit", F.size("item_names").cast("long").alias("n_items"), F.sha2(F.array_join("item_names", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_repeats, op4_license_scan, op5_topk, op6_simhash, op7_token_rollup, op8_quality, op9_packing, op10_decontaminate)}
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector, with the sums of distances and the centroid's digest."""
+    return kmeans.with_inertia(*kmeans.kmeans(table(spark, sf_dir, "embeddings")))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the piece vocabulary, and their text again, as digests."""
+    found = pieces.encode_decode(table(spark, sf_dir, "documents"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_repeats, op4_license_scan, op5_topk, op6_simhash, op7_token_rollup, op8_quality, op9_packing, op10_decontaminate, op11_kmeans, op12_sentencepiece)}
+
+
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round as two steps: vectors to centroids, then the floors of the means."""
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS c, e FROM v QUALIFY c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT r, any_value(v.e) AS e, min({{'d': CAST(list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e) AS BIGINT), 'c': c.c}}) AS best
+        FROM v CROSS JOIN c{n} c GROUP BY r)""")
+        steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{n} c LEFT JOIN (SELECT c, list(CAST(f AS DOUBLE) ORDER BY k) AS e
+        FROM (SELECT c, k, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS f FROM (SELECT best.c AS c, CAST(unnest(e) AS BIGINT) AS x, generate_subscripts(e, 1) AS k FROM a{n}) GROUP BY c, k)
+        GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(list_transform(c{rounds}.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+    FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
 ORACLES = {
+    "op11_kmeans": _kmeans_sql(),
     "op5_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
         WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
