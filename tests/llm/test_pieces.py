@@ -90,3 +90,10 @@ def test_a_difference_is_an_error():
         own.compare(pa.array([7]), texts, [rows[0][:-1]], ["a text"])
     with pytest.raises(ValueError, match="row 7"):
         own.compare(pa.array([7]), texts, rows, ["another"])
+
+
+def test_a_wrong_chunk_is_an_error(monkeypatch):
+    own, merged = pieces.PieceEncoder(MODEL), pieces.PieceEncoder._merged
+    monkeypatch.setattr(own, "_merged", lambda chunks: (merged(own, chunks)[0], merged(own, chunks)[1] + np.uint32(1)))
+    with pytest.raises(ValueError, match="chunk"):
+        own.encode(pa.array(["some words"]))
