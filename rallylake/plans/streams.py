@@ -5,7 +5,100 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rallylake.plans.base import query
-from rallylake.streaming import tracking
+from rallylake.sources import inbox
+from rallylake.sources.scratch import scratch
+from rallylake.sources.tables import load
+from rallylake.streaming import state, tracking
+
+#: Rows of a delivery; what one key can bring into a batch is bounded by it.
+MOST = 500_000
+
+
+def delivered(spark, d, body, name, where=None):
+    """The update log as an inbox whose deliveries follow each other in time."""
+    path, events = scratch(spark, f"{name}-inbox"), load(spark, d, "events")
+    events = events if where is None else events.where(where)
+    events = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    # two deliveries at least, so that state passes from one batch to the next
+    inbox.deliver(events.withColumn("body", body), path, ["at", "event_id"], 2 * max(1, -(-events.count() // MOST)))
+    return inbox.messages(spark, path, most=1, progress=f"{path}-progress")
+
+
+def status_of(kind):
+    return F.when(kind == "signup", "queued").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("running")
+
+
+STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END"
+
+
+def update_body():
+    """An update as a worker sends it."""
+    return F.to_json(F.struct(F.col("user_id").cast("string").alias("jobId"), status_of(F.col("event_type")).alias("status"), F.col("event_id").cast("string").alias("step"), "at"))
+
+
+def told(stream):
+    """(job_id, at, id, status) of the valid messages."""
+    return inbox.judged(stream).where("reason IS NULL").select("job_id", "at", F.col("step").cast("long").alias("id"), "status")
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'unreadable' WHEN event_id % 11 = 0 THEN 'missing job' WHEN event_id % 17 = 0 THEN 'missing status' WHEN event_id % 13 = 0 THEN 'unknown status' END AS reason,
+        CASE WHEN event_id % 19 <> 0 AND event_id % 11 <> 0 THEN CAST(user_id AS VARCHAR) END AS job_id, CASE WHEN event_id % 19 = 0 OR event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'paused' ELSE {STATUS_SQL} END AS status FROM events)
+    SELECT reason, job_id, status, count(*) AS updates FROM e GROUP BY ALL""")
+def webhook_intake(spark, d):
+    """Messages of workers, some of them broken or incomplete: valid updates in one output, the others with the reason in another."""
+    n, text = F.col("event_id"), update_body()
+    status = F.when(n % 17 == 0, F.lit(None)).when(n % 13 == 0, "paused").otherwise(status_of(F.col("event_type")))
+    job = F.when(n % 11 != 0, F.col("user_id").cast("string"))
+    body = F.when(n % 19 == 0, F.substring(text, 1, 12)).otherwise(F.to_json(F.struct(job.alias("jobId"), status.alias("status"), "at")))
+    target = scratch(spark, "intake")
+    state.run_apart(inbox.judged(delivered(spark, d, body, "intake")), {"valid": F.col("reason").isNull(), "rejected": F.col("reason").isNotNull()}, target, f"{target}-log")
+    both = spark.read.parquet(f"{target}/valid").unionByName(spark.read.parquet(f"{target}/rejected"))
+    return both.groupBy("reason", "job_id", "status").agg(F.count("*").alias("updates"))
+
+
+# subscribers come in the middle of the log, two for every fifth job
+SUBSCRIBED_SQL = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS job_id, user_id || '-' || k AS subscriber, TIMESTAMP '2024-01-10' + CAST(user_id % 7 AS INTEGER) * INTERVAL 1 DAY + k * INTERVAL 1 DAY AS since FROM events, (VALUES (0), (1)) AS s(k) WHERE user_id % 5 = 0"
+
+
+@query(f"""WITH s AS ({SUBSCRIBED_SQL}), u AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts, event_id, {STATUS_SQL} AS status FROM events),
+    live AS (SELECT s.subscriber, u.*, count(*) FILTER (status IN ('completed', 'failed')) OVER (PARTITION BY subscriber ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM s JOIN u ON s.job_id = u.job_id AND ts > since),
+    frames AS (SELECT subscriber, 0 AS part, NULL AS ts, NULL AS event_id, 'connected' AS frame FROM s
+        UNION ALL SELECT subscriber, 1, NULL, NULL, arg_max(event_id || ' ' || status, (ts, event_id)) FROM s JOIN u ON s.job_id = u.job_id AND ts <= since GROUP BY subscriber
+        UNION ALL SELECT subscriber, 2, ts, event_id, event_id || ' ' || status FROM live WHERE ended = 0
+        UNION ALL SELECT subscriber, 3, NULL, NULL, 'end' FROM live WHERE ended = 0 AND status IN ('completed', 'failed'))
+    SELECT subscriber, CAST(row_number() OVER (PARTITION BY subscriber ORDER BY part, ts, event_id) - 1 AS BIGINT) AS place, frame FROM frames""")
+def event_feeds(spark, d):
+    """What each subscriber is sent: connected, the latest update so far, live ones, and the end after a terminal one."""
+    events = load(spark, d, "events").where("user_id % 5 = 0")
+    who = events.select("user_id").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    since = F.expr("TIMESTAMP_NTZ'2024-01-10' + make_dt_interval(CAST(user_id % 7 + k AS INT))").cast("timestamp")
+    job = F.col("user_id").cast("string")
+    update = events.select(F.struct(job.alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), status_of(F.col("event_type")).alias("status")).alias("m"))
+    asked = who.select(F.struct(job.alias("job_id"), F.unix_micros(since).alias("at"), F.concat_ws("-", "user_id", "k").alias("subscriber")).alias("m"))
+    bodies = update.select("m.at", F.to_json("m").alias("body")).union(asked.select("m.at", F.to_json("m").alias("body")))
+    path, target = scratch(spark, "feeds-inbox"), scratch(spark, "feeds")
+    inbox.deliver(bodies, path, ["at", "body"], 2 * max(1, -(-bodies.count() // MOST)))
+    rows = inbox.messages(spark, path, most=1, progress=f"{path}-progress").select(F.from_json("body", "job_id string, at long, id long, status string, subscriber string").alias("m")).select("m.*")
+    spark.dataSource.register(inbox.Feeds)
+    state.run(state.feeds(rows), target, f"{target}-log", sink="feeds")
+    return spark.read.schema(inbox.FRAME).json(f"{target}/batch=*")
+
+
+METERED_SQL = "SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, CAST(floor(value) AS BIGINT) AS m, CAST(100 * (user_id % 4) AS BIGINT) AS included FROM events WHERE event_type <> 'view'"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM ({METERED_SQL})),
+    f AS (SELECT key, n, event_id, m, included, m - included <= 400 AS accepted, CASE WHEN m - included <= 400 THEN m ELSE 0 END AS used FROM r WHERE n = 1
+        UNION ALL SELECT r.key, r.n, r.event_id, r.m, r.included, f.used + r.m - r.included <= 400, CASE WHEN f.used + r.m - r.included <= 400 THEN f.used + r.m ELSE f.used END FROM f JOIN r ON f.key = r.key AND r.n = f.n + 1)
+    SELECT key, event_id AS id, m AS minutes, accepted, CAST(used AS BIGINT) AS used, CAST(greatest(0, included - used) AS BIGINT) AS remaining, CAST(greatest(0, used - included) AS BIGINT) AS overage FROM f""")
+def quota_stream(spark, d):
+    """The metering transaction over a running stream: used minutes pass from batch to batch, rejected records have an output of their own
+    (400 minutes of overage stand for 6000, so that the test tables reach it)."""
+    body = F.to_json(F.struct(F.col("user_id").cast("string").alias("key"), "at", F.col("event_id").alias("id"), F.floor("value").alias("minutes"), (100 * (F.col("user_id") % 4)).alias("included")))
+    rows = delivered(spark, d, body, "quota", "event_type <> 'view'").select(F.from_json("body", "key string, at long, id long, minutes long, included long").alias("m")).select("m.*")
+    target = scratch(spark, "quota")
+    state.run_apart(state.metered(rows, 400), {"accepted": F.col("accepted"), "rejected": ~F.col("accepted")}, target, f"{target}-log")
+    return spark.read.parquet(f"{target}/accepted").unionByName(spark.read.parquet(f"{target}/rejected")).drop("batch")
 
 
 @query("SELECT user_id, count(*) AS updates FROM events GROUP BY user_id")
@@ -26,17 +119,24 @@ def stream_latest(spark, d):
     SELECT s.user_id, max(n) AS held, CAST(count(*) - 1 + any_value(CASE WHEN late.fired > last.fired THEN 1 ELSE 0 END) AS BIGINT) AS wiped
     FROM spans s JOIN last USING (user_id) JOIN late USING (user_id) GROUP BY s.user_id""")
 def stream_ttl(spark, d):
-    """Per user the most updates held at once and the number of wipes, as the stateful stream reports them. Every
-    terminal update arms a timer of an hour; the watermark, ten minutes behind the last time, fires the last ones."""
-    out = tracking.drained_in_order(spark, f"{d}/events.parquet", tracking.expiring, "ttl")
-    return out.groupBy("user_id").agg(F.max("held").alias("held"), F.sum("wiped").alias("wiped"))
+    """Per user the most updates held at once and the number of wipes. Every terminal update arms a timer of an hour; the
+    watermark, ten minutes behind the last time, fires the last ones. What is still held is read from the state store."""
+    target = scratch(spark, "ttl")
+    state.run(state.expiring(told(delivered(spark, d, update_body(), "ttl"))), target, f"{target}-log")
+    wiped = spark.read.schema(state.JobLog.OUT).parquet(target).select("job_id", F.col("wiped").alias("n"), F.lit(1).cast("long").alias("wiped"))
+    left = state.held(spark, f"{target}-log").groupBy("job_id").agg(F.count("*").alias("n")).withColumn("wiped", F.lit(0).cast("long"))
+    return wiped.union(left).groupBy(F.col("job_id").cast("long").alias("user_id")).agg(F.max("n").alias("held"), F.sum("wiped").alias("wiped"))
 
 
 @query("""SELECT s.event_id AS first_id, p.event_id AS then_id FROM events s JOIN events p ON s.user_id = p.user_id AND s.event_type = 'signup' AND p.event_type = 'purchase'
     AND s.ts >= p.ts - INTERVAL 24 HOUR AND s.ts <= p.ts + INTERVAL 3 SECOND""")
 def stream_order(spark, d):
     """Payments with the checkouts shortly before, or just after them: events out of order still meet."""
-    return tracking.drained_in_order(spark, f"{d}/events.parquet", tracking.matched, "order")
+    body = F.to_json(F.struct("user_id", "at", "event_id", "event_type"))
+    rows = delivered(spark, d, body, "order").select(F.from_json("body", "user_id long, at long, event_id long, event_type string").alias("m")).select("m.*")
+    target = scratch(spark, "order")
+    state.run(tracking.matched(rows.withColumn("ts", F.timestamp_micros("at"))), target, f"{target}-log")
+    return spark.read.schema("first_id long, then_id long").parquet(target)
 
 
 @query("SELECT 'counts' AS listener, count(DISTINCT user_id) AS rows, false AS failed FROM events UNION ALL SELECT 'ends', count(*), false FROM events WHERE event_type IN ('purchase', 'error') UNION ALL SELECT 'broken', 0, true")
