@@ -128,6 +128,8 @@ class Notice:
         """(label, part before, where it ends, part behind, where it begins) of every exact seed that has enough
         of the small pieces near their places; ``seen`` keeps the names of a text for the next notice."""
         for seed, previous, left, right in self.seeds:
+            if seed and seed not in flat:
+                continue
             pieces = [*left.pieces, *right.pieces]
             need = len(pieces) - self.edits
             if need > 0 and sum(x in flat for _, x in pieces) < need:
