@@ -18,6 +18,8 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -374,6 +376,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class Overlap:
+    """Whether a span overlaps any of a list sorted by start, in the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b)
+        return before > 0 and self.ends[before - 1] > a
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -412,6 +425,7 @@ def scan(texts: list[bytes], model: Model) -> list[Scan]:
         if hit:
             names = {runs[int(n)].as_py().encode(): int(n) for n in np.unique(own[told[own]])}
             done, place = 0, 0
+            known = Overlap([(x, y) for x, _, y in base])
             for m in CANDIDATE.finditer(raw):
                 n = names.get(m[0])
                 if n is None:
@@ -419,7 +433,7 @@ def scan(texts: list[bytes], model: Model) -> list[Scan]:
                 place += len(raw[done : m.start()].decode())
                 done = m.start()
                 a, b = place, place + len(m[0])
-                within = any(x < b and a < y for x, _, y in base)
+                within = known(a, b)
                 matches.append((a, b, model.names[form[n]], float(score[n]), within))
                 if not within:
                     more.append((a, 3, b))
@@ -452,7 +466,8 @@ def secret_scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_
             rows = []
             for x in scan(utf8(batch.column(1)), ready):
                 kinds = [k for _, k, _ in x.base]
-                confirmed = sum(any(a < m[1] and m[0] < b for m in x.matches) for a, _, b in x.base)
+                scored = Overlap([m[:2] for m in x.matches])
+                confirmed = sum(scored(a, b) for a, _, b in x.base)
                 found = [dict(zip(("start", "end", "format", "score", "within_base"), m, strict=True)) for m in x.matches]
                 rows.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(joined(x.base).encode()).hexdigest(), joined(x.spans), len(x.spans) - len(x.base), x.best, x.candidates, confirmed, found))
             cols = zip(*rows, strict=True) if rows else [[]] * len(types)
