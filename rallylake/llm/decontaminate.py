@@ -2,7 +2,7 @@
 
 Patterns are windows of consecutive item words. Per class of pattern lengths: the shift table tells
 for a block of two words how far the scan may jump, the blocks that end a pattern select a bucket of
-patterns by their suffix, and only these are compared word by word.
+patterns by a hash of all words up to it, and only these are compared.
 """
 
 from __future__ import annotations
@@ -23,22 +23,34 @@ def words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Search of word patterns of at least ``m`` words, ``m`` being the shortest pattern's length."""
+    """Search of word patterns of at least ``m`` words, ``m`` being the shortest pattern's length.
 
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
-        self.m = min(map(len, patterns))
-        self.block = min(2, self.m)
-        self.default = self.m - self.block + 1
+    A block is two words; where it may end a pattern's first m words, these are hashed as a whole and select the
+    bucket whose patterns are compared.
+    """
+
+    def __init__(self, runs: list[tuple[list[bytes], int]], m: int):
+        """``runs``: the words of an item and the length of its patterns, which are all its windows of that length."""
+        self.m, self.block = m, min(2, m)
+        self.default = m - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], int]]] = defaultdict(list)
-        for k, p in enumerate(patterns):
-            for end in range(self.block, self.m + 1):
-                block = p[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.default), self.m - end)
-            self.bucket[p[self.m - self.block : self.m]].append((p, k))
-
-    def find(self, text: list[bytes]) -> list[tuple[int, int]]:
-        """(first word, pattern number) of every occurrence."""
+        self.bucket: dict[tuple[bytes, ...], list[tuple[bytes, ...]]] = {}
+        shift, default = self.shift, self.default
+        for w, n in runs:
+            last = len(w) - n + m
+            # of the windows that hold a block, the one that it ends allows the least jump
+            for end in range(self.block, last + 1):
+                block, jump = tuple(w[end - self.block : end]), max(0, m - end)
+                if jump < shift.get(block, default):
+                    shift[block] = jump
+            for k in range(len(w) - n + 1):
+                p = tuple(w[k : k + n])
+                own = self.bucket.setdefault(p[:m], [])
+                if p not in own:
+                    own.append(p)
+
+    def find(self, text: list[bytes]) -> list[tuple[int, tuple[bytes, ...]]]:
+        """(first word, pattern) of every occurrence."""
         found, at, n = [], self.m - 1, len(text)
         shift, default, two = self.shift.get, self.default, self.block == 2
         while at < n:
@@ -48,9 +60,9 @@ class WuManber:
                 at += jump
                 continue
             begin = at - self.m + 1
-            for p, k in self.bucket[block]:
-                if tuple(text[begin : begin + len(p)]) == p:
-                    found.append((begin, k))
+            for p in self.bucket.get(tuple(text[begin : at + 1]), ()):
+                if len(p) == self.m or tuple(text[begin : begin + len(p)]) == p:
+                    found.append((begin, p))
             at += 1
         return found
 
@@ -60,17 +72,30 @@ def length_class(n: int) -> int:
     return 0 if n == 1 else 1 if n < 4 else 2 if n < 8 else 3 if n < WINDOW else 4
 
 
-def tables(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[list[tuple[WuManber, list[int], list[set[str]]]], int]:
-    """For (item name, text): per length class the searcher, the patterns' lengths and their items' names."""
-    owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for name, text in items:
+def tables(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[list[WuManber], dict[tuple[bytes, ...], list[str]]]:
+    """For (item name, text): a searcher per length class, and the names of each pattern's items."""
+    owners: dict[tuple[bytes, ...], list[str]] = {}
+    classes: dict[int, list[tuple[list[bytes], int]]] = defaultdict(list)
+    for name, text in sorted(set(items)):
         w = words(text)
-        for k in range(max(1, len(w) - window + 1) if w else 0):
-            owners[tuple(w[k : k + window])].add(name)
-    classes: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-    for p in owners:
-        classes[length_class(len(p))].append(p)
-    return [(WuManber(ps), list(map(len, ps)), [owners[p] for p in ps]) for ps in classes.values()], len(owners)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            own = owners.setdefault(tuple(w[k : k + n]), [])
+            if not own or own[-1] != name:
+                own.append(name)
+        if w:
+            classes[length_class(n)].append((w, n))
+    return [WuManber(runs, min(n for _, n in runs)) for runs in classes.values()], owners
+
+
+_built: list = []
+
+
+def _tables_once(items: list, window: int):
+    """The tables of a broadcast value, built once in a worker that is used again."""
+    if not (_built and _built[0] is items and _built[1] == window):
+        _built[:] = [items, window, tables(items, window)]
+    return _built[2]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -135,7 +160,7 @@ def contaminated() -> Column:
 
 def _search(shared, window: int):
     def make():
-        searchers, _ = tables(shared.value, window)
+        searchers, owners = _tables_once(shared.value, window)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -143,10 +168,10 @@ def _search(shared, window: int):
             for text in utf8(cols["text"]):
                 w = words(text)
                 spans, items = [], set()
-                for searcher, lengths, owners in searchers:
-                    for at, k in searcher.find(w):
-                        spans.append((at, at + lengths[k]))
-                        items |= owners[k]
+                for searcher in searchers:
+                    for at, p in searcher.find(w):
+                        spans.append((at, at + len(p)))
+                        items.update(owners[p])
                 ns.append(len(w))
                 hits.append([a << 31 | b for a, b in merged(spans)])
                 names.append(sorted(items))
