@@ -18,26 +18,32 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Statuses after which a job sends nothing that matters.
 TERMINAL = ("completed", "failed")
 RETENTION_MS = 3_600_000
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def rocks(spark: SparkSession):
-    """The state store that typed state needs, for streams started within; the session's own comes back after."""
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
+def rocks(spark: SparkSession, idle: bool = True):
+    """The state store that typed state needs, for streams started within; the session's own comes back after.
+    Without ``idle``, batches run for new rows only: timers of processing time would ask for one after another."""
+    asked = {STORE: ROCKS, NO_DATA: str(idle).lower()}
+    before = {k: spark.conf.get(k) for k in asked}
     try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def run(stream: DataFrame, target: str, log: str, mode: str = "append", sink: str = "parquet") -> None:
+def run(stream: DataFrame, target: str, log: str, mode: str = "append", sink: str = "parquet", idle: bool = True) -> None:
     """Run a stream until all that is there has passed, in as many batches as its source gives, and stop it.
 
-    A later run with the same ``target`` and ``log`` goes on where this one ended.
+    A later run with the same ``target`` and ``log`` goes on where this one ended. Streams with timers of processing
+    time need ``idle=False``: what is due fires in the next batch that has rows.
     """
-    with rocks(stream.sparkSession):
+    with rocks(stream.sparkSession, idle):
         writer = stream.writeStream.format(sink).option("path", target).option("checkpointLocation", log)
         query = writer.outputMode(mode).trigger(processingTime="0 seconds").start()
         try:

@@ -1,4 +1,4 @@
-"""Keyed job tracking as streams: counts, latest update, and state that expires after a terminal one.
+"""Keyed job tracking as streams: counts, latest update, joins of updates, fan-out and watching.
 
 A stream runs with ``availableNow`` and an exactly-once file sink or a complete-mode overwrite under
 the shared folder; the result is what a late subscriber would be replayed.
@@ -9,17 +9,14 @@ from __future__ import annotations
 import logging
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rallylake.sources.scratch import scratch
 
 TERMINAL = ("purchase", "error")
-RETENTION_MS = 3_600_000
 
 
 def updates(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -58,46 +55,6 @@ def latest(stream: DataFrame, key: str = "user_id") -> DataFrame:
     return stream.groupBy(key).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
 
 
-def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: updates held, and when (us) each timer that is still armed fires."""
-    held, timers = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-    most = wiped = 0
-
-    def fire(now: int) -> None:
-        nonlocal held, wiped
-        while timers and timers[0] <= now:
-            timers.pop(0)
-            wiped += held > 0
-            held = 0
-
-    if state.hasTimedOut:
-        fire(1000 * state.getCurrentWatermarkMs())
-    else:
-        rows = pd.concat([x[["ts", "event_id", "event_type"]] for x in frames]).sort_values(["ts", "event_id"], na_position="first")
-        for at, kind in zip(rows["ts"].astype("datetime64[us, UTC]" if rows["ts"].dt.tz else "datetime64[us]").astype("int64"), rows["event_type"], strict=True):
-            fire(int(at))
-            held += 1
-            most = max(most, held)
-            if kind in TERMINAL:
-                timers.append(int(at) + 1000 * RETENTION_MS)
-    if held or timers:
-        state.update((held, timers))
-        if timers:
-            state.setTimeoutTimestamp(max(-(-timers[0] // 1000), state.getCurrentWatermarkMs() + 1))
-    else:
-        state.remove()
-    yield pd.DataFrame({"user_id": [key[0]], "held": [most], "wiped": [wiped]})
-
-
-def expiring(stream: DataFrame) -> DataFrame:
-    """Per key and batch the most updates held at once and the wipes since the last report. Each terminal update
-    arms a timer; an hour (event time) later it wipes all that the key holds, newer updates included.
-
-    The stream has to come in the order of ``ts``: rows older than the watermark would be dropped.
-    """
-    return stream.select("user_id", "ts", "event_id", "event_type").withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_expire, "user_id long, held long, wiped long", "held long, timers array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def matched(stream: DataFrame, first: str = "signup", then: str = "purchase", within: str = "24 hours", early: str = "3 seconds", delay: str = "10 minutes") -> DataFrame:
     """(first_id, then_id): updates ``then`` with the updates ``first`` of their key that came up to ``within``
     before, or up to ``early`` after them, as payments and checkouts do. A stream join: each side waits for the
@@ -119,8 +76,9 @@ def fan_out(stream: DataFrame, listeners: dict[str, Callable[[DataFrame], DataFr
         for who, listen in listeners.items():
             try:
                 out = listen(batch)
-                out.write.mode("overwrite").parquet(f"{target}/{who}/batch={batch_id}")
-                told.append((who, batch_id, out.count(), None))
+                path = f"{target}/{who}/batch={batch_id}"
+                out.write.mode("overwrite").parquet(path)
+                told.append((who, batch_id, spark.read.schema(out.schema).parquet(path).count(), None))
             except Exception as e:  # noqa: BLE001  whatever a listener raises is its own
                 told.append((who, batch_id, 0, type(e).__name__))
         batch.unpersist()
@@ -149,30 +107,3 @@ def watched(stream: DataFrame, done: Callable[[DataFrame], bool], name: str, eve
         ended.wait(0.2)
     run.stop()
     return spark.read.schema(stream.schema).parquet(target).select(*stream.columns), ended.is_set()
-
-
-def drained_in_order(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFrame], name: str, most: int = 500_000) -> DataFrame:
-    """Run a stream over the update log in the order of ``ts`` and ``event_id``, however its files overlap,
-    and return what its sink holds.
-
-    The log is dealt by ranges and fed to one stream, slice after slice: each run of the stream drains
-    one slice, goes on from the checkpoint of the run before, and sees later times only. A slice has
-    about ``most`` rows, which bounds what one key can bring into a batch.
-    """
-    cut, feed, target, log = (scratch(spark, f"{name}{x}") for x in ("-cut", "-feed", "", "-log"))
-    table = spark.read.parquet(path).select("user_id", "ts", "event_id", "event_type")
-    ranges = 4 * max(1, -(-table.count() // most))
-    table.repartitionByRange(ranges, "ts", "event_id").withColumn("range", F.spark_partition_id()).write.partitionBy("range").mode("overwrite").parquet(cut)
-    dealt = spark.read.schema(table.withColumn("range", F.lit(0)).schema).parquet(cut)
-    slices: list[list[int]] = []
-    for at, n in dealt.groupBy("range").count().orderBy("range").collect():
-        if not slices or slices[-1][2] + n > most:
-            slices.append([at, at, 0])
-        slices[-1][1:] = at, slices[-1][2] + n
-    if not slices:  # an empty log
-        return spark.createDataFrame([], step(updates(spark, path)).schema)
-    for low, high, _ in slices:
-        dealt.where(F.col("range").between(low, high)).drop("range").write.mode("append").parquet(feed)
-        # one batch a slice: files of a slice have no order
-        out = drained(step(updates(spark, feed, 1_000_000)), name, "append", target, log)
-    return out

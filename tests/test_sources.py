@@ -1,12 +1,10 @@
 """Object trees and streams on small folders."""
 
 import json
-from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from rallylake.plans import registry
 from rallylake.sources import objects
 from rallylake.streaming import tracking
 
@@ -71,53 +69,6 @@ def test_streams_give_what_the_batch_gives(spark, small):
     assert last == {r["user_id"]: r["e"] for r in batch.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
 
 
-def brute_expiry(rows):
-    """(most held, wipes) by user: every terminal update arms a timer; at the end the watermark, ten minutes
-    behind the last time, fires those that are due."""
-    out, last = {}, max(r["ts"] for r in rows)
-    for user in {r["user_id"] for r in rows}:
-        held, most, wiped, timers = 0, 0, 0, []
-        for r in sorted((r for r in rows if r["user_id"] == user), key=lambda r: (r["ts"], r["event_id"])):
-            while timers and timers[0] <= r["ts"]:
-                timers.pop(0)
-                held, wiped = 0, wiped + (held > 0)
-            held += 1
-            most = max(most, held)
-            if r["event_type"] in tracking.TERMINAL:
-                timers.append(r["ts"] + timedelta(hours=1))
-        out[user] = (most, wiped + (held > 0 and any(last - timedelta(minutes=10) > t for t in timers)))
-    return out
-
-
-def test_expiry_over_files_of_overlapping_times(spark, small, tmp_path):
-    events = spark.read.parquet(f"{small}/events.parquet")
-    want = brute_expiry(events.collect())
-    path = f"{tmp_path}/events.parquet"
-    events.repartition(20, "event_id").write.parquet(path)
-    found = registry.QUERIES["stream_ttl"](spark, str(tmp_path)).collect()
-    assert {r["user_id"]: (r["held"], r["wiped"]) for r in found} == want and len(found) == len(want)
-    sliced = tracking.drained_in_order(spark, path, tracking.expiring, "sliced", most=300)
-    found = sliced.groupBy("user_id").agg(F.max("held").alias("held"), F.sum("wiped").alias("wiped")).collect()
-    assert {r["user_id"]: (r["held"], r["wiped"]) for r in found} == want
-    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
-    assert registry.QUERIES["stream_ttl"](spark, f"{tmp_path}/none").count() == 0
-
-
-def test_every_terminal_update_arms_a_timer(spark, tmp_path):
-    """Two terminal updates 40 minutes apart and updates after each: both timers wipe, the second also what came
-    after the first wipe; over several micro-batches."""
-    rows = [(1, 0, "view"), (2, 10, "error"), (3, 50, "purchase"), (4, 60, "click"), (5, 75, "click"), (6, 80, "view"), (7, 111, "view"), (8, 300, "view")]
-    table = spark.createDataFrame([(i, m, t, 7) for i, m, t in rows] + [(9, 0, "view", 8), (10, 400, "view", 8)], "event_id long, m int, event_type string, user_id long")
-    table = table.select("event_id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, m)").alias("ts"), "user_id", "event_type")
-    path = f"{tmp_path}/events.parquet"
-    table.repartition(3, "event_id").write.parquet(path)
-    # 4 held (0, 10, 50, 60), wiped at 70; 2 held (75, 80), wiped at 110; then two more are kept
-    for most in (2, 3, 100):
-        found = tracking.drained_in_order(spark, path, tracking.expiring, "ttl", most=most).groupBy("user_id").agg(F.max("held").alias("held"), F.sum("wiped").alias("wiped")).collect()
-        assert {tuple(r) for r in found} == {(7, 4, 2), (8, 2, 0)}
-    assert brute_expiry(table.collect()) == {7: (4, 2), 8: (2, 0)}
-
-
 def test_state_crosses_batches_and_listeners_are_apart(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet")
     path = f"{tmp_path}/events.parquet"
@@ -153,13 +104,3 @@ def test_watch_ends_when_done_or_late(spark, small, tmp_path):
     assert ended and 100 <= got.count() <= 300 and len(looks) > 1
     _, ended = tracking.watched(tracking.updates(spark, path, 1), lambda _: False, "watch", every="100 milliseconds", timeout_s=3)
     assert not ended
-
-
-def test_out_of_order_payments_meet_over_batches(spark, tmp_path):
-    rows = [(1, 0, "signup"), (2, 3, "purchase"), (3, 2000, "purchase"), (4, 2001, "signup"), (5, 100_000, "purchase"), (6, 100_005, "signup")]
-    table = spark.createDataFrame(rows, "event_id long, s int, event_type string").select("event_id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s)").alias("ts"), F.lit(7).cast("long").alias("user_id"), "event_type")
-    path = f"{tmp_path}/events.parquet"
-    table.repartition(3).write.parquet(path)
-    for most in (1, 2, 100):
-        got = tracking.drained_in_order(spark, path, tracking.matched, "order", most=most).collect()
-        assert {tuple(r) for r in got} == {(1, 2), (1, 3), (4, 3)}
