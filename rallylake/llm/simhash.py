@@ -8,11 +8,6 @@ every pair; each keeps 32 of the 64 bits.
 
 Equal fingerprints are one node. A bucket of more than ``hot`` nodes is dealt again by covering its
 free bits (48 bits kept, then 56: at most 256 nodes), so no task gathers an unbounded bucket.
-
-One fingerprint reaches few texts at a similarity of about 0.8, as such pairs mostly differ in more
-bits. With several ``families`` a text has as many fingerprints, each by a hash of its own, and texts
-link where any of them differs in at most 3 bits: covering tables of radius 3 for each, where a larger
-radius would double the tables with every bit.
 """
 
 from __future__ import annotations
@@ -52,52 +47,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def rehashed(h: np.ndarray, families: int) -> np.ndarray:
-    """Hashes of each family, one column each: the given ones, then those that splitmix64 makes of them."""
-    z = h[:, None] + np.arange(families, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    z[:, 0] = h
-    return z
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        bits = np.unpackbits(hashes[at : at + (1 << 12), None].view(np.uint8), axis=1, bitorder="little")
+        # bytes hold the sums of 255 rows
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes, shingle: int = 3, families: int = 1) -> list[int]:
-    """The SimHashes of one text, one of each family, as unsigned numbers."""
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The SimHash of one text as an unsigned number."""
     words = text.lower().split()
     if not words:
-        return [0] * families
+        return 0
     if len(words) < shingle:
-        grams, n = iter([b" ".join(words)]), 1
+        grams = iter([b" ".join(words)])
     else:
-        grams, n = map(b" ".join, zip(*(words[k:] for k in range(shingle)))), len(words) - shingle + 1
-    ones, left = np.zeros(64 * families, np.int64), n
-    hashes = map(xxhash.xxh64_intdigest, grams, repeat(SEED))
-    while left:
-        h = np.fromiter(hashes, np.uint64, count=min(left, 1 << 12))
-        left -= len(h)
-        bits = np.unpackbits(rehashed(h, families).view(np.uint8), axis=1, bitorder="little")
-        # bytes hold the sums of 255 rows
-        ones += np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
+        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    return fingerprint_of(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", families: int = 1) -> DataFrame:
-    """(doc_id, fp long), and with several families ``more``, an array of the others' fingerprints.
-    Null and empty texts, and texts of white space only, have fingerprint 0."""
-    schema = "doc_id long, fp long" + (", more array<bigint>" if families > 1 else "")
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long). Null and empty texts, and texts of white space only, have fingerprint 0."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([fingerprint(x, shingle, families) for x in utf8(batch.column(1))], np.uint64).reshape(-1, families).view(np.int64)
-            made = {"doc_id": batch.column(0), "fp": pa.array(fps[:, 0])}
-            if families > 1:
-                made["more"] = pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * (families - 1), fps[:, 1:].ravel())
-            return pa.RecordBatch.from_pydict(made)
+            fps = np.array([fingerprint(x, shingle) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
         return f
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, per_batch(make), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, per_batch(make), "doc_id long, fp long")
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,26 +129,23 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _buckets(nodes: DataFrame, level: int) -> DataFrame:
-    """nodes: (family, fp, node) at level 0, else (fp, node, t) with the table of the level above."""
+    """nodes: (fp, node) at level 0, else (fp, node, t) with the table of the level above."""
     masks = mask_levels()[level]
     literal = F.array(*[F.lit(_signed(m)) for m in masks])
     if level == 0:
-        exploded = nodes.select("fp", "node", "family", F.posexplode(literal).alias("t", "m")).withColumn("t", F.col("family") * 15 + F.col("t"))
+        exploded = nodes.select("fp", "node", F.posexplode(literal).alias("t", "m"))
     else:
         per = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks[k : k + 15]]) for k in range(0, len(masks), 15)])
-        exploded = nodes.select("fp", "node", "t", F.posexplode(F.element_at(per, F.col("t") % 15**level + 1)).alias("s", "m")).withColumn("t", F.col("t") * 15 + F.col("s"))
+        exploded = nodes.select("fp", "node", "t", F.posexplode(F.element_at(per, F.col("t") + 1)).alias("s", "m")).withColumn("t", F.col("t") * 15 + F.col("s"))
     return exploded.select(F.col("t").cast("int").alias("t"), F.col("m").bitwiseAND(F.col("fp")).alias("key"), "fp", "node")
 
 
 def links(nodes: DataFrame, hot: int = 4096) -> DataFrame:
     """(a, b): edges that connect exactly the nodes that chains of links within the radius connect.
 
-    ``nodes`` has distinct fingerprints (fp long, node long), of each family where it has a column
-    ``family`` (int from 0). A bucket emits a spanning forest, never all its pairs.
+    ``nodes`` has distinct fingerprints (fp long, node long). A bucket emits a spanning forest, never all its pairs.
     """
     out = None
-    if "family" not in nodes.columns:
-        nodes = nodes.withColumn("family", F.lit(0))
     for level in range(3):
         rows = _buckets(nodes, level)
         again = None
@@ -185,24 +164,10 @@ def links(nodes: DataFrame, hot: int = 4096) -> DataFrame:
 
 
 def chained(fps: DataFrame, hot: int = 4096) -> DataFrame:
-    """(fp, component): every distinct fingerprint of the first family and the smallest that chains of links connect it with.
-
-    A node is a fingerprint of the first family. The fingerprints of the others each stand for one of
-    their nodes, and their further nodes are linked to it.
-    """
-    if "more" in fps.columns:
-        texts = materialize(fps.select("fp", "more").distinct(), "texts")
-        nodes = texts.select("fp").distinct()
-        others = texts.select(F.posexplode("more").alias("family", "of"), F.col("fp").alias("node")).select((F.col("family") + 1).alias("family"), F.col("of").alias("fp"), "node")
-        other = materialize(others.groupBy("family", "fp").agg(F.min("node").alias("node")), "other-families")
-        same = others.join(other.withColumnRenamed("node", "least"), ["family", "fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        points = materialize(nodes.select(F.lit(0).alias("family"), "fp", F.col("fp").alias("node")).union(other), "points")
-        found = links(points, hot).union(same)
-    else:
-        nodes = materialize(fps.select("fp").distinct(), "nodes")
-        found = links(nodes.withColumn("node", F.col("fp")), hot)
+    """(fp, component): every distinct fingerprint and the smallest that chains of links connect it with."""
+    nodes = materialize(fps.select("fp").distinct(), "nodes")
     # written, so that a task never runs two Python workers at once, whose memory adds up
-    found = components(materialize(found, "bucket-links"))
+    found = components(materialize(links(nodes.withColumn("node", F.col("fp")), hot), "bucket-links"))
     return materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component")), "chained")
 
 
@@ -219,19 +184,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col:
     names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def distinct_rows(docs: DataFrame, shingle: int = 3, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text", families: int = 4) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id, a null id last; rows
-    of one id in a component differ by their text, and the one of the least digest stays. Texts link
-    where a fingerprint of any of the ``families`` differs in at most 3 bits."""
-    # the caller's columns travel as one, so that none of their names can clash
-    rows = materialize(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    texts = rows.select(F.col("row").alias("doc_id"), F.col("doc").getField(text_col).alias("text"))
-    fps = materialize(fingerprints(texts, shingle, families=families).withColumnRenamed("doc_id", "row"), "fingerprints")
-    named = F.col("doc").getField(id_col)
-    order = F.struct(named.isNull().alias("unnamed"), named.alias("id"), F.sha1(F.to_json("doc")).alias("sha"), F.col("row").alias("row"))
-    placed = fps.join(chained(fps, hot), "fp").select("row", "component").join(rows.select("row", order.alias("place")), "row")
-    chosen = materialize(placed.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row")), "chosen")
-    # a shuffle at every size; a small table of rows would be broadcast, a large one not
-    return rows.join(chosen.hint("merge"), "row", "left_semi").select("doc.*")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rallylake.llm import decontaminate, licenses, packing, quality, repeats, rollup, secrets, simhash, topk, warc
+from rallylake.llm import decontaminate, licenses, neardup, packing, quality, repeats, rollup, secrets, simhash, topk, warc
 from rallylake.llm.common import components, scratch_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -663,7 +663,7 @@ def test_distinct_rows_keep_each_text_of_an_id(spark):
     for c in clashes:
         df = df.withColumn(c, F.lit(c))
     for parts in (1, 4):
-        out = simhash.distinct_rows(df.repartition(parts)).collect()
+        out = neardup.distinct_rows(df.repartition(parts)).collect()
         assert all(r[c] == c for r in out for c in clashes) and list(out[0].asDict()) == df.columns
         assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(str, [(7, x), (7, y), (None, z)]))
 
@@ -675,30 +675,59 @@ def near_copies(rng, groups=15):
         base = rng.choices(words, k=rng.randint(60, 300))
         for _ in range(rng.randint(1, 7)):
             copy = list(base)
-            for at in rng.sample(range(len(base)), len(base) // rng.randint(60, 120)):
+            for at in rng.sample(range(len(base)), len(base) // rng.randint(40, 120)):
                 copy[at] = rng.choice(words)
             texts.append(" ".join(copy))
     return texts
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_distinct_rows_link_by_any_family(spark, hot):
-    texts = near_copies(random.Random(8)) + [None, "", "one two", "One  two"]
-    docs = documents(spark, texts)
-    for families in (1, 2, 6):
-        want = brute_components(list(range(len(texts))), [tuple(brute_fingerprint(t, k) for k in range(families)) for t in texts])
-        got = sorted(r["doc_id"] for r in simhash.distinct_rows(docs, hot=hot, families=families).collect())
-        assert got == sorted(set(want))
-    assert simhash.distinct_rows(documents(spark, [])).count() == 0
-
-
-def test_families_reach_more_near_copies():
-    texts = near_copies(random.Random(9), 150)
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
-    near = [(a, b) for a in range(len(texts)) for b in range(max(0, a - 7), a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    fps = [simhash.fingerprint(t.encode(), families=6) for t in texts]
-    reached = lambda n: sum(any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a][:n], fps[b][:n], strict=True)) for a, b in near) / len(near)
-    assert len(near) > 100 and reached(6) > 2 * reached(1)
+def similar_pairs(texts):
+    """All pairs at a similarity of 0.8 or more."""
+    sets = [neardup.shingles(lower(t).encode().split()) for t in texts]
+    return [(i, j) for i in range(len(texts)) for j in range(i) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and neardup.similarity(sets[i], sets[j]) >= 0.8]
+
+
+def check_classes(spark, texts, recall, hot=4096):
+    """No class joins what chains of similar pairs do not; the share of similar pairs in one class is ``recall`` at least."""
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r["row"]: r["component"] for r in neardup.classes(df, hot=hot).collect()}
+    assert sorted(got) == list(range(len(texts))) and all(got[c] == c <= k for k, c in got.items())
+    pairs, parent = similar_pairs(texts), list(range(len(texts)))
+    for i, j in pairs:
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert all(parent[k] == parent[c] for k, c in got.items())
+    assert pairs and sum(got[i] == got[j] for i, j in pairs) >= recall * len(pairs)
+    return got
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_near_duplicates_are_those_of_all_pairs(spark, hot):
+    texts = near_copies(random.Random(8), 40) + [None, "", " \n", "one two", "One  two", "one two three", "a b c d e", "A b c d e", "a b c d f"]
+    got = check_classes(spark, texts, 0.97, hot)
+    n = len(texts) - 9
+    assert [got[n + k] for k in range(9)] == [n, n, n, n + 3, n + 3, n + 5, n + 6, n + 6, n + 8]
+    # one row of each class stays, that of the smallest id
+    kept = sorted(r["doc_id"] for r in neardup.distinct_rows(documents(spark, texts), hot=hot).collect())
+    assert kept == sorted(set(got.values())) or len(kept) == len(set(got.values()))
+    assert neardup.distinct_rows(documents(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_the_given_table(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    check_classes(spark, texts, 0.9)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Hundreds of near copies in common buckets, dealt into parts: still one class."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    base, texts = rng.choices(words, k=150), []
+    for _ in range(400):
+        copy = list(base)
+        copy[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    assert len(set(check_classes(spark, texts, 0.99, 50).values())) == 1
 
 
 def test_components_match_brute_force(spark):
