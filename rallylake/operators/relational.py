@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +95,32 @@ def inserted(df: DataFrame, path: str) -> DataFrame:
     """Append rows to the table at ``path`` and return them as stored."""
     df.write.mode("append").parquet(path)
     return df.select(*df.columns)
+
+
+def bottom_k(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group, rows in the order of all of ``order``.
+
+    Mergeable: every task gives its first k of a group before anything is shuffled, and the same step over what is
+    left gives the groups' own. Both sort, spill and stream; no group is held, whatever its size. Null groups are a group.
+    """
+
+    def run(batches):
+        last, left = None, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            keep = []
+            for at, key in enumerate(keys):
+                if key != last:
+                    last, left = key, k
+                if left > 0:
+                    keep.append(at)
+                    left -= 1
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    first = df.sortWithinPartitions(*by, *order).mapInArrow(run, df.schema)
+    return first.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, df.schema)
+
+
+def by_name(name: Column, ignore_case: bool = False) -> Column:
+    """A text in the order of languages rather than of bytes: accents and case decide last, or case not at all."""
+    return F.collate(name, "UNICODE_CI" if ignore_case else "UNICODE")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from rallylake.functions import js
 from rallylake.operators import relational as R
 from rallylake.plans.base import NOW, query
-from rallylake.sources import objects, schemas
+from rallylake.sources import objects, schemas, store
+from rallylake.sources.scratch import scratch
 from rallylake.sources.tables import load
 
 LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]
@@ -428,3 +429,31 @@ def first_value(spark, d):
     """Of a map only the first value, in the order of its keys."""
     maps = load(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("keys"))
     return maps.select("user_id", F.get(F.map_values(F.map_from_arrays("keys", "keys")), F.lit(0)).alias("tracked"))
+
+
+@query("""WITH base AS (SELECT o_orderkey, o_orderstatus AS status, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders),
+    a AS (SELECT b.o_orderkey, coalesce(u.status, b.status) AS status, b.price FROM base b LEFT JOIN (SELECT o_orderkey, 'VIP' AS status FROM base WHERE o_orderkey % 7 = 0) u USING (o_orderkey) UNION ALL SELECT -1, 'VIP', 0)
+    SELECT o_orderkey, status, CASE WHEN o_orderkey % 10 = 1 THEN 0 ELSE price END AS price FROM a WHERE o_orderkey % 5 <> 0""")
+def stored_changes(spark, d):
+    """A table changed in place by four batches: all rows, upserts (sent twice), updates and deletions."""
+    orders = load(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.floor("o_totalprice").cast("long").alias("price"))
+    table = store.Store(spark, scratch(spark, "store"), "o_orderkey long, status string, price long", "o_orderkey")
+    table.upsert(orders, "1-load")
+    news = orders.where("o_orderkey % 7 = 0").withColumn("status", F.lit("VIP")).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit("VIP"), F.lit(0).cast("long")))
+    for _ in range(2):
+        table.upsert(news, "2-upsert")
+    table.update(orders.where("o_orderkey % 10 = 1"), {"price": F.lit(0).cast("long")}, "3-update")
+    table.delete(orders.where("o_orderkey % 5 = 0"), "4-delete")
+    return table.rows()
+
+
+@query("""SELECT user_id, k AS field, count(*) AS n, CAST(sum(TRY_CAST(json_extract_string(j, '$.' || k) AS BIGINT)) FILTER (json_type(j, '$.' || k) <> 'VARCHAR') AS BIGINT) AS total,
+    string_agg(DISTINCT CASE json_type(j, '$.' || k) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'OBJECT' THEN 'OBJECT' ELSE json_type(j, '$.' || k) END, ',' ORDER BY 1) AS types
+    FROM (SELECT user_id, j, unnest(json_keys(j)) AS k FROM (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_object('kind', event_type, 'n', event_id) AS JSON) ELSE CAST(props AS JSON) END AS j FROM events)) GROUP BY user_id, k""")
+def artifact_fields(spark, d):
+    """Artifacts whose fields nobody has declared: each field with its count, whole-number total and types."""
+    e = load(spark, d, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("event_id").alias("n")))).otherwise(F.col("props"))
+    rows = objects.variant_fields(e.select("user_id", F.try_parse_json(text).alias("doc")), "doc")
+    number = F.try_variant_get("value", "$", "long")
+    return rows.groupBy("user_id", "field").agg(F.count("*").alias("n"), F.sum(F.when(F.col("type") == "BIGINT", number)).alias("total"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))

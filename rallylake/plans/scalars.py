@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from rallylake.functions import js
 from rallylake.operators import jobs
+from rallylake.operators import relational as R
 from rallylake.plans.base import query
 from rallylake.sources import objects
 from rallylake.sources.tables import load
@@ -211,6 +212,13 @@ def prefix_summary(spark, d):
     return _pages(spark, d).groupBy("host").agg(F.count("*").alias("n"), F.max("page_id").alias("last_id"))
 
 
+@query(f"SELECT host, url, page_id, size FROM (SELECT {HOST} AS host, url, page_id, CAST(strlen(html) AS BIGINT) AS size FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY url, page_id) <= 10")
+def prefix_sample(spark, d):
+    """At most ten objects of each prefix, the first by key, with their sizes."""
+    pages = load(spark, d, "pages").select(F.regexp_extract("url", r"^\w+://([^/?#]+)", 1).alias("host"), "url", "page_id", F.octet_length("html").cast("long").alias("size"))
+    return R.bottom_k(pages, ["host"], ["url", "page_id"], 10)
+
+
 @query("SELECT page_id FROM pages WHERE NOT contains(url, '/en/')")
 def reset_candidates(spark, d):
     return load(spark, d, "pages").where(~F.contains("url", F.lit("/en/"))).select("page_id")

@@ -119,3 +119,20 @@ def put(df: DataFrame, root: str, mode: str = "append") -> None:
 def without(files: DataFrame, keep: str = "/video.") -> DataFrame:
     """Keys that a reset removes: all but the video itself."""
     return files.where(~F.contains("key", F.lit(keep)))
+
+
+def variant_fields(df: DataFrame, doc: str) -> DataFrame:
+    """``df`` without ``doc``, a row for each field of the variant: field, value (variant) and type. What is no object has no fields."""
+    others = [F.col(c) for c in df.columns if c != doc]
+    exploded = df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(doc).outer()))
+    return exploded.where("key IS NOT NULL").select(*others, F.col("key").alias("field"), "value", F.schema_of_variant("value").alias("type"))
+
+
+def variant_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """(row): every line of CSV files whose columns are unknown, as one variant; with a header an object by its names, else an array of values."""
+    return spark.read.option("singleVariantColumn", "row").option("header", header).csv(path)
+
+
+def artifact_schema(df: DataFrame, doc: str) -> str:
+    """The schema that all variants of a column share: fields of some are fields of all, types widen as needed."""
+    return df.agg(F.schema_of_variant_agg(doc)).first()[0]
