@@ -63,10 +63,10 @@ def log_step(text: Column) -> tuple[Column, Column, Column]:
 
 def last_log_step(line: Column, place: Column) -> tuple[Column, Column, Column]:
     """Aggregates: step, stage and progress of the last line, by ``place``, that holds a marker; for logs
-    that come as rows, of which a key may have any number."""
-    step, stage, progress = log_step(line)
-    reached = F.max_by(F.struct(step.alias("step"), stage.alias("stage"), progress.alias("progress")), F.when(step.isNotNull(), place))
-    return reached["step"], reached["stage"], F.coalesce(reached["progress"], F.lit(0))
+    that come as rows, of which a key may have any number. One pattern finds the lines with a marker; only each key's
+    last one is looked at step by step."""
+    marked = F.rlike(line, F.lit("(?i)" + "|".join(f"(?:{pattern})" for pattern, *_ in LOG_STEPS)))
+    return log_step(F.max_by(line, F.when(marked, place)))
 
 
 def frame_progress(text: Column, progress: Column) -> Column:

@@ -5,11 +5,15 @@ A listing is one scan of file metadata; contents are read only where a query ask
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from rallylake.functions import js
+from rallylake.sources import inbox
 
 # The artifacts that an analysis leaves, in the order of its steps.
 ARTIFACTS = ("calibration.csv", "pose.json", "positions.json", "corrected_positions.json", "jumps.json", "shuttle.json", "position_analysis.json", "player_names.json", "analyzed_video.mp4")
@@ -136,3 +140,78 @@ def variant_csv(spark: SparkSession, path: str, header: bool = True) -> DataFram
 def artifact_schema(df: DataFrame, doc: str) -> str:
     """The schema that all variants of a column share: fields of some are fields of all, types widen as needed."""
     return df.agg(F.schema_of_variant_agg(doc)).first()[0]
+
+
+class ObjectLister(DataSourceReader):
+    """Objects below a folder: one task a prefix of the first level, each following its own subfolders.
+
+    Filters on ``prefix`` (equal or in a list) choose the tasks, those on ``key`` (begins with) and ``size`` (bounds) drop
+    objects before they leave a task.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.prefixes, self.begins, self.low, self.high = path, None, [], None, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
+            if name == "prefix" and isinstance(f, (EqualTo, In)):
+                told = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.prefixes = told if self.prefixes is None else self.prefixes & told
+            elif name == "key" and isinstance(f, StringStartsWith):
+                self.begins.append(f.value)
+            elif name == "size" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low or 0, f.value + isinstance(f, GreaterThan))
+            elif name == "size" and isinstance(f, (LessThan, LessThanOrEqual)):
+                bound = f.value - isinstance(f, LessThan)
+                self.high = bound if self.high is None else min(self.high, bound)
+            else:
+                yield f
+
+    def partitions(self):
+        system, root = inbox.opened(self.path)
+        found = system.get_file_info(files.FileSelector(root, allow_not_found=True))
+        folders = sorted(x.base_name for x in found if x.type == files.FileType.Directory)
+        # objects of the folder itself have the empty prefix
+        own = [p for p in (["", *folders] if any(x.type == files.FileType.File for x in found) else folders) if self.prefixes is None or p in self.prefixes]
+        return [InputPartition(p) for p in own if all(p == "" or p.startswith(b[: len(p)]) and b[len(p) : len(p) + 1] in ("", "/") or f"{p}/".startswith(b) for b in self.begins)]
+
+    def read(self, partition):
+        if partition is None:  # nothing is there to list
+            return
+        system, root = inbox.opened(self.path)
+        prefix, todo = partition.value, [f"{root}/{partition.value}".rstrip("/")]
+        while todo:
+            folder = todo.pop()
+            rows = []
+            for x in system.get_file_info(files.FileSelector(folder)):
+                if x.type == files.FileType.Directory:
+                    todo += [x.path] if prefix else []
+                    continue
+                key = x.path[len(root.rstrip("/")) + 1 :]
+                if all(key.startswith(b) for b in self.begins) and (self.low is None or x.size >= self.low) and (self.high is None or x.size <= self.high):
+                    rows.append((prefix, key, x.size, x.mtime_ns // 1000))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.timestamp("us", "UTC"))], names=["prefix", "key", "size", "modified"])
+
+
+class Objects(DataSource):
+    """``spark.read.format("objects").load(folder)``: prefix, key, size, modified of every object, of whatever number."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "objects"
+
+    def schema(self) -> str:
+        return "prefix string, key string, size long, modified timestamp"
+
+    def reader(self, schema) -> ObjectLister:
+        return ObjectLister(self.options["path"])
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """The listing of a folder; filters on prefix, key and size reach the source where the session lets them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Objects)
+    return spark.read.format("objects").load(root)

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from rallylake.sources.scratch import scratch
 
@@ -88,22 +89,75 @@ def fan_out(stream: DataFrame, listeners: dict[str, Callable[[DataFrame], DataFr
     return spark.read.schema("listener string, batch long, rows long, error string").parquet(f"{target}/told")
 
 
-def watched(stream: DataFrame, done: Callable[[DataFrame], bool], name: str, every: str = "3 seconds", timeout_s: float = 1200) -> tuple[DataFrame, bool]:
-    """Look at a stream every so often until ``done`` says so of what came, or the time is over: what came, and
-    whether it was done. A look that fails does not end the watch."""
-    spark, target, ended = stream.sparkSession, scratch(stream.sparkSession, name), threading.Event()
+class Watch(StreamingQueryListener):
+    """Hears of a query's batches: when the last one with rows came, and when one ended."""
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def __init__(self):
+        self.progressed, self.ended, self.rows, self.heard = threading.Event(), threading.Event(), 0, time.monotonic()
+        self.id = None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.id) == self.id:
+            if event.progress.numInputRows:
+                self.rows, self.heard = self.rows + event.progress.numInputRows, time.monotonic()
+            self.progressed.set()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.id:
+            self.ended.set()
+            self.progressed.set()
+
+
+def watched(push: DataFrame, done: Callable[[DataFrame], bool], name: str, poll: Callable[[], DataFrame] | None = None, every: str = "3 seconds", quiet_s: float = 60, timeout_s: float = 1200) -> tuple[DataFrame, str]:
+    """Follow a stream until ``done`` says so of what came: what came, and how it ended.
+
+    A listener hears of each batch, and only then is ``done`` asked; a look that fails does not end the watch. If the stream
+    ends, fails, or brings nothing for ``quiet_s``, ``poll()`` gives another stream of the same columns that is
+    followed in its place. Ends with "done", "polled" (done by the second stream), "ended" (no stream is left) or "late" after ``timeout_s``.
+    """
+    spark, target, until = push.sparkSession, scratch(push.sparkSession, name), time.monotonic() + timeout_s
+    read = lambda: spark.read.schema(push.schema).option("recursiveFileLookup", True).parquet(target)
+    spark.createDataFrame([], push.schema).write.parquet(f"{target}/none")
+
+    def finished() -> bool:
         try:
-            if done(spark.read.schema(stream.schema).parquet(target).select(*stream.columns)):
-                ended.set()
+            return bool(done(read()))
         except Exception:  # noqa: BLE001
             logging.getLogger(__name__).warning("a look at %s failed", name, exc_info=True)
+            return False
+
+    def follow(stream: DataFrame, part: str, patience: float) -> str:
+        def put(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{target}/{part}/batch={batch_id}")
 
-    run = stream.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(processingTime=every).start()
-    until = time.monotonic() + timeout_s
-    while run.isActive and not ended.is_set() and time.monotonic() < until:
-        ended.wait(0.2)
-    run.stop()
-    return spark.read.schema(stream.schema).parquet(target).select(*stream.columns), ended.is_set()
+        watch, seen = Watch(), 0
+        spark.streams.addListener(watch)
+        query = stream.select(push.columns).writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(processingTime=every).start()
+        watch.id = str(query.id)
+        try:
+            while time.monotonic() < until:
+                watch.progressed.wait(max(0.0, min(until, watch.heard + patience) - time.monotonic()))
+                watch.progressed.clear()
+                if watch.rows > seen:
+                    seen = watch.rows
+                    if finished():
+                        return "done"
+                if watch.ended.is_set() or not query.isActive:
+                    return "ended"
+                if time.monotonic() >= watch.heard + patience:
+                    return "quiet"
+            return "late"
+        finally:
+            query.stop()
+            spark.streams.removeListener(watch)
+
+    how = follow(push, "push", quiet_s)
+    if how in ("ended", "quiet") and poll is not None:
+        how = {"done": "polled", "quiet": "late"}.get(how := follow(poll(), "poll", timeout_s), how)
+    return read(), how

@@ -100,7 +100,16 @@ def test_watch_ends_when_done_or_late(spark, small, tmp_path):
             raise ValueError("a look that fails")
         return looks[-1] >= 100
 
-    got, ended = tracking.watched(tracking.updates(spark, path, 1), done, "watch", every="100 milliseconds", timeout_s=60)
-    assert ended and 100 <= got.count() <= 300 and len(looks) > 1
-    _, ended = tracking.watched(tracking.updates(spark, path, 1), lambda _: False, "watch", every="100 milliseconds", timeout_s=3)
-    assert not ended
+    push = lambda: tracking.updates(spark, path, 1)
+    got, how = tracking.watched(push(), done, "watch", every="100 milliseconds", timeout_s=60)
+    assert how == "done" and 100 <= got.count() <= 300 and len(looks) > 1
+    got, how = tracking.watched(push(), lambda _: False, "watch", every="100 milliseconds", timeout_s=6)
+    assert how == "late" and got.count() == 300
+    # a source that goes quiet, or fails, is replaced by the poll
+    quiet = tracking.updates(spark, path, 1).where("event_id < 0")
+    got, how = tracking.watched(quiet, lambda x: x.count() >= 100, "watch", push, "100 milliseconds", quiet_s=5, timeout_s=60)
+    assert how == "polled" and got.count() >= 100
+    broken = push().withColumn("value", F.raise_error(F.lit("gone")).cast("double"))
+    got, how = tracking.watched(broken, lambda x: x.count() >= 100, "watch", push, "100 milliseconds", quiet_s=20, timeout_s=60)
+    assert how == "polled" and got.count() >= 100
+    assert tracking.watched(broken, lambda x: True, "watch", every="100 milliseconds", timeout_s=30)[1] == "ended"
