@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallylake.operators import metering
+from rallylake.operators import metering, sqlfunctions
 from rallylake.plans.base import query
 from rallylake.sources.tables import load
 
@@ -166,3 +166,17 @@ def subscription_fold(spark, d):
 def signup_fanout(spark, d):
     rows = F.explode(F.array(F.struct(F.lit("profile").alias("kind"), F.col("c_name").alias("detail")), F.struct(F.lit("subscription").alias("kind"), F.lit("FREE").alias("detail")))).alias("r")
     return load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), rows).select("user_id", "r.*")
+
+
+@query("""WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_nationkey AS n, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 300 ELSE 3000 END AS BIGINT) AS included, CAST(floor(abs(c_acctbal)) AS BIGINT) AS used FROM customer)
+    SELECT id, n IN (1, 2) AS admin, n = 2 AS super_admin, used + 50 - included <= 6000 AS success, CASE WHEN used + 50 - included <= 6000 THEN used + 50 ELSE used END AS minutes_used FROM s WHERE n % 3 <> 0
+    UNION ALL SELECT id, n IN (1, 2), n = 2, NULL, NULL FROM s WHERE n % 3 = 0""")
+def sql_functions(spark, d):
+    """Role checks and the answer to 50 minutes more, for every customer, by the session's own SQL functions."""
+    people, n = load(spark, d, "customer"), F.col("c_nationkey")
+    who = F.col("c_custkey").cast("string")
+    people.select(who.alias("id"), F.when(n == 1, "admin").when(n == 2, "super_admin").otherwise("user").alias("role")).createOrReplaceTempView("user_profiles")
+    plan = F.when(F.col("c_mktsegment") == "BUILDING", 300).otherwise(3000).cast("long")
+    people.select(who.alias("user_id"), F.when(n % 3 == 0, "canceled").otherwise("active").alias("status"), plan.alias("minutes_included"), F.floor(F.abs("c_acctbal")).cast("long").alias("minutes_used")).createOrReplaceTempView("subscriptions")
+    sqlfunctions.register(spark)
+    return spark.sql("SELECT p.id, is_admin(p.id) AS admin, is_super_admin(p.id) AS super_admin, a.success, a.minutes_used FROM user_profiles p LEFT JOIN LATERAL usage_answer(p.id, 50) a")

@@ -184,3 +184,18 @@ def test_retry_chain_follows_long_chains(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     found = registry.QUERIES["retry_chain"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r[c] for c in ("event_id", "user_id", "parent", "depth", "root")) for r in found) == [(k, k % 2, k + 2 if k < 148 else None, (149 - k) // 2, 148 + k % 2) for k in range(150)]
+
+
+def test_sql_functions_of_roles_and_metering(spark):
+    from rallylake.operators import sqlfunctions
+
+    spark.createDataFrame([("a", "admin"), ("b", "user"), ("s", "super_admin")], "id string, role string").createOrReplaceTempView("user_profiles")
+    spark.createDataFrame([("a", "active", 300, 100), ("b", "active", 300, 6200), ("c", "canceled", 1, 1)], "user_id string, status string, minutes_included long, minutes_used long").createOrReplaceTempView("subscriptions")
+    sqlfunctions.register(spark)
+    roles = spark.sql("SELECT x, is_admin(x), is_super_admin(x) FROM VALUES ('a'), ('b'), ('s'), ('none'), (null) AS t(x)").collect()
+    assert {tuple(r) for r in roles} == {("a", True, False), ("b", False, False), ("s", True, True), ("none", False, False), (None, False, False)}
+    answers = spark.sql("SELECT x, u.* FROM VALUES ('a'), ('b'), ('c') AS t(x), LATERAL usage_answer(x, 250) u").collect()
+    # the bound itself is allowed, one more is not, and nobody without an active subscription has an answer
+    assert {tuple(r) for r in answers} == {("a", True, 350, 0, 50, None), ("b", False, 6200, 0, 5900, "overage limit exceeded")}
+    assert [r["success"] for r in spark.sql("SELECT * FROM usage_answer('a', 6200)").collect()] == [True]
+    assert [r["success"] for r in spark.sql("SELECT * FROM usage_answer('a', 6201)").collect()] == [False]
