@@ -34,6 +34,13 @@ def single(df: DataFrame) -> DataFrame:
     return df
 
 
+def single_each(asked: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """``asked`` (a column ``key``) with the one row of ``df`` of its key as a struct ``row``, null where there is none, more than one
+    or no key: the point lookup of one row, for many keys at once. Rows are counted by key before the join, so no group is gathered."""
+    one = df.groupBy(key).agg(F.count("*").alias("_n"), F.any_value(F.struct(*df.columns)).alias("row"))
+    return asked.join(one.where("_n = 1").drop("_n"), key, "left")
+
+
 def embed(parent: DataFrame, child: DataFrame, key: str, child_key: str, field: str, columns: list[str]) -> DataFrame:
     """Parents with their children as a sorted array of structs; parents without children keep an empty one."""
     nested = child.groupBy(child_key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(field))

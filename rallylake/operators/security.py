@@ -69,16 +69,22 @@ def secured(df: DataFrame, policy: Policy | str, who: Context) -> DataFrame:
     return df if who.bypass or who.admin else df.where(visible(policy, who))
 
 
+def writable(policy: Policy | str, who: Context) -> Column:
+    """Whether ``who`` may write a row: the service role and admins all, owners their own where the table lets them."""
+    policy = POLICIES[policy] if isinstance(policy, str) else policy
+    if who.bypass or who.admin:
+        return F.lit(True)
+    return F.lit(False) if who.user is None or not policy.writable else _truth(F.col(policy.owner) == who.user)
+
+
 def write_check(df: DataFrame, policy: Policy | str, who: Context) -> DataFrame:
     """``df`` if ``who`` may write all of its rows; raises PermissionError at the first that is refused.
 
     Only one row is looked for, so the check stops early.
     """
-    policy = POLICIES[policy] if isinstance(policy, str) else policy
     if who.bypass or who.admin:
         return df
-    allowed = F.lit(False) if who.user is None or not policy.writable else _truth(F.col(policy.owner) == who.user)
-    if df.where(~allowed).take(1):
+    if df.where(~writable(policy, who)).take(1):
         raise PermissionError("a row belongs to another user or is not writable")
     return df
 

@@ -5,12 +5,17 @@ A listing is one scan of file metadata; contents are read only where a query ask
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
 from rallylake.functions import js
 from rallylake.sources import inbox
@@ -85,7 +90,8 @@ def first_available(candidates: DataFrame, files: DataFrame, by: list[str], rank
 
 def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, text: each object read whole, as UTF-8."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    # an argument, as the reader's own default would take the place of an option
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -196,8 +202,63 @@ class ObjectLister(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.timestamp("us", "UTC"))], names=["prefix", "key", "size", "modified"])
 
 
+@dataclass
+class Put(WriterCommitMessage):
+    """The file with the properties of what a task has put."""
+
+    aside: str
+
+
+class ObjectPutter(DataSourceWriter):
+    """Writes each row (key, content, content_type, metadata) as an object of its own.
+
+    A task writes an object aside and moves it to its key, so a reader sees the old or the new one, whole, and an attempt that
+    is run again puts the same. Properties go to ``{folder}.metadata``, one file a task, which counts when the write is committed.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.id = path.rstrip("/"), f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        if overwrite:
+            for folder in (self.path, f"{self.path}.metadata"):
+                system, root = inbox.opened(folder)
+                system.delete_dir_contents(root, missing_dir_ok=True)
+
+    def write(self, rows) -> Put:
+        (system, root), told, made = inbox.opened(self.path), [], set()
+        _, beside = inbox.opened(f"{self.path}.metadata")
+        system.create_dir(f"{beside}/_aside", recursive=True)
+        for row in rows:
+            if not row.key or any(part in ("", ".", "..") for part in row.key.split("/")):
+                raise ValueError(f"no key of an object: {row.key!r}")
+            target, aside = f"{root}/{row.key}", f"{beside}/_aside/{uuid.uuid4().hex}"
+            with system.open_output_stream(aside) as out:
+                out.write(bytes(row.content or b""))
+            folder = target.rsplit("/", 1)[0]
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            system.move(aside, target)
+            told.append(json.dumps({"key": row.key, "content_type": row.content_type, "metadata": row.metadata, "place": len(told)}))
+        aside = f"{beside}/_aside/{uuid.uuid4().hex}"
+        with system.open_output_stream(aside) as out:
+            out.write("".join(f"{x}\n" for x in told).encode())
+        return Put(aside)
+
+    def commit(self, messages) -> None:
+        system, beside = inbox.opened(f"{self.path}.metadata")
+        for n, put in enumerate(m for m in messages if m is not None):
+            system.move(put.aside, f"{beside}/{self.id}-{n}.json")
+
+    def abort(self, messages) -> None:
+        system, _ = inbox.opened(self.path)
+        for put in messages:
+            if put is not None:
+                system.delete_file(put.aside)
+
+
 class Objects(DataSource):
-    """``spark.read.format("objects").load(folder)``: prefix, key, size, modified of every object, of whatever number."""
+    """``spark.read.format("objects").load(folder)``: prefix, key, size, modified of every object, of whatever number;
+    and ``write.format("objects")`` of (key, content, content_type, metadata)."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,9 +270,67 @@ class Objects(DataSource):
     def reader(self, schema) -> ObjectLister:
         return ObjectLister(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> ObjectPutter:
+        return ObjectPutter(self.options["path"], overwrite)
+
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """The listing of a folder; filters on prefix, key and size reach the source where the session lets them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Objects)
     return spark.read.format("objects").load(root)
+
+
+PUT = "key string, content binary, content_type string, metadata map<string,string>"
+
+
+def put_objects(df: DataFrame, root: str, order: list[str] | None = None, mode: str = "append") -> None:
+    """Write the rows (key, content and, if there, content_type and metadata) as objects below ``root``.
+
+    A content that is null or absent is empty; an object with the key is replaced. Keys are unique unless ``order`` is given: then of the rows of a key
+    the last by ``order`` stays, its rows meeting in one task (a sort that spills, nothing is held).
+    """
+    df.sparkSession.dataSource.register(Objects)
+    if order:
+        df = df.repartition("key").sortWithinPartitions("key", *order)
+    fields = [F.col(c.name).cast(c.dataType).alias(c.name) if c.name in df.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in T.StructType.fromDDL(PUT)]
+    df.select(*fields).write.format("objects").mode(mode).save(root)
+
+
+def properties(spark: SparkSession, root: str) -> DataFrame:
+    """(key, content_type, metadata) of all objects as last put; objects that came another way have none."""
+    put = spark.read.schema("key string, content_type string, metadata map<string,string>, place long").json(f"{root.rstrip('/')}.metadata")
+    newest = F.max_by(F.struct("content_type", "metadata"), F.struct(F.col("_metadata.file_name"), F.col("place")))
+    return put.groupBy("key").agg(newest.alias("p")).select("key", "p.content_type", "p.metadata")
+
+
+def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(key, text) of all objects below ``root``, each read whole."""
+    base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
+    # the path comes as an address, in which a plus sign stands for itself
+    path = F.url_decode(F.replace(F.regexp_replace("path", r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    return texts(spark, root, pattern).select(F.substring(path, F.length(base) + 2, F.length(path)).alias("key"), "text")
+
+
+def fetched(keys: DataFrame, root: str, key: str = "key", text: str = "text") -> DataFrame:
+    """``keys`` with the text of each row's object, null where there is none (or no key): one read a row, in the tasks that
+    hold the rows; nothing else below ``root`` is read. Bytes that are no UTF-8 become replacement characters."""
+    schema = T.StructType([*keys.schema.fields, T.StructField(text, T.StringType())])
+
+    def read(batches):
+        system, base = inbox.opened(root.rstrip("/"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, found = batch.slice(at, 64), []
+                for k in part.column(key).to_pylist():
+                    if not k:
+                        found.append(None)
+                        continue
+                    try:
+                        with system.open_input_stream(f"{base}/{k}") as f:
+                            found.append(f.read().decode("utf-8", "replace"))
+                    except FileNotFoundError:
+                        found.append(None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=schema.fieldNames())
+
+    return keys.mapInArrow(read, schema)

@@ -32,6 +32,13 @@ SUMMARY = (
 )
 POSE_SUMMARY = "total_poses_detected long, frames_processed long, model_device string, pose_analysis_summary struct<total_frames_with_poses: long, avg_poses_per_frame: double, player_detections: long>"
 POSITION_SUMMARY = "frames_with_data long, total_ankle_detections long, player_0_detections long, player_1_detections long, tracking_method string, advanced_tracking boolean"
+#: What a step leaves: its summaries, and parts that are open records, which stay variants.
+RESULTS = (
+    f"error string, message string, summary struct<{SUMMARY.replace(' ', ': ').replace(',: ', ', ')}>, detected_points variant, "
+    "pose_summary struct<total_poses_detected: long, frames_processed: long, model_device: string, processing_info: variant, video_info: variant, court_points: variant, camera_info: variant, "
+    "pose_analysis_summary: struct<total_frames_with_poses: long, avg_poses_per_frame: double, player_detections: long>>, "
+    f"position_summary struct<{POSITION_SUMMARY.replace(' ', ': ').replace(',: ', ', ')}, tracking_quality: variant>, files array<struct<name: string, url: string>>"
+)
 
 
 def schema(table: str) -> T.StructType:

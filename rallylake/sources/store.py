@@ -46,6 +46,22 @@ class Store:
         latest = rows.select(self.columns).groupBy(self.key).agg(F.max(F.struct(*self.columns)).alias("r")).select("r.*")
         return self._apply(latest.withColumn("_gone", F.lit(False)), batch)
 
+    def insert(self, rows: DataFrame, batch: str) -> DataFrame:
+        """Insert the rows whose keys are new, and return the stored row of every key of the batch, with ``inserted``: false where
+        one was there before, which stays. Of several rows of a key the greatest counts; rows without a key are left out.
+        The answer is written before the table changes, so a batch that is sent again, or was cut off, gets the same one.
+        """
+        answer, done = f"{self.path}/_returned/{batch}", lambda fs, p: fs.exists(p)
+        schema = T.StructType([*self.schema.fields, T.StructField("inserted", T.BooleanType())])
+        if not self._fs(f"{answer}/_SUCCESS", done):
+            new = rows.where(F.col(self.key).isNotNull()).select(self.columns).groupBy(self.key).agg(F.max(F.struct(*self.columns)).alias("new"))
+            before = self.rows().select(self.key, F.struct(*self.columns).alias("old"))
+            both = new.join(before, self.key, "left").select(F.coalesce("old", "new").alias("r"), F.col("old").isNull().alias("inserted"))
+            both.select("r.*", "inserted").write.mode("overwrite").parquet(answer)
+        told = self.spark.read.schema(schema).parquet(answer)
+        self._apply(told.where("inserted").select(*self.columns, F.lit(False).alias("_gone")), batch)
+        return told
+
     def delete(self, keys: DataFrame, batch: str) -> bool:
         """Delete the rows of the keys; keys without a row change nothing."""
         gone = keys.select(F.col(self.key)).distinct()
