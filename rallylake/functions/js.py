@@ -68,10 +68,10 @@ def slugify(x: Column) -> Column:
 
 
 def sanitize_name(x: Column) -> Column:
-    """File names that stores accept: brackets to parentheses, slashes to hyphens, others to underscores."""
+    """File names that stores accept: brackets to parentheses, slashes to hyphens, others to underscores, runs of white space to a blank."""
     x = F.translate(x, "[]", "()")
     x = F.regexp_replace(x, r"[/\\⧸]", "-")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r'[<>:"|?*]', "_"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r'[<>:"|?*]', "_"), f"{SPACE}+", " "))
 
 
 def extension(x: Column) -> Column:
@@ -94,13 +94,19 @@ def replace_first(x: Column, what: str, by: str) -> Column:
     return F.when(at == 0, x).otherwise(F.concat(F.substr(x, F.lit(1), at - 1), F.lit(by), F.substr(x, at + len(what))))
 
 
+def utf16_length(x: Column) -> Column:
+    """``length`` of a string: characters beyond the first 65,536 count twice."""
+    return F.floor(F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+
+
 def valid_name(x: Column, longest: int = 255) -> Column:
-    return F.coalesce(F.length(F.trim(x)).between(1, longest), F.lit(False))
+    """Something other than white space, and as it stands, with what surrounds it, not longer than ``longest``."""
+    return F.coalesce(F.regexp_like(x, F.lit(f"[^{SPACE[1:]}")) & (utf16_length(x) <= longest), F.lit(False))
 
 
 def word_count(x: Column) -> Column:
     """Pieces between runs of white space; an empty text is one piece."""
-    return F.size(F.split(x, r"\s+"))
+    return F.size(F.split(x, f"{SPACE}+"))
 
 
 def reading_minutes(x: Column, words_a_minute: int = 200) -> Column:
@@ -108,20 +114,25 @@ def reading_minutes(x: Column, words_a_minute: int = 200) -> Column:
 
 
 def parse_int(x: Column) -> Column:
-    """``parseInt``: the leading integer, else null."""
-    return F.nullif(F.regexp_extract(x, r"^\s*([-+]?\d+)", 1), F.lit("")).cast("long")
+    """``parseInt``: the leading integer, else null; null also for one beyond 64 bits."""
+    return F.regexp_extract(x, rf"^{SPACE}*([-+]?\d+)", 1).try_cast("long")
 
 
 def parse_float(x: Column) -> Column:
     """``parseFloat``: the leading decimal number or infinity, else null."""
-    number = F.regexp_extract(x, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?Infinity)", 1)
+    number = F.regexp_extract(x, rf"^{SPACE}*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?Infinity)", 1)
     return F.nullif(number, F.lit("")).cast("double")
 
 
+# Image formats of thumbnails.
+THUMBNAILS = ("jpeg", "jpg", "webp")
+
+
 def data_url(x: Column) -> tuple[Column, Column]:
-    """Image format (jpg as jpeg) and base64 payload of a data URL; nulls if it is none."""
-    kind = F.nullif(F.regexp_extract(x, r"^data:image/(\w+);base64,(.+)$", 1), F.lit(""))
-    return F.when(kind == "jpg", "jpeg").otherwise(kind), F.nullif(F.regexp_extract(x, r"^data:image/(\w+);base64,(.+)$", 2), F.lit(""))
+    """Image format (jpg as jpeg) and base64 payload of a thumbnail's data URL; nulls if it is none."""
+    pattern = rf"^data:image/({'|'.join(THUMBNAILS)});base64,(.+)\z"
+    kind = F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
+    return F.when(kind == "jpg", "jpeg").otherwise(kind), F.nullif(F.regexp_extract(x, pattern, 2), F.lit(""))
 
 
 def human_bytes(n: Column, zero: str = "0 Bytes") -> Column:
@@ -200,9 +211,11 @@ def iso_seconds(epoch: Column) -> Column:
 
 
 def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
-    """Status, first and last byte of an HTTP range; no clamping: an end beyond the size is refused."""
-    begin = F.nullif(F.regexp_extract(header, r"^bytes=(\d+)-(\d*)$", 1), F.lit("")).cast("long")
-    end = F.coalesce(F.nullif(F.regexp_extract(header, r"^bytes=(\d+)-(\d*)$", 2), F.lit("")).cast("long"), size - 1)
+    """Status, first and last byte of an HTTP range, the first one that the header names; no clamping: an end beyond
+    the size is refused, as are numbers beyond 64 bits."""
+    pattern = r"bytes=(\d+)-(\d*)"
+    last = F.regexp_extract(header, pattern, 2)
+    begin, end = F.regexp_extract(header, pattern, 1).try_cast("long"), F.when(last == "", size - 1).otherwise(last.try_cast("long"))
     good = F.coalesce((begin <= end) & (end < size), F.lit(False))
     return F.when(good, 206).otherwise(416), F.when(good, begin), F.when(good, end)
 
@@ -210,7 +223,7 @@ def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
 def json_text(document: Column) -> Column:
     """The document as it is if it is valid JSON; else with NaN and infinities that stand as values of
     objects replaced by null, which may still be invalid."""
-    return F.when(F.try_parse_json(document).isNotNull(), document).otherwise(F.regexp_replace(document, r":\s*(-?Infinity|NaN)", ": null"))
+    return F.when(F.try_parse_json(document).isNotNull(), document).otherwise(F.regexp_replace(document, f":{SPACE}*(-?Infinity|NaN)", ": null"))
 
 
 def lenient_number(document: Column, field: str) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from rallylake.plans import archive, jobs, metering, movement, relational, scalars, streams  # noqa: F401  the modules register their queries
+from rallylake.plans import archive, jobs, metering, movement, relational, scalars, streams, texts  # noqa: F401  the modules register their queries
 from rallylake.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -62,20 +62,20 @@ def replace_first(spark, d):
     return load(spark, d, "customer").select("c_custkey", js.replace_first(F.col("c_name"), "0", "o").alias("name"))
 
 
-@query("SELECT doc_id, length(trim(text)) BETWEEN 1 AND 255 AS valid FROM documents")
+@query(rf"SELECT doc_id, regexp_matches(text, '[^{SPACE_SQL}]') AND length(text) + len(regexp_extract_all(text, '[\x{{10000}}-\x{{10ffff}}]')) <= 255 AS valid FROM documents")
 def rename_valid(spark, d):
     return load(spark, d, "documents").select("doc_id", js.valid_name(F.col("text")).alias("valid"))
 
 
-@query(r"SELECT doc_id, CAST(ceil(len(regexp_split_to_array(text, '\s+')) / 200.0) AS BIGINT) AS minutes FROM documents")
+@query(rf"SELECT doc_id, CAST(ceil(len(regexp_split_to_array(text, '[{SPACE_SQL}]+')) / 200.0) AS BIGINT) AS minutes FROM documents")
 def reading_time(spark, d):
     return load(spark, d, "documents").select("doc_id", js.reading_minutes(F.col("text")).alias("minutes"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS format, CASE WHEN p_partkey % 4 < 2 THEN to_base64(encode(p_name)) END AS payload FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'webp' END AS format, CASE WHEN p_partkey % 4 < 2 THEN to_base64(encode(p_name)) END AS payload FROM part""")
 def dataurl_parse(spark, d):
     k4, content = F.col("p_partkey") % 4, F.base64(F.encode("p_name", "utf-8"))
-    url = F.when(k4 == 0, F.concat(F.lit("data:image/jpg;base64,"), content)).when(k4 == 1, F.concat(F.lit("data:image/png;base64,"), content)).when(k4 == 2, F.concat(F.lit("data:text/plain,"), "p_name")).otherwise("")
+    url = F.when(k4 == 0, F.concat(F.lit("data:image/jpg;base64,"), content)).when(k4 == 1, F.concat(F.lit("data:image/webp;base64,"), content)).when(k4 == 2, F.concat(F.lit("data:text/plain,"), "p_name")).otherwise("")
     kind, payload = js.data_url(url)
     return load(spark, d, "part").select("p_partkey", kind.alias("format"), payload.alias("payload"))
 

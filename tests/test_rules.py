@@ -199,3 +199,27 @@ def test_sql_functions_of_roles_and_metering(spark):
     assert {tuple(r) for r in answers} == {("a", True, 350, 0, 50, None), ("b", False, 6200, 0, 5900, "overage limit exceeded")}
     assert [r["success"] for r in spark.sql("SELECT * FROM usage_answer('a', 6200)").collect()] == [True]
     assert [r["success"] for r in spark.sql("SELECT * FROM usage_answer('a', 6201)").collect()] == [False]
+
+
+def test_text_rules_on_white_space_long_numbers_and_characters_of_two_units(spark):
+    x, n = F.col("x"), F.lit(10).cast("long")
+    wide = "\U0001f600" * 128
+    assert one(spark, "x string", [("a\u00a0\u2003b",), ("\ufeff a \t",), ("",), (None,)], js.sanitize_name(x)) == [("a b",), ("a",), ("",), (None,)]
+    names = [("a",), ("\u00a0\u3000 ",), ("",), (None,), ("a" * 255,), ("a" * 255 + " ",), (wide,), (wide[1:],)]
+    assert one(spark, "x string", names, js.valid_name(x), js.utf16_length(x)) == [(True, 1), (False, 3), (False, 0), (False, None), (True, 255), (False, 256), (False, 256), (True, 254)]
+    assert one(spark, "x string", [("a\u00a0b\u2028c",), ("",), (None,)], js.word_count(x)) == [(3,), (1,), (None,)]
+    assert one(spark, "x string", [("\u00a07",), ("9" * 30,), ("-9223372036854775808x",), ("+",)], js.parse_int(x)) == [(7,), (None,), (-(2**63),), (None,)]
+    assert one(spark, "x string", [("\ufeff7.5",), ("9" * 30,), ("1e999",)], js.parse_float(x)) == [(7.5,), (1e30,), (float("inf"),)]
+    ranges = [("bytes=0-1, 4-5",), ("bytes=" + "9" * 30 + "-",), ("bytes=0-" + "9" * 30,), ("bytes=9-9",), ("bytes=10-",), ("bytes=3-2",), ("",), (None,)]
+    assert one(spark, "x string", ranges, *js.byte_range(x, n)) == [(206, 0, 1)] + [(416, None, None)] * 2 + [(206, 9, 9)] + [(416, None, None)] * 4
+    urls = [("data:image/jpg;base64,QQ==",), ("data:image/webp;base64,QQ",), ("data:image/png;base64,QQ==",), ("data:image/jpeg;base64,QQ==\n",), ("data:image/jpeg;base64,",), (None,)]
+    assert one(spark, "x string", urls, *js.data_url(x)) == [("jpeg", "QQ=="), ("webp", "QQ")] + [(None, None)] * 4
+    assert one(spark, "x string", [('{"a":\u00a0NaN}',)], js.json_text(x)) == [('{"a": null}',)]
+
+
+def test_a_range_header_compiles(spark):
+    """The expressions stay small enough for generated code."""
+    status, begin, end = js.byte_range(F.col("x"), F.lit(10).cast("long"))
+    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(status, begin, end)._jdf.queryExecution()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan())
+    assert len(code) < 200_000
