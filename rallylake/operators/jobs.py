@@ -103,9 +103,13 @@ def stage_index(progress: Column, thresholds: tuple[int, ...]) -> Column:
     return reduce(lambda n, t: n + F.when(progress > t, 1).otherwise(0), thresholds, F.lit(0))
 
 
+# What is shown of a failed job.
+CAN_RETRY, NO_RETRIES, NO_RETRY = "YES - CAN RETRY ✅", "NO - MAX RETRIES EXCEEDED ❌", "NO"
+
+
 def retry_label(status: Column, count: Column, most: Column | int = 3) -> Column:
     eligible = retry_eligible(status, count, most)
-    return F.when(eligible, "YES - CAN RETRY ✅").when(count >= most, "NO - MAX RETRIES EXCEEDED ❌").otherwise("NO")
+    return F.when(eligible, CAN_RETRY).when(count >= most, NO_RETRIES).otherwise(NO_RETRY)
 
 
 def retry_eligible(status: Column, count: Column, most: Column | int = 3) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -149,14 +150,15 @@ def artifact_schema(df: DataFrame, doc: str) -> str:
 
 
 class ObjectLister(DataSourceReader):
-    """Objects below a folder: one task a prefix of the first level, each following its own subfolders.
+    """Objects below a folder: at most ``tasks`` tasks, dealt the subfolders of whatever level has enough of them.
 
-    Filters on ``prefix`` (equal or in a list) choose the tasks, those on ``key`` (begins with) and ``size`` (bounds) drop
-    objects before they leave a task.
+    Planning lists folders from the top, one at a time, until there are ``tasks`` of them, so a single folder at the top,
+    or few, do not make for few tasks; it keeps names of folders only. Filters on ``prefix`` (the first part of a key; equal or in a
+    list) and on ``key`` (begins with) choose the folders, those on ``key`` and ``size`` (bounds) drop objects before they leave a task.
     """
 
-    def __init__(self, path: str):
-        self.path, self.prefixes, self.begins, self.low, self.high = path, None, [], None, None
+    def __init__(self, path: str, tasks: int = 200):
+        self.path, self.tasks, self.prefixes, self.begins, self.low, self.high = path, tasks, None, [], None, None
 
     def pushFilters(self, filters):
         for f in filters:
@@ -174,28 +176,41 @@ class ObjectLister(DataSourceReader):
             else:
                 yield f
 
+    def _may_hold(self, folder: str) -> bool:
+        """Whether keys below a folder can pass the filters."""
+        if self.prefixes is not None and folder.split("/")[0] not in self.prefixes:
+            return False
+        return all(f"{folder}/".startswith(b) or b.startswith(f"{folder}/") for b in self.begins)
+
     def partitions(self):
-        system, root = inbox.opened(self.path)
-        found = system.get_file_info(files.FileSelector(root, allow_not_found=True))
-        folders = sorted(x.base_name for x in found if x.type == files.FileType.Directory)
-        # objects of the folder itself have the empty prefix
-        own = [p for p in (["", *folders] if any(x.type == files.FileType.File for x in found) else folders) if self.prefixes is None or p in self.prefixes]
-        return [InputPartition(p) for p in own if all(p == "" or p.startswith(b[: len(p)]) and b[len(p) : len(p) + 1] in ("", "/") or f"{p}/".startswith(b) for b in self.begins)]
+        system, root = inbox.opened(self.path.rstrip("/") or "/")
+        alone, todo = [], deque([""])
+        while todo and len(todo) + len(alone) < self.tasks:
+            folder = todo.popleft()
+            found = system.get_file_info(files.FileSelector(f"{root}/{folder}".rstrip("/") or "/", allow_not_found=True))
+            if any(x.type == files.FileType.File for x in found):
+                alone.append((folder, False))
+            below = sorted(f"{folder}/{x.base_name}".lstrip("/") for x in found if x.type == files.FileType.Directory)
+            todo.extend(x for x in below if self._may_hold(x))
+        dealt = [*alone, *((folder, True) for folder in todo)]
+        return [InputPartition(dealt[k :: self.tasks]) for k in range(min(self.tasks, len(dealt)))]
 
     def read(self, partition):
         if partition is None:  # nothing is there to list
             return
-        system, root = inbox.opened(self.path)
-        prefix, todo = partition.value, [f"{root}/{partition.value}".rstrip("/")]
+        system, root = inbox.opened(self.path.rstrip("/") or "/")
+        todo = [(f"{root}/{folder}".rstrip("/") or "/", deep) for folder, deep in partition.value]
         while todo:
-            folder = todo.pop()
+            folder, deep = todo.pop()
             rows = []
             for x in system.get_file_info(files.FileSelector(folder)):
+                key = x.path[len(root.rstrip("/")) + 1 :]
                 if x.type == files.FileType.Directory:
-                    todo += [x.path] if prefix else []
+                    if deep and self._may_hold(key):
+                        todo.append((x.path, True))
                     continue
-                key = x.path[len(root.rstrip("/")) + 1 :]
-                if all(key.startswith(b) for b in self.begins) and (self.low is None or x.size >= self.low) and (self.high is None or x.size <= self.high):
+                prefix = key.split("/")[0] if "/" in key else ""
+                if (self.prefixes is None or prefix in self.prefixes) and all(key.startswith(b) for b in self.begins) and (self.low is None or x.size >= self.low) and (self.high is None or x.size <= self.high):
                     rows.append((prefix, key, x.size, x.mtime_ns // 1000))
             if rows:
                 cols = list(zip(*rows, strict=True))
@@ -268,17 +283,17 @@ class Objects(DataSource):
         return "prefix string, key string, size long, modified timestamp"
 
     def reader(self, schema) -> ObjectLister:
-        return ObjectLister(self.options["path"])
+        return ObjectLister(self.options["path"], int(self.options.get("tasks", 200)))
 
     def writer(self, schema, overwrite: bool) -> ObjectPutter:
         return ObjectPutter(self.options["path"], overwrite)
 
 
-def listed(spark: SparkSession, root: str) -> DataFrame:
-    """The listing of a folder; filters on prefix, key and size reach the source where the session lets them."""
+def listed(spark: SparkSession, root: str, tasks: int = 200) -> DataFrame:
+    """The listing of a folder by up to ``tasks`` tasks; filters on prefix, key and size reach the source where the session lets them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Objects)
-    return spark.read.format("objects").load(root)
+    return spark.read.format("objects").option("tasks", tasks).load(root)
 
 
 PUT = "key string, content binary, content_type string, metadata map<string,string>"

@@ -108,3 +108,29 @@ def test_write_checks_by_row(spark):
     assert allowed("usage_records", security.Context(bypass=True)) == [True] * 3 == allowed("videos", security.Context(1, "admin"))
     with pytest.raises(PermissionError):
         security.write_check(rows, "videos", security.Context(7))
+
+
+def test_a_single_folder_at_the_top_is_listed_by_many_tasks(spark, tmp_path):
+    want = {}
+    for user in range(6):
+        for video in range(3):
+            folder = tmp_path / "dev" / f"u{user}" / f"v{video}" / "deep"
+            folder.mkdir(parents=True)
+            for path in (folder / "a.json", folder.parent / "video.mp4"):
+                path.write_bytes(b"x" * (user + 1))
+                want[str(path.relative_to(tmp_path))] = user + 1
+    (tmp_path / "dev" / "note").write_bytes(b"1")
+    (tmp_path / "top").write_bytes(b"1")
+    (tmp_path / "dev" / "empty").mkdir()
+    want |= {"dev/note": 1, "top": 1}
+    for tasks in (1, 2, 5, 8, 200):
+        df = objects.listed(spark, str(tmp_path), tasks)
+        # every object once, whatever level the tasks are dealt at
+        assert sorted((r["key"], r["size"]) for r in df.collect()) == sorted(want.items()), tasks
+        assert {r["prefix"] for r in df.collect()} == {"dev", ""}
+        assert min(tasks, 6) <= df.rdd.getNumPartitions() <= tasks
+        assert {r["key"] for r in df.where("prefix = ''").collect()} == {"top"} and df.where("prefix = 'dev' and size > 5").count() == 6
+        for begins in ("dev/u1", "dev/u1/", "dev/u1/v2/d", "de", "dev/note", "t", "none"):
+            found = df.where(F.startswith("key", F.lit(begins)))
+            assert {r["key"] for r in found.collect()} == {k for k in want if k.startswith(begins)}, (tasks, begins)
+    assert objects.listed(spark, str(tmp_path)).where("startswith(key, 'dev/u1/')").rdd.getNumPartitions() < 10
