@@ -115,7 +115,8 @@ def reading_minutes(x: Column, words_a_minute: int = 200) -> Column:
 
 def parse_int(x: Column) -> Column:
     """``parseInt``: the leading integer, else null; null also for one beyond 64 bits."""
-    return F.regexp_extract(x, rf"^{SPACE}*([-+]?\d+)", 1).try_cast("long")
+    # an empty text is no number either, but trying to read it as one is slow
+    return F.nullif(F.regexp_extract(x, rf"^{SPACE}*([-+]?\d+)", 1), F.lit("")).try_cast("long")
 
 
 def parse_float(x: Column) -> Column:
@@ -215,7 +216,7 @@ def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
     the size is refused, as are numbers beyond 64 bits."""
     pattern = r"bytes=(\d+)-(\d*)"
     last = F.regexp_extract(header, pattern, 2)
-    begin, end = F.regexp_extract(header, pattern, 1).try_cast("long"), F.when(last == "", size - 1).otherwise(last.try_cast("long"))
+    begin, end = F.nullif(F.regexp_extract(header, pattern, 1), F.lit("")).try_cast("long"), F.when(last == "", size - 1).otherwise(last.try_cast("long"))
     good = F.coalesce((begin <= end) & (end < size), F.lit(False))
     return F.when(good, 206).otherwise(416), F.when(good, begin), F.when(good, end)
 
