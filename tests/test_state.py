@@ -214,3 +214,56 @@ def test_out_of_order_payments_meet_over_batches(spark, places):
     stream = read(spark, places, "user_id long, at long, event_id long, event_type string").withColumn("ts", F.timestamp_micros("at"))
     state.run(tracking.matched(stream), places.out, places.log)
     assert {tuple(r) for r in spark.read.schema("first_id long, then_id long").parquet(places.out).collect()} == {(1, 2), (1, 3), (4, 3)}
+
+
+def test_batches_do_not_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from rallylake.plans import streams
+
+    monkeypatch.setattr(streams, "MOST", 50)
+    monkeypatch.setattr(streams, "PIECE", 40)
+    rows = spark.range(400).selectExpr("id", "id % 40 AS key", "CAST(id AS STRING) AS body")
+    # no key has more than its bound, so there are two deliveries of several files, whatever the rows
+    dealt = streams.deal(rows, "key")
+    assert dealt == {"deliveries": 2, "pieces": 5}
+    # one key has: no delivery holds more than about the bound
+    assert streams.deal(rows.withColumn("key", F.when(F.col("id") < 60, -1).otherwise(F.col("key"))), "key")["deliveries"] == 16
+    assert streams.deal(rows.where("false"), "key") == {"deliveries": 2, "pieces": 1}
+    inbox.deliver(rows, f"{tmp_path}/inbox", ["id"], **dealt)
+    reader = inbox.InboxReader({"path": f"{tmp_path}/inbox"})
+    end = reader.latestOffset()
+    assert end == {"all": 1}
+    # a task a file, and lines that rise through a delivery
+    parts = reader.partitions({}, end)
+    assert len(parts) == 10
+    found = [(r["seq"], r["line"], int(r["body"])) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(x[2] for x in found) == list(range(400))
+    assert [x[2] for x in sorted(found)] == list(range(400))
+    assert len({x[:2] for x in found}) == 400
+
+
+def test_a_key_has_one_timer_at_a_time():
+    """Due times of a key fire from the first timer that is due, which arms the next one."""
+
+    class Listed(list):
+        def get(self):
+            return iter(list(self))
+
+        def exists(self):
+            return bool(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+        def appendList(self, rows):
+            self.extend(rows)
+
+    log, due, armed = Listed(), Listed(), []
+    job = state.JobLog("event")
+    job.init(SimpleNamespace(getListState=lambda name, schema: {"log": log, "due": due}[name], registerTimer=armed.append))
+    row = lambda k: SimpleNamespace(at=k * HOUR, id=k, status="completed")
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0, getCurrentWatermarkInMs=lambda: 4 * HOUR // 1000)
+    list(job.handleInputRows(("a",), iter([row(k) for k in (2, 1, 3, 4, 5)]), clock))
+    assert armed == [2 * HOUR // 1000]
+    out = list(job.handleExpiredTimer(("a",), clock, SimpleNamespace(getExpiryTimeInMs=lambda: armed[0])))
+    assert [(r["fired"], r["wiped"]) for r in out] == [(2 * HOUR, 1), (3 * HOUR, 1), (4 * HOUR, 1)]
+    assert armed == [2 * HOUR // 1000, 5 * HOUR // 1000] and len(log) == 2 and len(due) == 2
