@@ -47,17 +47,37 @@ def last_index(text: Column, literal: Column) -> Column:
     return F.when(back > 0, F.length(text) - back - F.length(literal) + 1).otherwise(-1)
 
 
-def log_step(text: Column) -> tuple[Column, Column, Column]:
-    """Step, stage and progress a log has reached.
+#: A place where a marker of any step begins. Letters that no marker begins with are passed at the first look; the look
+#: ahead consumes nothing, so markers that overlap are all found.
+ANY_MARKER = "(?i)(?=[svjalpc])(?=(" + "|".join(pattern for pattern, *_ in LOG_STEPS) + "))"
+
+
+def log_place(text: Column) -> Column:
+    """(at, rank, step, stage, progress) of the marker a log has reached, null if there is none.
 
     Each pattern's first match, in any case, gives a literal; where that literal stands last, as
-    written, counts. The greatest place wins; of equal places the pattern listed first.
+    written, counts. The greatest place wins; of equal places the pattern listed first. One pass finds the literals of all
+    patterns, of which no two begin at one place; the text is bound once, however costly the expression that makes it.
     """
-    found = []
-    for rank, (pattern, step, stage, progress) in enumerate(LOG_STEPS):
-        literal = F.regexp_extract(text, f"(?i)({pattern})", 1)
-        found.append(F.when(literal != "", F.struct(last_index(text, literal).alias("at"), F.lit(-rank).alias("rank"), F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.lit(progress).alias("progress"))))
-    best = F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+    def places(log: Column, literals: Column) -> Column:
+        found = []
+        for rank, (pattern, step, stage, progress) in enumerate(LOG_STEPS):
+            own = F.filter(literals, lambda x: F.rlike(x, F.lit(f"(?i)^(?:{pattern})$")))  # noqa: B023
+            place = F.get(F.transform(F.slice(own, 1, 1), lambda literal: last_index(log, literal)), F.lit(0))
+            found.append(F.struct(place.alias("at"), F.lit(-rank).alias("rank"), F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.lit(progress).alias("progress")))
+        return F.array_max(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))
+
+    def of(log: Column) -> Column:
+        literals = F.array_distinct(F.regexp_extract_all(log, F.lit(ANY_MARKER), F.lit(1)))
+        return F.get(F.transform(F.array(literals), lambda x: places(log, x)), F.lit(0))
+
+    return F.get(F.transform(F.array(text), of), F.lit(0))
+
+
+def log_step(text: Column) -> tuple[Column, Column, Column]:
+    """Step, stage and progress a log has reached, by :func:`log_place`."""
+    best = log_place(text)
     return best["step"], best["stage"], F.coalesce(best["progress"], F.lit(0))
 
 

@@ -73,9 +73,10 @@ MARKERS = ("STEP 1: court", "Pose Estimation on", "location calculation", "Jump
 def log_text_stage(spark, d):
     """The same for logs that come whole, as one text: two markers around a document's text, of which the later counts."""
     marker = lambda n: F.element_at(F.array(*map(F.lit, MARKERS)), (n % 6 + 1).cast("int"))
-    log = F.concat_ws("\n", marker(F.col("doc_id")), F.regexp_replace(F.col("text"), "(?i)step|detection|tracking|estimation|calculation|removal|visualization", "."), marker(F.floor(F.col("doc_id") / 6)))
-    step, _, progress = jobs.log_step(log)
-    return load(spark, d, "documents").select("doc_id", step.alias("step"), progress.alias("progress"))
+    log = F.concat_ws("\n", marker(F.col("doc_id")), F.regexp_replace(F.col("text"), "(?i)(?=[sdtecrv])(?:step|detection|tracking|estimation|calculation|removal|visualization)", "."), marker(F.floor(F.col("doc_id") / 6)))
+    # a column of its own, so that a text is looked at once for both
+    found = load(spark, d, "documents").select("doc_id", jobs.log_place(log).alias("best"))
+    return found.select("doc_id", "best.step", F.coalesce("best.progress", F.lit(0)).alias("progress"))
 
 
 @query(f"""SELECT event_id, CASE WHEN k % 7 = 0 THEN step WHEN b = 0 THEN CASE WHEN k > 0 THEN greatest(step, 95) ELSE step END ELSE greatest(step, least(95, CAST(floor(100.0::DOUBLE * k / b + 0.5) AS INT))) END AS progress

@@ -229,3 +229,22 @@ def test_times_beyond_four_digits_of_a_year(spark):
     # as strftime of the SQL prints them
     seconds = [(253402300799,), (253402300800,), (777599913618,), (-62167219201,), (-62135596801,)]
     assert one(spark, "x long", seconds, js.iso_seconds(F.col("x"))) == [("9999-12-31T23:59:59.000Z",), ("10000-01-01T00:00:00.000Z",), ("26611-03-01T00:00:18.000Z",), ("-1-12-31T23:59:59.000Z",), ("0000-12-31T23:59:59.000Z",)]
+
+
+def test_slugs_of_white_space_beyond_ascii(spark):
+    texts = [("A\u00a0 \u3000B\ufeff-c\u2028\n", "a-b--c-"), ("\u00c4b\u00e9 \u1680\u200b x_9!?", "b-x_9"), ("", ""), (None, None)]
+    assert one(spark, "x string", [(x,) for x, _ in texts], js.slugify(F.col("x"))) == [(y,) for _, y in texts]
+    # one pass with a class beyond ASCII, which looks at characters beyond ASCII only
+    plan = spark.range(1).select(js.slugify(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("u3000") == 1
+
+
+def test_a_log_is_looked_at_once(spark, small):
+    from rallylake.plans import registry
+
+    plan = registry.QUERIES["log_text_stage"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and plan.count("regexp_replace") == 1
+    # overlapping markers count both; the first literal of a step is the one whose last place counts
+    texts = [("Artifact RemovaLocation Calculation",), ("step 1: STEP 4: x VISUALIZATION step 1: STEP 1:",), ("nothing",), (None,), ("Video Visualization, pose estimation",)]
+    found = one(spark, "x string", texts, jobs.log_step(F.col("x"))[2])
+    assert found == [(55,), (15,), (0,), (0,), (35,)]
