@@ -33,7 +33,7 @@ def objects_put(spark, d):
     objects.put_objects(pages.select("key", "content", "content_type", said("first")), root)
     objects.put_objects(pages.where("page_id % 3 = 0").select("key", "content", "content_type", said("second")), root)
     files = objects.listed(spark, root).where(F.startswith("key", F.lit("dev/"))).select("key", "size")
-    rows = files.join(objects.properties(spark, root), "key", "left").join(objects.contents(spark, root), "key", "left")
+    rows = objects.fetched(objects.dealt(files), root).join(objects.properties(spark, root), "key", "left")
     return rows.select("key", "size", "content_type", F.col("metadata")["userId"].alias("owner"), F.col("metadata")["version"].alias("version"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 

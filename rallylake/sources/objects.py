@@ -319,12 +319,17 @@ def properties(spark: SparkSession, root: str) -> DataFrame:
     return put.groupBy("key").agg(newest.alias("p")).select("key", "p.content_type", "p.metadata")
 
 
-def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(key, text) of all objects below ``root``, each read whole."""
-    base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
-    # the path comes as an address, in which a plus sign stands for itself
-    path = F.url_decode(F.replace(F.regexp_replace("path", r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))
-    return texts(spark, root, pattern).select(F.substring(path, F.length(base) + 2, F.length(path)).alias("key"), "text")
+def dealt(keys: DataFrame) -> DataFrame:
+    """Rows of a listing dealt evenly: a task of the listing may hold a whole branch."""
+    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism)
+
+
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """(key, text) of all objects below ``root``, each read whole: listed by tasks and read by the tasks that the keys are dealt to.
+
+    (A file reader would list all folders, a task for a few of them, and keep every object's status at the driver.)
+    """
+    return fetched(dealt(listed(spark, root).select("key")), root)
 
 
 def fetched(keys: DataFrame, root: str, key: str = "key", text: str = "text") -> DataFrame:

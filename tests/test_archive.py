@@ -134,3 +134,12 @@ def test_a_single_folder_at_the_top_is_listed_by_many_tasks(spark, tmp_path):
             found = df.where(F.startswith("key", F.lit(begins)))
             assert {r["key"] for r in found.collect()} == {k for k in want if k.startswith(begins)}, (tasks, begins)
     assert objects.listed(spark, str(tmp_path)).where("startswith(key, 'dev/u1/')").rdd.getNumPartitions() < 10
+
+
+def test_contents_are_read_by_the_tasks_of_a_listing(spark, tmp_path):
+    """No reader of files lists the folders or keeps their objects at the driver."""
+    root = f"{tmp_path}/objects"
+    objects.put_objects(spark.range(30).selectExpr("concat('u', id % 3, '/v', id, '/_x.txt') AS key", "CAST(CAST(id AS STRING) AS BINARY) AS content"), root)
+    read = objects.contents(spark, root)
+    assert read.inputFiles() == []
+    assert {r["key"]: r["text"] for r in read.collect()} == {f"u{k % 3}/v{k}/_x.txt": str(k) for k in range(30)}
