@@ -151,7 +151,10 @@ def watched(push: DataFrame, done: Callable[[DataFrame], bool], name: str, poll:
                 if watch.ended.is_set() or not query.isActive:
                     return "ended"
                 if time.monotonic() >= watch.heard + patience:
-                    return "quiet"
+                    # a batch that takes longer than the patience is no silence
+                    if not query.status["isDataAvailable"]:
+                        return "quiet"
+                    watch.heard = time.monotonic()
             return "late"
         finally:
             query.stop()

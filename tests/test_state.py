@@ -267,3 +267,14 @@ def test_a_key_has_one_timer_at_a_time():
     out = list(job.handleExpiredTimer(("a",), clock, SimpleNamespace(getExpiryTimeInMs=lambda: armed[0])))
     assert [(r["fired"], r["wiped"]) for r in out] == [(2 * HOUR, 1), (3 * HOUR, 1), (4 * HOUR, 1)]
     assert armed == [2 * HOUR // 1000, 5 * HOUR // 1000] and len(log) == 2 and len(due) == 2
+
+
+def test_a_watch_waits_for_a_batch_that_takes_long(spark, places):
+    def slow(batches):
+        time.sleep(12)
+        yield from batches
+
+    send(spark, places, ["a", "b"])
+    push = inbox.messages(spark, places.inbox).select("body").mapInArrow(slow, "body string")
+    rows, how = tracking.watched(push, lambda x: x.count() == 2, "slow-watch", every="200 milliseconds", quiet_s=6, timeout_s=60)
+    assert (how, rows.count()) == ("done", 2)
