@@ -278,3 +278,27 @@ def test_a_watch_waits_for_a_batch_that_takes_long(spark, places):
     push = inbox.messages(spark, places.inbox).select("body").mapInArrow(slow, "body string")
     rows, how = tracking.watched(push, lambda x: x.count() == 2, "slow-watch", every="200 milliseconds", quiet_s=6, timeout_s=60)
     assert (how, rows.count()) == ("done", 2)
+
+
+def test_what_is_due_by_a_jobs_own_updates_is_wiped_on_arrival():
+    """A batch of many hours leaves the last ones in the state only, and what was held before fires with them."""
+
+    class Listed(list):
+        get = list.__iter__
+        appendList = list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    log, due, armed, dropped = Listed(), Listed(), [], []
+    job = state.JobLog("event", delay_ms=600_000)
+    job.init(SimpleNamespace(getListState=lambda name, schema: {"log": log, "due": due}[name], registerTimer=armed.append, deleteTimer=dropped.append))
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0, getCurrentWatermarkInMs=lambda: 0)
+    rows = [{"job_id": "a", "at": BASE + m * HOUR // 60, "id": m, "status": "completed" if m % 30 == 0 else "running"} for m in range(0, 3000, 10)]
+    out, sizes = [], []
+    for part in (rows[:1], rows[1:200], rows[200:201], rows[201:]):
+        out += job.handleInputRows(("a",), iter([SimpleNamespace(**r) for r in part]), clock)
+        sizes.append((len(log), len(due)))
+    until = rows[-1]["at"] - 600_000_000
+    assert (sorted(r["wiped"] for r in out), len(log)) == fold(rows, HOUR, until)["a"]
+    assert sizes[0] == (1, 1) and max(sizes) <= (10, 3) and set(armed) - set(dropped) == {-(-due[0][0] // 1000)}
