@@ -6,14 +6,14 @@ at a similarity of about 0.8 mostly differ in more bits, bands of minima of the
 8 bands of 4, a pair at 0.8 shares a band with probability 0.985. Each proposed pair is then compared by its exact
 shingle sets, and only those at the threshold or above are links.
 
-A bucket proposes a star: each member with the least one. Members whose link to it does not hold are compared with
-their neighbours in the order of fingerprints, as far as these are not linked yet. So proposals grow with the rows. Buckets
-above a size are dealt into parts, whose least members meet again.
+A bucket first proposes a star: each member with the least one, and large buckets are dealt into parts, whose least
+members meet again. What that does not bring together is settled exactly: of every bucket, and of every chain of
+near fingerprints, with members in more than one component, all pairs across components are compared, in
+tiles of two blocks of members, so that a task holds a tile and no bucket. So no pair that a source proposes is dropped.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallylake.llm.common import arrow_map, components, materialize, per_batch, release, utf8
-from rallylake.llm.simhash import SEED, fingerprint_of, links
+from rallylake.llm.simhash import RADIUS, SEED, fingerprint_of, links
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 4
@@ -47,8 +47,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: bytes, bands: int = BANDS, rows: int = ROWS) -> tuple[bytes, int, np.ndarray]:
-    """(digest of the words, SimHash of three-word shingles, keys of the bands), the numbers unsigned."""
+def _hashed(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(digest of the words, hashes of the three-word shingles, hashes of the five-word ones), repeats included."""
     words = text.lower().split()
     whole = xxhash.xxh3_128_digest(b" ".join(words))
     if len(words) < 3:
@@ -57,6 +57,12 @@ def signature(text: bytes, bands: int = BANDS, rows: int = ROWS) -> tuple[bytes,
         grams = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(3)))), repeat(SEED)), np.uint64)
     # five words are the first three and the last three of them
     five = _mixed(grams[:-2] * np.uint64(0x9E3779B97F4A7C15) + grams[2:]) if len(words) >= SHINGLE else np.frombuffer(whole[:8], np.uint64)
+    return whole, grams, five
+
+
+def signature(text: bytes, bands: int = BANDS, rows: int = ROWS) -> tuple[bytes, int, np.ndarray]:
+    """(digest of the words, SimHash of three-word shingles, keys of the bands), the numbers unsigned."""
+    whole, grams, five = _hashed(text)
     keys = np.empty(bands * rows, np.uint64)
     for k in range(bands * rows):
         keys[k] = _mixed(five ^ np.uint64((k + 1) * 0xD1342543DE82EF95 % (1 << 64))).min()
@@ -97,27 +103,86 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(least[~new]), pa.array(row[~new])], names=["a", "b"])
 
 
-def _neighbours(width: int):
-    """Rows (band, key, part, fp, component, row) in that order: each with the ``width`` before it in its bucket that are of other components."""
-
+def _similar(fives: list[np.ndarray], fp: np.ndarray, component: np.ndarray, low: np.ndarray, across: bool, radius: int | None, threshold: float) -> Iterator[tuple[int, int]]:
+    """Places of the pairs whose sets of hashes have about the similarity, but for those that surer pairs and ``component`` connect already.
+    ``across``: only pairs of a member of ``low`` with another; ``radius``: only pairs of fingerprints within it."""
+    sizes = np.array([len(x) for x in fives])
+    ids, at = np.unique(np.concatenate(fives), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    label, mark = component.copy(), np.zeros(len(ids), np.uint8)
+    for x in np.flatnonzero(low) if across else range(len(fives)):
+        other = (label != label[x]) & (np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x]))
+        if across:
+            other &= ~low
+        else:
+            other[: x + 1] = False
+        if radius is not None:
+            other &= np.bitwise_count((fp ^ fp[x]).view(np.uint64)) <= radius
+        near = np.flatnonzero(other)
+        if not len(near):
+            continue
+        own = at[starts[x] : starts[x] + sizes[x]]
+        mark[own] = 1
+        # no set is empty, so each has a sum of its own
+        both = np.add.reduceat(mark[at], starts, dtype=np.int64)[near] if 8 * len(near) > len(fives) else np.array([np.count_nonzero(mark[at[starts[y] : starts[y] + sizes[y]]]) for y in near])
+        mark[own] = 0
+        # of hashes: what is close to the threshold is told to the exact sets, and connects nothing here
+        bound = threshold * (sizes[x] + sizes[near] - both)
+        for y, sure in zip(near[both >= 0.99 * bound], (both >= 1.01 * bound)[both >= 0.99 * bound], strict=True):
+            if label[y] != label[x]:
+                yield x, y
+                if sure:
+                    label[label == label[y]] = label[x]
+
+
+def _tiles(threshold: float):
+    """Rows (band, key, lo, hi, block, component, row, fp, text), a tile after the other: pairs of the tile that are about similar by the
+    hashes of their shingles. In a tile of two blocks only members of different blocks are compared, those of one block have a tile of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, deque(maxlen=width)
-        for batch in batches:
+        last, held = None, []
+
+        def compared() -> pa.RecordBatch:
             a, b = [], []
-            for band, key, part, component, row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True):
-                if (band, key, part) != last:
-                    last = (band, key, part)
-                    seen.clear()
-                for c, r in seen:
-                    if c != component:
-                        a.append(min(r, row))
-                        b.append(max(r, row))
-                seen.append((component, row))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if len(held) > 1:
+                block, component, row, fp = (np.array(x, np.int64) for x in zip(*(h[:4] for h in held), strict=True))
+                for x, y in _similar([h[4] for h in held], fp, component, block == last[2], last[2] != last[3], RADIUS if last[0] < 0 else None, threshold):
+                    a.append(min(row[x], row[y]))
+                    b.append(max(row[x], row[y]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *tile, block, component, row, fp, text in zip(*(batch.column(k).to_pylist() for k in range(8)), utf8(batch.column(8)), strict=True):
+                if tile != last:
+                    if last is not None:
+                        yield compared()
+                    last, held = tile, []
+                # a text without words is like no other
+                if text.strip():
+                    held.append((block, component, row, fp, np.unique(_hashed(text)[2])))
+            pa.default_memory_pool().release_unused()
+        if last is not None:
+            yield compared()
 
     return run
 
 
+def _across(groups: DataFrame, found: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b): similar pairs of rows that share a group (band, key) and are in different components of ``found``. Of groups
+    (band, key, row, fp) with more than one component every pair is in one tile of two blocks of about ``size`` members."""
+    placed = materialize(groups.join(found.withColumnRenamed("node", "row"), "row", "left").select("band", "key", "row", "fp", F.coalesce("component", "row").alias("component")), "placed")
+    several = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    blocks = several.select("band", "key", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("blocks"))
+    member = placed.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "row", "fp")
+    tile = ["band", "key", "lo", "hi"]
+    rows = texts.join(tiles.hint("merge"), "row").select(*tile, "block", "component", "row", "fp", "text").repartition(*tile).sortWithinPartitions(*tile, "row")
+    # written, so that a task never runs two Python workers at once
+    out = materialize(rows.transform(arrow_map, _tiles(threshold), "a long, b long").distinct(), "across")
+    release(placed)
+    return out
+
+
 def _dealt(points: DataFrame, hot: int) -> DataFrame:
     """``points`` (band, key, ...) of buckets with two rows or more, with ``part``: large buckets are dealt by row."""
     sizes = points.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -171,7 +236,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, h
     return materialize(rows.transform(arrow_map, _verify(threshold), "a long, b long"), "links")
 
 
-def classes(texts: DataFrame, threshold: float = THRESHOLD, hot: int = 4096, width: int = 4) -> DataFrame:
+def classes(texts: DataFrame, threshold: float = THRESHOLD, hot: int = 4096, tile: int = 256) -> DataFrame:
     """(row, component) for every row of ``texts`` (row long, text string): the least row that chains of links reach."""
     signed = materialize(_signatures(texts), "signatures")
     same = materialize(signed.groupBy("same").agg(F.min("row").alias("rep")), "classes")
@@ -182,13 +247,14 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD, hot: int = 4096, wid
     # texts of one fingerprint, and fingerprints within the radius
     heads = materialize(reps.groupBy("fp").agg(F.min("row").alias("node")), "fingerprints")
     alike = reps.join(heads, "fp").where("row <> node").select(F.col("node").alias("a"), F.col("row").alias("b"))
-    near = links(heads, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = materialize(links(heads, hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near")
     first = verified(stars.union(alike).union(near), some, threshold, hot)
     found = materialize(components(first), "first-components")
-    placed = dealt.join(found.withColumnRenamed("node", "row"), "row", "left").select("band", "key", "part", "fp", F.coalesce("component", "row").alias("component"), "row")
-    order = ["band", "key", "part", "fp", "component", "row"]
-    again = placed.repartition("band", "key", "part").sortWithinPartitions(order).transform(arrow_map, _neighbours(width), "a long, b long")
-    every = first.union(verified(again, some, threshold, hot))
+    # fingerprints within the radius are in one chain, whose least node names it
+    chains = heads.join(components(near), "node", "left").select("fp", F.coalesce("component", "node").alias("key"))
+    chained = reps.join(chains, "fp").select(F.lit(-1).alias("band"), "key", "row", "fp")
+    groups = dealt.select("band", "key", "row", "fp").union(chained)
+    every = first.union(verified(_across(groups, found, some, threshold, tile), some, threshold, hot))
     joined = materialize(components(every).withColumnRenamed("node", "rep"), "components")
     release(dealt)
     return signed.join(same, "same").join(joined, "rep", "left").select("row", F.coalesce("component", "rep").alias("component"))

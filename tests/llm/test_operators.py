@@ -701,6 +701,25 @@ def check_classes(spark, texts, recall, hot=4096):
     return got
 
 
+@pytest.mark.parametrize(("hot", "tile"), [(4096, 256), (3, 256), (4096, 5), (3, 5)])
+def test_no_member_of_a_bucket_loses_its_partner(spark, hot, tile):
+    """Texts share most of their words, so that one bucket holds many of them, and only one other of each is similar enough."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    common, texts = rng.choices(words, k=170), []
+    for _ in range(60):
+        own = rng.choices(words, k=34)
+        texts += [" ".join(common + own), " ".join(common[3:] + own[:-5])]
+    rng.shuffle(texts)
+    made = [neardup.signature(t.encode()) for t in texts]
+    proposed = [(i, j) for i, j in similar_pairs(texts) if (made[i][2] == made[j][2]).any() or (made[i][1] ^ made[j][1]).bit_count() <= 3]
+    assert 50 < len(proposed) <= 60
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r["row"]: r["component"] for r in (neardup.classes(df, hot=hot, tile=tile) if tile != 256 else neardup.classes(df, hot=hot)).collect()}
+    assert [p for p in proposed if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == len(texts) - len(proposed)
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_near_duplicates_are_those_of_all_pairs(spark, hot):
     texts = near_copies(random.Random(8), 40) + [None, "", " \n", "one two", "One  two", "one two three", "a b c d e", "A b c d e", "a b c d f"]
