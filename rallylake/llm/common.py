@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,15 +114,49 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
     return run
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+#: What a worker that is used again keeps from task to task, of one kind at a time: its kind, its key and the value.
+_kept: list = []
+
+
+def kept(kind: str, key, make: Callable):
+    """``make()``, made once in a worker for all tasks of this kind and key; the maps that ask for it name the kind."""
+    if not (_kept and _kept[0] == kind and (_kept[1] is key or _kept[1] == key)):
+        let_go()
+        _kept[:] = [kind, key, make()]
+    return _kept[2]
+
+
+def let_go(kind: str | None = None) -> None:
+    """Free what the worker keeps of any other kind."""
+    if _kept and _kept[0] != kind:
+        _kept.clear()
+        gc.collect()
+
+
+def trim() -> None:
+    """Give memory that is free in this process back to the machine; C libraries without such a call keep theirs."""
+    pa.default_memory_pool().release_unused()
+    if back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        back(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str | None = None) -> DataFrame:
     """``df.mapInArrow`` with Arrow batches of about 8 MB, whatever the length of the texts.
 
-    A size that the session has been given other than Spark's default is kept.
+    A size that the session has been given other than Spark's default is kept. ``keeps`` is the kind of what the tasks
+    get from :func:`kept`; what workers have kept of other kinds, for the operators before, goes when a task begins,
+    and what a task no longer uses when it ends.
     """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
+        yield from run(batches)
+        trim()
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
         conf.set(key, "8m")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import WORDS, arrow_map, materialize, merged, per_batch, scratch_path, utf8
+from rallylake.llm.common import WORDS, arrow_map, kept, materialize, merged, per_batch, scratch_path, utf8
 
 WINDOW = 13
 
@@ -88,14 +88,9 @@ def tables(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[list[W
     return [WuManber(runs, min(n for _, n in runs)) for runs in classes.values()], owners
 
 
-_built: list = []
-
-
 def _tables_once(items: list, window: int):
     """The tables of a broadcast value, built once in a worker that is used again."""
-    if not (_built and _built[0] is items and _built[1] == window):
-        _built[:] = [items, window, tables(items, window)]
-    return _built[2]
+    return kept("windows", (items, window), lambda: tables(items, window))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -121,13 +116,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         return spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in part.collect()])
 
     if blocks == 1:
-        now = now.transform(arrow_map, per_batch(_search(sent(0), window)), now.schema)
+        now = now.transform(arrow_map, per_batch(_search(sent(0), window)), now.schema, "windows")
     else:
         now = materialize(now.withColumn("row", F.monotonically_increasing_id()), "texts")
         path = scratch_path(spark, "hits")
         for k in range(blocks):
             shared, some = sent(k), now.select("row", "text", "n", "hits", "names")
-            found = some.transform(arrow_map, per_batch(_search(shared, window)), some.schema).drop("text")
+            found = some.transform(arrow_map, per_batch(_search(shared, window)), some.schema, "windows").drop("text")
             # the first block's rows are all kept, for the counts of words
             (found if k == 0 else found.where("size(hits) > 0")).write.mode("append").parquet(path)
             shared.destroy()

@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for part in portions(batch, 1):
+            for part in portions(batch, 1, 1 << 21):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     packer.add(doc_id, np.append(ids, end).astype("<u4", copy=False))
                 if packer.rows:
@@ -150,4 +150,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
         if packer.rows:
             yield rows()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, PIECE, "tokens")

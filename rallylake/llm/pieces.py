@@ -21,7 +21,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallylake.llm.common import arrow_map, portions
+from rallylake.llm.common import arrow_map, kept, portions
 from rallylake.llm.tokens import ChunkEncoder
 
 SPACE = "▁"
@@ -268,10 +267,9 @@ class PieceEncoder(ChunkEncoder):
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, checked: bool) -> PieceEncoder:
-    """The worker's encoder for a model file."""
-    return PieceEncoder(path, checked=checked)
+    """The worker's encoder for a model file; maps that use it keep "pieces"."""
+    return kept("pieces", (path, checked), lambda: PieceEncoder(path, checked=checked))
 
 
 def encode_decode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True, whole_every: int = 16) -> DataFrame:
@@ -299,4 +297,4 @@ def encode_decode(docs: DataFrame, model: str | None = None, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, "doc_id long, ids array<int>, decoded string", "pieces")

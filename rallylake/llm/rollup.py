@@ -61,7 +61,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, revise=without_repeat
 
         return f
 
-    return docs.transform(arrow_map, per_batch(make), "doc_id long, source string, lang string, tokenizer string, tokens long, revised_tokens long")
+    return docs.transform(arrow_map, per_batch(make), "doc_id long, source string, lang string, tokenizer string, tokens long, revised_tokens long", "tokens")
 
 
 def inserts(counts: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -4,20 +4,21 @@ The tokenizer is used as its file loads: strings of its special tokens have the
 It (word BPE: lower case, white space dropped) never joins across ASCII white space, so the ids of a
 text are those of its chunks. Arrow splits a batch and numbers its distinct chunks; each
 of these is encoded by the library once, and the ids of the texts are gathered from the kept ones. The
-cache lives as long as the Python worker; when it is full, what few batches had goes.
+cache lives until the Python worker gets a task of another operator; when it is full, what few batches had goes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from rallylake.llm.common import kept
+
 #: Chunks that a Python worker keeps at most, beside those of the batch at hand.
 CACHE = 400_000
 #: Chunks whose ids are gathered at once.
@@ -130,7 +131,6 @@ class ChunkEncoder:
         return np.split(ids, ends[offsets[1:-1]]) if len(texts) else []
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file."""
-    return ChunkEncoder(path)
+    """The worker's encoder for a vocabulary file; maps that use it keep "tokens"."""
+    return kept("tokens", path, lambda: ChunkEncoder(path))

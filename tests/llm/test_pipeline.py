@@ -2,10 +2,12 @@
 
 import re
 
+import pyarrow as pa
 from test_operators import brute_decontaminate, brute_secrets, check_packing, lower, similar_pairs
 
 import corpus_pipeline
-from rallylake.llm import secrets
+from rallylake.llm import packing, secrets
+from rallylake.llm.common import arrow_map
 
 
 def test_stages(spark, small):
@@ -62,3 +64,20 @@ def test_run_and_odd_rows(spark, small, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(tmp_path / f"none/{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_worker_keeps_tables_of_one_operator(spark, small):
+    """What one stage's tasks keep in a worker that is used again is gone in the next stage's."""
+
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "ChunkEncoder" for x in gc.get_objects())])], names=["n"])
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").repartition(8)
+    packed = lambda: sorted(r["ids_crc32"] for r in packing.pack(docs).collect())
+    before = packed()
+    assert {r["n"] for r in arrow_map(docs.select("doc_id"), alive, "n long").collect()} == {0}
+    # nor does that change what is packed when its turn comes again
+    assert packed() == before
