@@ -6,21 +6,23 @@ is a piece, best score first and of equal scores the leftmost; the top pair beco
 new neighbours enter the agenda, and a pair whose symbols have changed since is passed over. Symbols
 that are no piece become the ids of their UTF-8 bytes where the model has these, else the unknown id.
 
-No piece of such a vocabulary holds ``▁`` after another character, so no merge crosses from a word to
-the white space behind it: the ids of a text are those of its chunks (white space and the word behind
-it), and a worker keeps the ids of chunks that it has seen. A vocabulary that has such pieces gets one chunk a text.
-
-Chunks of one length are merged side by side as rows of a matrix, each row's best pair in each step;
-long ones have a heap as agenda. Decoding gathers the bytes of all pieces. In every Arrow batch the library encodes each chunk that is
-new, and some whole texts; a difference is an error.
+A merge makes a piece, so none crosses from a character to the next where no piece holds the two side by
+side (a word and the white space, comma or full stop behind it, two digits): the ids of a text are those of its
+chunks between such places, and a worker keeps the ids of chunks that it has seen. Without ids for bytes a run of
+unknown characters is one id, so that chunks begin only at the white space before a word.
+
+Numpy finds these places for a portion of the texts at once, Arrow numbers the distinct chunks. Short ones are merged
+side by side as columns of a matrix, the best pair of each in each step; long ones have a heap as agenda. Decoding
+gathers the bytes of all pieces. In every Arrow batch the library encodes each chunk that is new, many a call between
+characters that join none, and some whole texts; a difference is an error.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +37,10 @@ from rallylake.llm.tokens import ChunkEncoder
 SPACE = "▁"
 #: What the library prints for an unknown id where the model does not say.
 UNKNOWN = " ⁇ "
+#: Chunks that one call of the library checks.
+MARKED = 256
+#: Chunks that are merged side by side, the places in them that are told apart, and what a pair that makes no piece has as rank.
+COLUMNS, PLACES, NONE = 4096, 64, 1 << 62
 
 
 def agenda(text: str, costs: dict[str, float]) -> list[str]:
@@ -66,7 +72,7 @@ def agenda(text: str, costs: dict[str, float]) -> list[str]:
 class PieceEncoder(ChunkEncoder):
     """Ids and texts by one model file; the cache of chunks is that of the word tokenizer."""
 
-    #: Chunks of up to so many characters are merged side by side, longer ones by :func:`agenda`.
+    #: Chunks of up to so many characters (at most ``PLACES`` less 2) are merged side by side, longer ones by :func:`agenda`.
     SHORT = 48
 
     def __init__(self, path: str, cache: int = 300_000, checked: bool = True):
@@ -83,15 +89,34 @@ class PieceEncoder(ChunkEncoder):
         self.bytes_of = {int(names[k][3:5], 16): k for k in ids if self.single[k]}
         self.id_of = {names[k]: k for k in ids if not special[k]}
         self.costs = {x: -sp.get_score(k) for x, k in self.id_of.items()}
-        self.pattern = re.compile(".+" if any(SPACE in x.lstrip(SPACE) for x in self.id_of) else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.S)
         self.prefixed = sp.normalize("a") == SPACE + "a"
         raw = [b"" if self.silent[k] else UNKNOWN.encode() if unknown[k] else bytes([int(names[k][3:5], 16)]) if self.single[k] else names[k].replace(SPACE, " ").encode() for k in ids]
         self.widths = np.fromiter(map(len, raw), np.int64, len(raw))
         self.begins, self.raw = np.cumsum(self.widths) - self.widths, np.frombuffer(b"".join(raw), np.uint8)
         self.opens = np.array([x.startswith(SPACE) for x in names]) & ~special
         self._pairs()
+        self._neighbours()
         self._clear()
 
+    def _neighbours(self) -> None:
+        """Which characters some piece holds side by side, as a table of numbers of left and right ones (0: any other)."""
+        joined = {x[k : k + 2] for x in self.id_of for k in range(len(x) - 1)}
+        self.left_of, self.right_of = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        for numbers, k in ((self.left_of, 0), (self.right_of, 1)):
+            chars = sorted({ord(x[k]) for x in joined})
+            numbers[chars] = np.arange(1, len(chars) + 1)
+        pairs = np.array([(ord(a), ord(b)) for a, b in joined], np.int64).reshape(-1, 2)
+        self.joins = np.zeros((self.left_of.max() + 1, self.right_of.max() + 1), bool)
+        self.joins[self.left_of[pairs[:, 0]], self.right_of[pairs[:, 1]]] = True
+        # what stands between chunks in a call of the library: a character of one id that no piece joins to another
+        alone = (c for c in map(chr, range(1, 128)) if not self.left_of[ord(c)] and not self.right_of[ord(c)])
+        self.mark = None
+        for c in alone if self.prefixed and self.bytes_of else ():
+            ids = self.library.encode(c + c)
+            if self.library.normalize(c + c) == SPACE + c + c and len(ids) == 3 and ids[1] == ids[2]:
+                self.mark, self.marked = c, ids[:2]
+                break
+
     def _pairs(self) -> None:
         """Numbers of symbols (pieces, then characters that are only parts of pieces, then any others by
         code point) and, by pair of numbers, the piece that the two make and its cost."""
@@ -108,51 +133,59 @@ class PieceEncoder(ChunkEncoder):
         self.wide = first + 0x110000
         made = sorted((symbols[x[:n]] * self.wide + symbols[x[n:]], k) for x, k in self.id_of.items() for n in range(1, len(x)) if x[:n] in symbols and x[n:] in symbols)
         self.keys, self.made = (np.array(c, np.int64) for c in zip(*made, strict=True))
-        self.made_cost = np.array([-self.library.get_score(k) for k in self.made.tolist()])
+        cost = np.array([-self.library.get_score(k) for k in self.made.tolist()])
+        self.rank = np.unique(cost, return_inverse=True)[1].astype(np.int64)
 
-    def _cost(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per pair of symbols the piece that they make and its cost, infinite where they make none."""
+    def _best(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per pair of symbols (-1: none) the piece that they make, and the rank of its cost with the pair's
+        place behind it, so that the least is the best and of equal ones the leftmost; ``NONE`` where they make none."""
         key = a * self.wide + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.made[at], np.where(self.keys[at] == key, self.made_cost[at], np.inf)
-
-    def _side_by_side(self, x: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Merge the rows of ``x``, texts of one length as symbols: in each step every row's best pair,
-        the leftmost of equal ones. Yields (rows, symbols) as they are done."""
-        made, cost = self._cost(x[:, :-1], x[:, 1:])
-        while len(x):
-            if x.shape[1] == 1:
-                yield rows, x
-                return
-            best = cost.argmin(axis=1)
-            more = cost[np.arange(len(x)), best] < np.inf
-            if not more.all():
-                yield rows[~more], x[~more]
-                x, rows, made, cost, best = x[more], rows[more], made[more], cost[more], best[more]
-            n, every = x.shape[1], np.arange(len(x))
-            x[every, best] = made[every, best]
-            keep = np.arange(n) != best[:, None] + 1
-            x = x[keep].reshape(len(x), n - 1)
-            keep = np.arange(n - 1) != best[:, None]
-            made, cost = made[keep].reshape(len(x), n - 2), cost[keep].reshape(len(x), n - 2)
-            for side in (-1, 0):  # the pairs before and behind the new symbol
-                at = best + side
-                fine = (at >= 0) & (at < n - 2)
-                r, c = every[fine], at[fine]
-                made[r, c], cost[r, c] = self._cost(x[r, c], x[r, c + 1])
+        return self.made[at], np.where(self.keys[at] == key, self.rank[at] * PLACES + place, NONE)
+
+    def _side_by_side(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the columns of ``x``, texts as symbols between -1s (one at least before and behind each): in
+        each step every column's best pair, the leftmost of equal ones. How many symbols each has then, and all of them."""
+        n, m = x.shape
+        every = np.repeat(np.arange(n), m)
+        made, best = np.zeros(n * m, np.int64), np.full(n * m, NONE)
+        x, before, after = x.ravel(), every - 1, every + 1
+        made[:-m], best[:-m] = self._best(x[:-m], x[m:], every[:-m])
+        while True:
+            least = best.reshape(n, m).min(axis=0)
+            column = np.flatnonzero(least < NONE)
+            if not len(column):
+                break
+            place = least[column] % PLACES
+            left = place * m + column
+            right = after[left] * m + column
+            x[left], x[right], best[right] = made[left], -1, NONE
+            after[left] = after[right]
+            then, first = after[left] * m + column, before[left] * m + column
+            before[then] = place
+            made[left], best[left] = self._best(x[left], x[then], place)
+            made[first], best[first] = self._best(x[first], x[left], before[left])
+        x = x.reshape(n, m).T
+        return (x >= 0).sum(axis=1), x[x >= 0]
 
     def _merged(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each chunk has, and the ids of all."""
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         flat = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")]
         begins, done = np.cumsum(lengths) - lengths, []
-        for n in np.unique(lengths[lengths <= self.SHORT]).tolist():
-            rows = np.flatnonzero(lengths == n)
-            done += self._side_by_side(flat[begins[rows][:, None] + np.arange(n)], rows)
+        order = np.argsort(lengths, kind="stable")[: np.count_nonzero(lengths <= self.SHORT)]
+        for at in range(0, len(order), COLUMNS):
+            rows = order[at : at + COLUMNS]
+            place = np.arange(lengths[rows[-1]])[:, None]
+            x = np.full((len(place) + 2, len(rows)), -1)
+            x[1:-1] = np.where(place < lengths[rows], flat[np.minimum(begins[rows] + place, len(flat) - 1)], -1)
+            counts, symbols = self._side_by_side(x)
+            done.append((np.repeat(rows, counts), symbols))
         for k in np.flatnonzero(lengths > self.SHORT).tolist():
-            done.append((np.array([k]), np.array([[self.symbols.get(x, self.first + ord(x[0])) for x in agenda(chunks[k], self.costs)]])))
-        rows = np.concatenate([np.zeros(0, np.int64), *(np.repeat(r, x.shape[1]) for r, x in done)])
-        ids = np.concatenate([np.zeros(0, np.int64), *(x.ravel() for _, x in done)])
+            symbols = np.array([self.symbols.get(x, self.first + ord(x[0])) for x in agenda(chunks[k], self.costs)])
+            done.append((np.repeat(k, len(symbols)), symbols))
+        rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in done)])
+        ids = np.concatenate([np.zeros(0, np.int64), *(x for _, x in done)])
         order = np.argsort(rows, kind="stable")
         rows, ids = rows[order], ids[order]
         rows, ids = self._spelled(rows, ids)
@@ -182,33 +215,60 @@ class PieceEncoder(ChunkEncoder):
         out[spelled] = flat[(np.repeat(which, sizes) + within)[spelled]]
         return np.repeat(rows, sizes), out
 
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, one after another, and where each text's chunks begin and end."""
+        lines = self.library.normalize(texts.fill_null("").to_pylist())
+        whole = "".join(lines)
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))])
+        cut = np.ones(len(points) + 1, bool)
+        cut[1:-1] = ~self.joins.ravel()[self.left_of[points[:-1]] * self.joins.shape[1] + self.right_of[points[1:]]]
+        if not self.bytes_of:
+            cut[1:-1] &= (points[1:] == ord(SPACE)) & (points[:-1] != ord(SPACE))
+        cut[ends] = True
+        raw = whole.encode()
+        begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[np.flatnonzero(cut[:-1])]
+        chunks = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw))), pa.py_buffer(raw))
+        return chunks, np.concatenate([[0], np.cumsum(cut[:-1])])[ends]
+
     def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        find, get = self.pattern.findall, self.known.get
-        split = [find(x) for x in self.library.normalize(texts.fill_null("").to_pylist())]
-        names = [x for row in split for x in row]
-        numbers = list(map(get, names))
-        if None in numbers:
-            fresh = list(dict.fromkeys(x for x, k in zip(names, numbers, strict=True) if k is None))
-            if len(self.known) + len(fresh) > self.size and len(self.known) > 1:
+        split, offsets = self._split(texts)
+        coded = split.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = self._numbers(names)
+        new = numbers < 0
+        if new.any():
+            if len(self.known) + np.count_nonzero(new) > self.size and len(self.known) > 1:
                 self._shrink()
-                fresh = list(dict.fromkeys(x for x in names if x not in self.known))
+                numbers = self._numbers(names)
+                new = numbers < 0
+            fresh = names[new].tolist()
             lengths, ids = self._merged(fresh)
-            if self.checked and self.prefixed:
+            if self.checked and self.mark:
                 self._check(fresh, lengths, ids)
+            numbers[new] = np.arange(len(self.known), len(self.known) + len(fresh))
             self._add(fresh, lengths, ids)
-            numbers = list(map(self.known.__getitem__, names))
-        numbers = np.array(numbers, np.int64)
-        self.uses[np.unique(numbers)] += 1
-        return numbers, np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+        self.uses[numbers] += 1
+        return numbers[coded.indices.to_numpy()], offsets
+
+    def _numbers(self, names: np.ndarray) -> np.ndarray:
+        """The number of each chunk, -1 for those not known."""
+        return np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
 
     def _check(self, chunks: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        """Raise unless the library has the same ids for every chunk, each as a text of its own."""
-        # the library puts the first mark before a text, but not before an empty one
-        own = [k for k, x in enumerate(chunks) if x[:1] == SPACE and x != SPACE]
-        ends = np.cumsum(lengths)
-        for k, found in zip(own, self.library.encode([chunks[k][1:] for k in own], num_threads=1), strict=True):
-            if ids[ends[k] - lengths[k] : ends[k]].tolist() != found:
-                raise ValueError(f"chunk {chunks[k]!r}: ids differ from the library's")
+        """Raise unless the library has the same ids for every chunk, each between marks that join none."""
+        ends, (first, mark) = np.cumsum(lengths), self.marked
+        for at in range(0, len(chunks), MARKED):
+            part = chunks[at : at + MARKED]
+            begins = ends[at : at + len(part)] - lengths[at : at + len(part)]
+            own = ids[begins[0] : ends[at + len(part) - 1]]
+            own = np.concatenate([[first], np.insert(own, begins - begins[0], mark), [mark]])
+            if np.array_equal(own, self.library.encode(self.mark.join(["", *part, ""]))):
+                continue
+            for x, a, n in zip(part, begins.tolist(), lengths[at : at + len(part)].tolist(), strict=True):
+                if self.library.encode(self.mark + x + self.mark) != [first, mark, *ids[a : a + n].tolist(), mark]:
+                    raise ValueError(f"chunk {x!r}: ids differ from the library's")
+            raise ValueError(f"chunks {part[0]!r} to {part[-1]!r}: ids differ from the library's")
 
     def compare(self, names: pa.Array, texts: pa.Array, rows: Sequence[np.ndarray], decoded: list[str], every: int = 1) -> None:
         """Raise unless the library has the same ids and text for every text, or for one in ``every`` by its CRC."""
@@ -280,7 +340,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     pieces in a text are ordinary text. Null and empty texts have no ids and decode to the empty text. Rows with
     equal ids or texts are encoded each for itself; an empty table gives no rows. With ``check`` the library
     encodes every chunk of an Arrow batch that the worker has not met, and encodes and decodes one whole text in
-    ``whole_every`` (1: all; all for a model that puts no mark before a text); a difference raises an error that names the chunk or row.
+    ``whole_every`` (1: all; all for a model that puts no ``▁`` before a text or has no ids for bytes); a difference raises an error that names the chunk or row.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -291,7 +351,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, id_col: str = "doc_
                 rows = own.encode(part.column(1))
                 decoded = own.decode(rows)
                 if check:
-                    own.compare(part.column(0), part.column(1), rows, decoded, whole_every if own.prefixed else 1)
+                    own.compare(part.column(0), part.column(1), rows, decoded, whole_every if own.mark else 1)
                 flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *rows]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])

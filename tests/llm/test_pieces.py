@@ -97,3 +97,36 @@ def test_a_wrong_chunk_is_an_error(monkeypatch):
     monkeypatch.setattr(own, "_merged", lambda chunks: (merged(own, chunks)[0], merged(own, chunks)[1] + np.uint32(1)))
     with pytest.raises(ValueError, match="chunk"):
         own.encode(pa.array(["some words"]))
+
+
+def test_a_word_is_kept_once_whatever_stands_behind_it(library):
+    own, words = pieces.PieceEncoder(MODEL), [f"w{a}rd{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(f"{w}{mark}{n}" for n, w in enumerate(words)) for mark in ".,;:!?"]
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [library.encode(x) for x in texts]
+    # 600 chunks of white space, word, mark and number, of which no piece crosses these bounds
+    assert len(own.known) < 150
+
+
+@pytest.mark.parametrize("text", ["some, words", "nine 9", "x\U0001f600"])
+def test_a_wrong_chunk_without_white_space_is_an_error(monkeypatch, text):
+    own, merged = pieces.PieceEncoder(MODEL), pieces.PieceEncoder._merged
+
+    def wrong(chunks):
+        lengths, ids = merged(own, chunks)
+        begins = np.cumsum(lengths) - lengths
+        ids[[b for b, x in zip(begins, chunks, strict=True) if x[0] != "▁"]] += 1
+        return lengths, ids
+
+    monkeypatch.setattr(own, "_merged", wrong)
+    with pytest.raises(ValueError, match="chunk"):
+        own.encode(pa.array([text]))
+
+
+@pytest.mark.parametrize("options", [{"byte_fallback": True}, {}, {"byte_fallback": True, "split_by_whitespace": False}, {"byte_fallback": True, "add_dummy_prefix": False}])
+def test_models_of_other_kinds(tmp_path, options):
+    texts = hostile(6, 400)
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(tmp_path / "m"), model_type="bpe", vocab_size=400, hard_vocab_limit=False, minloglevel=2, **options)
+    own = pieces.PieceEncoder(str(tmp_path / "m.model"))
+    rows = own.encode(pa.array(texts))
+    assert [x.tolist() for x in rows] == [own.library.encode(x) for x in texts]
+    assert own.decode(rows) == [own.library.decode(x.tolist()) for x in rows]
